@@ -70,5 +70,10 @@ def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str], name="co
 
 
 def rows_of(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A literal rule table, bounded by the code that writes it."""
-    return spark.createDataFrame(list(rows), schema)
+    """A literal rule table, bounded by the code that writes it; stays in the JVM."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    cell = lambda v, f: F.lit(v).cast(f[1]).alias(f[0])
+    if not rows:
+        return spark.range(0).select(*[cell(None, f) for f in fields])
+    structs = [F.struct(*[cell(v, f) for v, f in zip(r, fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

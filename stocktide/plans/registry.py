@@ -22,7 +22,7 @@ _PERIOD = (
     f"WHEN {{d}} < DATE '{TEST_START}' THEN 'tune' ELSE 'test' END AS period"
 )
 PRELUDE = f"""
-WITH star AS (
+WITH RECURSIVE star AS (
   SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS Row_Id
   FROM lineitem JOIN part ON l_partkey = p_partkey
        JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
