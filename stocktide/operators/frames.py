@@ -29,8 +29,8 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = ()) -> DataFr
     if keys:
         return df.join(params, list(keys), "left")
     row = params.select(F.struct("*").alias("p")).scalar()
-    with_row = df.withColumn("_p", row)
-    return with_row.select(*df.columns, *[F.col(f"_p.{c}").alias(c) for c in params.columns])
+    with_row = df.withColumn("__row", row)
+    return with_row.select(*df.columns, *[F.col(f"__row.{c}").alias(c) for c in params.columns])
 
 
 def only(df: DataFrame, column: str) -> Column:

@@ -1,17 +1,149 @@
-"""Outlier detection."""
+"""Outlier detection: fences, z-scores, isolation trees, combined reports."""
+
 from __future__ import annotations
+
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from .frames import attach, known
-from .ranks import quantiles
+
+from . import series as S
+from .frames import attach, known, over, ratio
+from .ranks import median_deviation, quantiles
 
 
-def fences(df: DataFrame, value: str, keys=(), k: float = 1.5) -> DataFrame:
+def fences(df: DataFrame, value: str, keys: Sequence[str] = (), k: float = 1.5) -> DataFrame:
+    """Bounds k quartile spreads outside the quartiles, one row per key."""
     q = quantiles(df, value, {"q1": 0.25, "q3": 0.75}, keys)
     spread = (F.col("q3") - F.col("q1")) * k
     return q.select(*keys, (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
 
 
-def fence_rows(df: DataFrame, value: str, keys=(), k: float = 1.5) -> DataFrame:
+def fence_rows(df: DataFrame, value: str, keys: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     out = attach(known(df, [*keys, value]), fences(df, value, keys, k), keys)
     return out.where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
+
+
+def zscore_rows(df: DataFrame, value: str, keys: Sequence[str] = (), limit: float = 3.0, nulls_as_zero=False) -> DataFrame:
+    """Rows further than `limit` population deviations from the mean."""
+    v = F.coalesce(F.col(value), F.lit(0.0)) if nulls_as_zero else F.col(value)
+    stats = df.groupBy(*keys).agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_sd"))
+    out = attach(df, stats, keys).withColumn("score", F.abs(ratio(v - F.col("_mean"), F.col("_sd"))))
+    return out.where(F.col("score") > limit).drop("_mean", "_sd")
+
+
+def modified_zscore_rows(df: DataFrame, value: str, keys: Sequence[str] = (), limit: float = 3.5) -> DataFrame:
+    """Rows far from the median in units of the median absolute deviation.
+
+    Without any deviation there are no outliers.
+    """
+    out = attach(known(df, [*keys, value]), median_deviation(df, value, keys), keys)
+    out = out.withColumn("score", F.abs(ratio(0.6745 * (F.col(value) - F.col("median")), F.col("mad"))))
+    return out.where(F.col("score") > limit).drop("median", "mad")
+
+
+def flagged(df: DataFrame, value: str, keys: Sequence[str] = (), forest: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
+    """Rows hit by any method with the list of methods.
+
+    `forest` optionally carries `row_id`s that isolation trees flagged.
+    """
+    v = F.col(value)
+    zero = F.coalesce(v, F.lit(0.0))
+    stats = df.groupBy(*keys).agg(F.avg(zero).alias("_mean"), F.stddev_pop(zero).alias("_sd"))
+    out = attach(attach(df, fences(df, value, keys), keys), stats, keys)
+    methods = [
+        F.when((v < F.col("low")) | (v > F.col("high")), "IQR"),
+        F.when(F.abs(ratio(zero - F.col("_mean"), F.col("_sd"))) > 3, "Z-Score"),
+    ]
+    if forest is not None:
+        out = out.join(forest.select(row_id, F.lit(True).alias("_iso")), row_id, "left")
+        methods.append(F.when(F.col("_iso"), "Isolation_Forest"))
+    out = out.withColumn("detection_methods", F.array_compact(F.array(*methods)))
+    return out.where(F.size("detection_methods") > 0).select(*df.columns, "detection_methods")
+
+
+def series_anomalies(df: DataFrame, keys: Sequence[str] = (), date="Date", value="Inventory_Level", patterns: DataFrame | None = None) -> DataFrame:
+    """One anomaly per day, preferring z-score over fence over pattern.
+
+    `patterns` optionally brings (keys, date, value, score) found by trees.
+    """
+    ids = [*keys, date, value]
+    z = zscore_rows(df, value, keys).select(*ids, F.col("score"), F.lit(1).alias("_p"), F.lit("Statistical_Outlier").alias("kind"))
+    mid = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_med"), F.stddev(value).alias("_sd"))
+    f = attach(fence_rows(df, value, keys), mid, keys)
+    f = f.select(*ids, F.abs(ratio(F.col(value) - F.col("_med"), F.col("_sd"))).alias("score"), F.lit(2).alias("_p"), F.lit("IQR_Outlier").alias("kind"))
+    found = z.unionByName(f)
+    if patterns is not None:
+        found = found.unionByName(patterns.select(*ids, "score", F.lit(3).alias("_p"), F.lit("Pattern_Anomaly").alias("kind")))
+    best = found.groupBy(*keys, date).agg(F.min_by(F.struct(value, "kind", "score"), "_p").alias("_b"))
+    return best.select(*keys, date, "_b.*")
+
+
+FEATURE_COLUMNS = ["Inventory_Level", "DayOfYear", "Month", "Quarter", "Rolling_Mean_7", "Rolling_Std_7", "Rolling_Mean_30", "Inventory_Lag1", "Inventory_Lag7"]
+
+
+def anomaly_features(df: DataFrame, keys: Sequence[str] = (), date="Date", value="Inventory_Level") -> DataFrame:
+    """Calendar, rolling and lag features, filled backward then forward, standardised."""
+    r7, r30 = S.rolling(keys, date, value, 7), S.rolling(keys, date, value, 30)
+    w = over(keys, date)
+    out = df.select(
+        *keys, date, F.col(value).alias("Inventory_Level"), F.dayofyear(date).alias("DayOfYear"), F.month(date).alias("Month"),
+        F.quarter(date).alias("Quarter"), r7["rolling_mean_7"].alias("Rolling_Mean_7"), r7["rolling_std_7"].alias("Rolling_Std_7"),
+        r30["rolling_mean_30"].alias("Rolling_Mean_30"), F.lag(value, 1).over(w).alias("Inventory_Lag1"), F.lag(value, 7).over(w).alias("Inventory_Lag7"))
+    out = S.fill(S.fill(out, keys, date, FEATURE_COLUMNS, forward=False), keys, date, FEATURE_COLUMNS, backward=False)
+    stats = out.groupBy(*keys).agg(
+        *[F.avg(c).alias(f"{c}_m") for c in FEATURE_COLUMNS], *[F.stddev_pop(c).alias(f"{c}_s") for c in FEATURE_COLUMNS])
+    scaled = attach(out, stats, keys)
+    return scaled.select(*keys, date, *[
+        ((F.col(c) - F.col(f"{c}_m")) / F.when(F.col(f"{c}_s") > 0, F.col(f"{c}_s")).otherwise(1.0)).alias(c) for c in FEATURE_COLUMNS])
+
+
+def severity(value, high: float = 0.5, medium: float = 0.2):
+    return F.when(value > high, "High").when(value > medium, "Medium").otherwise("Low")
+
+
+def summary(outliers: DataFrame, drift: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Outlier count with drift and scale severity.
+
+    `drift` has a divergence `js`, `shifts` a `ratio`; empty inputs count as none.
+    """
+    n = outliers.agg(F.count(F.lit(1)).alias("total_outliers"))
+    d = drift.agg(severity(F.coalesce(F.max("js"), F.lit(0.0))).alias("drift_severity"))
+    s = shifts.agg(severity(F.coalesce(F.max(F.abs(1 - F.col("ratio"))), F.lit(0.0))).alias("scale_severity"))
+    return attach(attach(n, d), s)
+
+
+def score_bands(anomalies: DataFrame) -> DataFrame:
+    s = F.col("score")
+    return anomalies.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(s > 5).alias("high"),
+        F.count_if((s > 3) & (s <= 5)).alias("medium"), F.count_if(s <= 3).alias("low"))
+
+
+def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> dict[str, DataFrame]:
+    """Full run: flagged rows, drift report, scale shifts and their summary.
+
+    `flows` carries flow, sample, Row_Id, Date, Quantity, Total_GIK. The measures
+    become long rows keyed by dataset and column, so all of them are one job.
+    """
+    from .drift import drift_report, scale_shift
+
+    name = lambda kind: F.concat_ws("_", F.col(sample), kind)
+    level = stock.where(F.col(sample).isin(first, second)).select(
+        name(F.lit("inventory")).alias("dataset"), F.lit("Inventory_Level").alias("column"),
+        F.col("Date").cast("string").alias("row"), "Date", F.col("Inventory_Level").alias("value"))
+    moved = flows.where(F.col(sample).isin(first, second)).select(
+        name(F.col("flow")).alias("dataset"), F.col("Row_Id").alias("row"), "Date", "Quantity", "Total_GIK"
+    ).unpivot(["dataset", "row", "Date"], ["Quantity", "Total_GIK"], "column", "value")
+    wanted = (F.col("column") == "Quantity") & (F.col("dataset") != f"{first}_outflows") | (F.col("column") == "Total_GIK") & F.col("dataset").endswith("inflows")
+    rows = level.unionByName(moved.where(wanted))
+    outliers = flagged(rows, "value", ["dataset", "column"])
+    inflows = flows.where(F.col("flow") == "inflows")
+    drift = drift_report(stock, inflows, sample, first, second)
+    lv = scale_shift(stock, "Inventory_Level", sample, first, second)
+    qt = scale_shift(inflows, "Quantity", sample, first, second)
+    shifts = lv.select(F.lit("inventory_mean").alias("measure"), F.col("mean_ratio").alias("ratio")).unionByName(
+        lv.select(F.lit("inventory_std").alias("measure"), F.col("std_ratio").alias("ratio"))).unionByName(
+        qt.select(F.lit("inflow_quantity").alias("measure"), F.col("mean_ratio").alias("ratio")))
+    return {"outliers": outliers, "drift": drift, "shifts": shifts,
+            "summary": summary(outliers, drift.where(F.col("js").isNotNull()), shifts)}

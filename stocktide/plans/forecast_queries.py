@@ -103,3 +103,94 @@ f AS (SELECT Category, avg(q) AS m, regr_slope(q, i) AS s FROM i GROUP BY 1 HAVI
 FINAL SELECT Category, round_even(m, 2) AS avg_daily_demand, round_even(s, 3) AS trend_slope, greatest(0, round_even(m + 30 * s, 2)) AS forecast FROM f""")
 def _(spark, sf):
     return M.demand_outlook(T.outflows(spark, sf, ["Category", "Date", "Quantity"]))
+
+
+# ---------------------------------------------------------------- fitted models
+# Their numbers are not SQL; shape and quality are tested instead of equality.
+
+from stocktide.models import additive, arima, driver, trees  # noqa: E402
+
+_FIT_OUT = _FC_OUT + " is_history:b"
+
+
+def feature_frames(spark, sf):
+    """Train and tune frames per series with the flow features."""
+    cols = ["Date", "Quantity", "Warehouse", "Category"]
+    fin, fout = T.inflows(spark, sf, cols), T.outflows(spark, sf, cols)
+    feats = A.warehouse_features(fin, fout), A.category_features(fin, fout)
+    return tuple(S.with_flow_features(period_frame(spark, sf, p), *feats) for p in ("train", "tune"))
+
+
+@query("fc01_forecast_run", _FIT_OUT)
+def _(spark, sf):
+    train, tune = feature_frames(spark, sf)
+    return driver.run(train, tune, K, "Both", 90)["forecasts"]
+
+
+@query("fc01_run_accuracy", "Series:s model:s rmse:d mae:d mape:d")
+def _(spark, sf):
+    return driver.run(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K, "Both", 90)["metrics"]
+
+
+@query("fc02_additive_model", _FIT_OUT)
+def _(spark, sf):
+    train, _tune = feature_frames(spark, sf)
+    return additive.forecast(train, K, 90, regressors=S.FEATURES)
+
+
+@query("fc03_seasonal_arima", _FIT_OUT)
+def _(spark, sf):
+    return arima.forecast(period_frame(spark, sf, "train"), K, 90)
+
+
+@query("fc04_order_search", "Series:s p:l d:l q:l aic:d")
+def _(spark, sf):
+    return arima.best_orders(arima.search_orders(period_frame(spark, sf, "train"), K), K)
+
+
+@query("fc05_boosted_trees", _FIT_OUT)
+def _(spark, sf):
+    return trees.forecast_boosted(period_frame(spark, sf, "train"), K, 90)
+
+
+@query("fc07_random_forest", _FC_OUT)
+def _(spark, sf):
+    model, columns = trees.fit_forest(period_frame(spark, sf, "train"), K)
+    return trees.predict_forest(period_frame(spark, sf, "tune"), K, model, columns)
+
+
+@query("fc10_adaptive_accuracy", "Series:s model:s stage:s rmse:d mae:d mape:d")
+def _(spark, sf):
+    return driver.adaptive(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K)["metrics"]
+
+
+@query("fc11_adapted_forecast", _FIT_OUT)
+def _(spark, sf):
+    return driver.adaptive(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K)["future"]
+
+
+@query("fc13_model_choice", "Series:s model:s cv_rmse:d")
+def _(spark, sf):
+    return driver.cross_validate(period_frame(spark, sf, "train"), K)
+
+
+@query("fc14_chosen_forecast", _FIT_OUT)
+def _(spark, sf):
+    return driver.auto_select(period_frame(spark, sf, "train"), K)["forecasts"]
+
+
+@query("fc17_test_period_forecast", _FIT_OUT)
+def _(spark, sf):
+    return driver.test_period(*(period_frame(spark, sf, p) for p in ("train", "tune", "test")), K)
+
+
+@query("fc18_feature_importance", "feature:s importance:d", places=8)
+def _(spark, sf):
+    model, columns = trees.fit_forest(period_frame(spark, sf, "train"), K)
+    return trees.importances(spark, model, columns)
+
+
+@query("qa4_forecast_request", _FIT_OUT)
+def _(spark, sf):
+    out = driver.request(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K, "sarima", 60, 0.9)
+    return out["forecasts"]
