@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stocktide.operators import series as S
 from stocktide.operators.frames import attach, present, rows_of
+from stocktide.session import enable_checkpoints, materialize, work_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,34 +41,30 @@ def fit_boosted(frame: DataFrame, keys: Sequence[str], trees: int = 100, depth:
     rows = _scaled(frame, keys).withColumn("y", (F.col("y") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
     train = assembled(S.training_features(rows, keys), FEATURES).select("features", "y")
     model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8,
-                         featureSubsetStrategy="0.8", seed=seed, checkpointInterval=-1)
-    train = train.cache()
-    try:
-        return model.fit(train)
-    finally:
-        train.unpersist()
+                         featureSubsetStrategy="0.8", seed=seed, checkpointInterval=10)
+    enable_checkpoints(frame.sparkSession)
+    # Written once: each boosting round reads compact files, not the plan above.
+    return model.fit(materialize(train, "training"))
 
 
 def node_tables(model) -> list[np.ndarray]:
-    """Each tree as rows (feature or -1, threshold, left, right, value)."""
-    out = []
-    for tree in model.trees:
-        rows: list = []
-
-        def walk(node) -> int:
-            at = len(rows)
-            rows.append(None)
-            if node.numDescendants() == 0:
-                rows[at] = (-1.0, 0.0, -1.0, -1.0, node.prediction())
-            else:
-                split = node.split()
-                left, right = walk(node.leftChild()), walk(node.rightChild())
-                rows[at] = (float(split.featureIndex()), split.threshold(), float(left), float(right), 0.0)
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append(np.array(rows))
-    return out
+    """Each tree as rows (feature or -1, threshold, left, right, value).
+
+    Read back from the saved model: at most trees x 2^(depth + 1) small rows.
+    """
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    path = work_path(spark, "boosted")
+    model.write().save(path)
+    node = F.col("nodeData")
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
+        F.coalesce(F.get(node["split"]["leftCategoriesOrThreshold"], 0), F.lit(0.0)).alias("cut"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["prediction"].alias("value"))
+    table = rows.toPandas().sort_values(["treeID", "id"])
+    table.loc[table["left"] < 0, "feature"] = -1
+    return [g[["feature", "cut", "left", "right", "value"]].to_numpy(dtype=float) for _, g in table.groupby("treeID")]
 
 
 def run_trees(tables, weights, x: np.ndarray) -> float:
@@ -140,7 +137,7 @@ def fit_forest(frame: DataFrame, keys: Sequence[str], trees: int = 100, depth: i
     rows = forest_features(frame, keys)
     columns = [*present(rows, S.FEATURES[:4]), *FOREST_FEATURES]
     model = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
-    return model.fit(assembled(rows, columns).select("features", "y")), columns
+    return model.fit(materialize(assembled(rows, columns).select("features", "y"), "training")), columns
 
 
 def predict_forest(frame: DataFrame, keys: Sequence[str], model, columns, name: str = "RandomForest") -> DataFrame:

@@ -39,11 +39,11 @@ def _(spark, sf):
 
 @query("od03_value_outliers", "flow:s Date:s Product_Type:s Brand:s Total_GIK:d score:d", """
 WITH m AS (SELECT flow, quantile_cont(Total_GIK, 0.5) AS md FROM flows GROUP BY 1), a AS (SELECT flow, quantile_cont(abs(Total_GIK - md), 0.5) AS mad FROM flows JOIN m USING (flow) GROUP BY 1)
-FINAL SELECT flow, Date, Product_Type, Brand, Total_GIK, 0.6745 * abs(Total_GIK - md) / mad AS score FROM flows JOIN m USING (flow) JOIN a USING (flow) WHERE 0.6745 * abs(Total_GIK - md) / mad > 1.5""")
+FINAL SELECT flow, Date, Product_Type, Brand, Total_GIK, 0.6745 * abs(Total_GIK - md) / mad AS score FROM flows JOIN m USING (flow) JOIN a USING (flow) WHERE 0.6745 * abs(Total_GIK - md) / mad > 1.2""")
 def _(spark, sf):
-    # Values are near uniform here, so a limit of 1.5 shows the tail.
+    # Values are near uniform here, so a limit of 1.2 shows the tail.
     flows = T.flow_datasets(spark, sf, ["Date", "Product_Type", "Brand", "Total_GIK"])
-    return O.modified_zscore_rows(flows, "Total_GIK", ["flow"], limit=1.5)
+    return O.modified_zscore_rows(flows, "Total_GIK", ["flow"], limit=1.2)
 
 
 @query("od04_method_counts", "Series:s low:d high:d iqr:l zscore:l modified_zscore:l total:l percentage:d", f"""WITH {_P}
