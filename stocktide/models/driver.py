@@ -15,10 +15,10 @@ from stocktide.operators import clean as C
 from stocktide.operators import evaluate as E
 from stocktide.operators import series as S
 from stocktide.operators.drift import scale_shift
-from stocktide.operators.frames import attach, over, present, ratio
+from stocktide.operators.frames import attach, over, present
 from stocktide.session import materialize
 
-from . import additive, arima, simple, trees
+from . import additive, arima, trees
 
 METHODS = {"Prophet": ["Prophet"], "SARIMA": ["SARIMA"], "XGBoost": ["XGBoost"], "Both": ["Prophet", "SARIMA"],
            "All": ["Prophet", "SARIMA", "XGBoost"]}

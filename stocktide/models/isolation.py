@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stocktide.operators.ranks import quantiles
+from stocktide.session import materialize
 
 # Task-side helpers travel by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -82,7 +83,7 @@ def forest(df: DataFrame, row_id: str, features: Sequence[str], trees: int = TRE
     # Thin first by row so that only a pool of candidates meets every tree. The
     # margins make it all but certain that each tree finds `size` rows.
     share = min(1.0, (size + 8 * math.sqrt(size) + 8) / max(n, 1))
-    keep = min(1.0, 20 * trees * share) if n > 1_000_000 else 1.0
+    keep = min(1.0, 4 * trees * share)
     unit = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(int(_RANGE))) / _RANGE
     pool = clean.where(unit("_id", F.lit(seed)) < keep) if keep < 1 else clean
     drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
@@ -131,6 +132,7 @@ def isolation_outliers(df: DataFrame, row_id: str, features: Sequence[str], cont
     if rows.limit(min_rows + 1).count() <= min_rows:
         return rows.limit(0).withColumn("anomaly_score", F.lit(0.0))
     model, size = forest(rows, row_id, features, seed=seed)
-    scored = score(rows, model, size, features)
+    # Scored once, read for the cut and for the rows beyond it.
+    scored = materialize(score(rows, model, size, features), "scores")
     cut = quantiles(scored, "anomaly_score", {"q": 1 - contamination}).select("q").scalar()
     return scored.where(F.col("anomaly_score") > cut)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import attach, has, known, over, ratio
+from .frames import attach, has, known, over, ratio, with_totals
 from .ranks import quantiles, value_counts
 
 PERCENTILES = {"p5": 0.05, "p10": 0.10, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -91,7 +91,7 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
 def label_counts(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Occurrences and share of every label."""
     counts = value_counts(df, label, keys)
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(over(keys)))
+    return with_totals(counts, keys, _all=F.sum("n")).withColumn("share", ratio("n", "_all")).drop("_all")
 
 
 def top_labels(counts: DataFrame, label: str, k: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -206,10 +206,10 @@ def monthly_flows(flows: DataFrame) -> DataFrame:
 
 
 def partner_volumes(outflows: DataFrame) -> DataFrame:
-    """Shipments per partner with the volume rank (ties by name).
+    """Shipments per partner with the volume rank; equal volumes share a rank.
 
-    The rank needs one order over partners; it runs after aggregation over the
-    partner dimension through the cumulative helper, not one sorted task.
+    The rank comes from cumulative counts over distinct volumes, so no task
+    sorts all partners.
     """
     from .ranks import cumulative
 
@@ -225,8 +225,7 @@ def partner_volumes(outflows: DataFrame) -> DataFrame:
         above.select((-F.col("_neg")).alias("total_quantity"), (F.col("cum_n") - F.col("n")).alias("_above")),
         "total_quantity",
     )
-    tie = F.row_number().over(over(["total_quantity"], "Partner"))
-    return ranked.select(*per.columns, (F.col("_above") + tie).alias("rank"))
+    return ranked.select(*per.columns, (F.col("_above") + 1).alias("rank"))
 
 
 def partner_overview(outflows: DataFrame) -> DataFrame:

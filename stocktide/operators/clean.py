@@ -11,9 +11,9 @@ from stocktide import schemas
 from stocktide.functions.scalars import parse_date, to_number
 
 from . import series
-from .frames import attach, has, known, over, present, ratio, string_columns
+from .frames import attach, has, known, present, ratio, string_columns
 from .outliers import fences
-from .ranks import column_quantiles, median_deviation, order_statistics, quantiles
+from .ranks import column_quantiles, median_deviation, order_statistics, ordered_codes, quantiles
 
 # ---------------------------------------------------------------- extreme values
 
@@ -108,12 +108,8 @@ def clean_table(df: DataFrame, kind: str, fmt: str = "yyyy-MM-dd") -> DataFrame:
 
 
 def label_codes(df: DataFrame, label: str, name: str) -> DataFrame:
-    """Position of each label in sorted order, from 0; missing labels get -1.
-
-    Labels are numbered over the distinct values only.
-    """
-    labels = known(df.select(label), [label]).distinct()
-    codes = labels.select(label, (F.row_number().over(over([], label)) - 1).alias(name))
+    """Position of each label in sorted order, from 0; missing labels get -1."""
+    codes = ordered_codes(known(df.select(label), [label]).distinct(), label, name)
     return df.join(codes, label, "left").na.fill(-1, [name]).select(*df.columns, name)
 
 
@@ -171,11 +167,14 @@ def process_periods(inventory: DataFrame, inflows: DataFrame, outflows: DataFram
     done = {"inventory": cleaned(inventory, "inventory"), "inflows": cleaned(inflows, "inflows")}
     if outflows is not None:
         done["outflows"] = cleaned(outflows, "outflows")
-    # A day belongs to one period, so features by day are features by period.
+    # A day belongs to one period, so features by day are features by period. They
+    # use quantities only, which winsorizing leaves alone, so they skip that step.
+    fin = typed(inflows, "inflows").where(F.col("Date").isNotNull())
+    fout = None if outflows is None else typed(outflows, "outflows").where(F.col("Date").isNotNull())
     if has(inflows, "Warehouse"):
-        done["warehouse_features"] = A.warehouse_features(done["inflows"], done.get("outflows"))
+        done["warehouse_features"] = A.warehouse_features(fin, fout)
     if has(inflows, "Category"):
-        done["category_features"] = A.category_features(done["inflows"], done.get("outflows"))
+        done["category_features"] = A.category_features(fin, fout)
     return done
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import known, over
+from .frames import known, over, ratio, with_totals
 from .ranks import value_counts
 
 
@@ -23,9 +23,8 @@ def two_sample_shares(df: DataFrame, label: str, sample: str, first: str, second
     """
     n1, n2 = F.col(sample) == first, F.col(sample) == second
     counts = value_counts(df.where(n1 | n2), label, samples={"n1": n1, "n2": n2})
-    whole = lambda c: F.sum(c).over(over([]))
-    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), whole(c).cast("double")), F.lit(0.0))
-    return counts.select(label, "n1", "n2", share("n1").alias("p"), share("n2").alias("q"))
+    out = with_totals(counts, [], t1=F.sum("n1"), t2=F.sum("n2"))
+    return out.select(label, "n1", "n2", ratio("n1", "t1", 0.0).alias("p"), ratio("n2", "t2", 0.0).alias("q"))
 
 
 def label_changes(shares: DataFrame, label: str) -> DataFrame:

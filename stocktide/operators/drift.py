@@ -15,8 +15,7 @@ from stocktide.functions import pvalues as P
 
 from . import aggregates as A
 from . import series as S
-from .combine import label_changes
-from .frames import attach, known, long_form, over, ratio
+from .frames import attach, known, long_form, over, ratio, with_totals
 from .ranks import cumulative, value_counts
 
 EPS = 1e-10
@@ -94,9 +93,8 @@ def binned_divergence(df: DataFrame, value: str, sample: str, first, second, key
 def label_shares(df: DataFrame, label: str, sample: str, first, second, keys: Sequence[str] = ()) -> DataFrame:
     """Counts and shares of each label in both samples, absent labels as zero."""
     counts = value_counts(_both(df, sample, first, second), label, keys, samples(sample, first, second))
-    whole = lambda c: F.sum(c).over(over(keys))
-    return counts.select(
-        *keys, label, "n1", "n2", ratio("n1", whole("n1"), 0.0).alias("p"), ratio("n2", whole("n2"), 0.0).alias("q"))
+    out = with_totals(counts, keys, t1=F.sum("n1"), t2=F.sum("n2"))
+    return out.select(*keys, label, "n1", "n2", ratio("n1", "t1", 0.0).alias("p"), ratio("n2", "t2", 0.0).alias("q"))
 
 
 def label_divergence(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,7 +106,7 @@ def label_divergence(shares: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("magnitude", F.when(F.col("js") > 0.3, "high").when(F.col("js") > 0.1, "medium").otherwise("low"))
 
 
-def label_drift(shares: DataFrame, label: str, keys: Sequence[str] = (), on="counts") -> DataFrame:
+def label_drift(shares: DataFrame, keys: Sequence[str] = (), on="counts") -> DataFrame:
     """Chi-square of the second sample against the first, total variation, labels.
 
     on="counts" expects second-sample counts in proportion to the first sample;
@@ -116,12 +114,9 @@ def label_drift(shares: DataFrame, label: str, keys: Sequence[str] = (), on="cou
     sample has no expectation, so it takes no part in the statistic and is
     reported among the new labels.
     """
-    total2 = F.sum("n2").over(over(keys)).cast("double")
-    seen2 = F.sum(F.when(F.col("n1") > 0, F.col("n2"))).over(over(keys)).cast("double")
-    base = shares.select("*", (F.col("p") * seen2).alias("_exp"), total2.alias("_t"))
-    got, want = (F.col("n2").cast("double"), F.col("_exp")) if on == "counts" else (F.col("q"), F.col("p"))
+    base = with_totals(shares, keys, _seen=F.sum(F.when(F.col("n1") > 0, F.col("n2"))))
+    got, want = (F.col("n2").cast("double"), F.col("p") * F.col("_seen")) if on == "counts" else (F.col("q"), F.col("p"))
     term = F.when(F.col("n1") > 0, ratio((got - want) * (got - want), want, 0.0)).otherwise(0.0)
-    names = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col(label))))
     return base.groupBy(*keys).agg(
         F.sum(term).alias("chi2"), (F.count_if(F.col("n1") > 0) - 1).alias("df"),
         (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("total_variation"),
@@ -146,7 +141,7 @@ def drift_report(stock: DataFrame, flows: DataFrame, sample: str, first, second)
     num = num.select("subject", "js", "ks", "wasserstein", "u1")
     dims = ["Category", "Brand", "Warehouse"]
     labels = flows.select(sample, *dims).unpivot([sample], dims, "subject", "label")
-    cat = label_drift(label_shares(labels, "label", sample, first, second, ["subject"]), "label", ["subject"])
+    cat = label_drift(label_shares(labels, "label", sample, first, second, ["subject"]), ["subject"])
     cat = cat.select(F.lower("subject").alias("subject"), "chi2", "total_variation", "new_labels", "gone_labels")
     return num.unionByName(cat, allowMissingColumns=True)
 
@@ -245,7 +240,7 @@ def label_comparison(df: DataFrame, dims: Sequence[str], sample: str, first, sec
     """Chi-square per dimension with the leading labels of either sample."""
     long = df.select(sample, *dims).unpivot([sample], list(dims), "dimension", "label")
     shares = label_shares(long, "label", sample, first, second, ["dimension"])
-    drift = label_drift(shares, "label", ["dimension"]).select("dimension", "chi2", "df")
+    drift = label_drift(shares, ["dimension"]).select("dimension", "chi2", "df")
 
     def leaders(count, name):
         top = A.top_labels(shares.withColumnRenamed(count, "n").where("n > 0"), "label", k, ["dimension"])

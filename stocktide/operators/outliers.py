@@ -120,14 +120,12 @@ def score_bands(anomalies: DataFrame) -> DataFrame:
         F.count_if((s > 3) & (s <= 5)).alias("medium"), F.count_if(s <= 3).alias("low"))
 
 
-def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> dict[str, DataFrame]:
-    """Full run: flagged rows, drift report, scale shifts and their summary.
+def flagged_datasets(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> DataFrame:
+    """Flagged levels, quantities and values of two periods in one job.
 
     `flows` carries flow, sample, Row_Id, Date, Quantity, Total_GIK. The measures
-    become long rows keyed by dataset and column, so all of them are one job.
+    become long rows keyed by dataset and column.
     """
-    from .drift import drift_report, scale_shift
-
     name = lambda kind: F.concat_ws("_", F.col(sample), kind)
     level = stock.where(F.col(sample).isin(first, second)).select(
         name(F.lit("inventory")).alias("dataset"), F.lit("Inventory_Level").alias("column"),
@@ -135,15 +133,31 @@ def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", s
     moved = flows.where(F.col(sample).isin(first, second)).select(
         name(F.col("flow")).alias("dataset"), F.col("Row_Id").alias("row"), "Date", "Quantity", "Total_GIK"
     ).unpivot(["dataset", "row", "Date"], ["Quantity", "Total_GIK"], "column", "value")
-    wanted = (F.col("column") == "Quantity") & (F.col("dataset") != f"{first}_outflows") | (F.col("column") == "Total_GIK") & F.col("dataset").endswith("inflows")
-    rows = level.unionByName(moved.where(wanted))
-    outliers = flagged(rows, "value", ["dataset", "column"])
+    quantity = (F.col("column") == "Quantity") & (F.col("dataset") != f"{first}_outflows")
+    worth = (F.col("column") == "Total_GIK") & F.col("dataset").endswith("inflows")
+    return flagged(level.unionByName(moved.where(quantity | worth)), "value", ["dataset", "column"])
+
+
+def period_shifts(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> DataFrame:
+    """Ratios second / first of level mean, level deviation and inflow quantity."""
+    from .drift import samples
+
+    def ratios(df, value, *measures):
+        at = {n: F.when(c, F.col(value)) for n, c in samples(sample, first, second).items()}
+        rows = [F.struct(F.lit(n).alias("measure"), F.coalesce(ratio(f(at["n2"]), f(at["n1"])), F.lit(1.0)).alias("ratio")) for n, f in measures]
+        return df.agg(F.array(*rows).alias("_m")).select(F.inline("_m"))
+
     inflows = flows.where(F.col("flow") == "inflows")
-    drift = drift_report(stock, inflows, sample, first, second)
-    lv = scale_shift(stock, "Inventory_Level", sample, first, second)
-    qt = scale_shift(inflows, "Quantity", sample, first, second)
-    shifts = lv.select(F.lit("inventory_mean").alias("measure"), F.col("mean_ratio").alias("ratio")).unionByName(
-        lv.select(F.lit("inventory_std").alias("measure"), F.col("std_ratio").alias("ratio"))).unionByName(
-        qt.select(F.lit("inflow_quantity").alias("measure"), F.col("mean_ratio").alias("ratio")))
+    return ratios(stock, "Inventory_Level", ("inventory_mean", F.avg), ("inventory_std", F.stddev)).unionByName(
+        ratios(inflows, "Quantity", ("inflow_quantity", F.avg)))
+
+
+def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> dict[str, DataFrame]:
+    """Full run: flagged rows, drift report, scale shifts and their summary."""
+    from .drift import drift_report
+
+    outliers = flagged_datasets(stock, flows, sample, first, second)
+    drift = drift_report(stock, flows.where(F.col("flow") == "inflows"), sample, first, second)
+    shifts = period_shifts(stock, flows, sample, first, second)
     return {"outliers": outliers, "drift": drift, "shifts": shifts,
             "summary": summary(outliers, drift.where(F.col("js").isNotNull()), shifts)}

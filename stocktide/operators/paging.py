@@ -18,11 +18,15 @@ def page(df: DataFrame, order: Sequence[str], limit: int | None = None, offset:
     limit the page is everything after the offset.
     """
     total = df.agg(F.count(F.lit(1)).alias("total_records"))
-    rows = df.orderBy(*order)
-    if offset:
-        rows = rows.offset(offset)
     if limit:
-        rows = rows.limit(limit)
+        rows = df.orderBy(*order).offset(offset).limit(limit)
+    elif offset:
+        # Everything after the last skipped row; a bare offset would drag the
+        # whole table through one task.
+        skipped = df.orderBy(*order).limit(offset).select(F.struct(*order).alias("k"))
+        rows = df.where(F.struct(*order) > skipped.agg(F.max("k")).scalar()).orderBy(*order)
+    else:
+        rows = df.orderBy(*order)
     return attach(rows, total).withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stocktide import schemas
 
-from .frames import attach, has, known, long_form, numeric_columns, over, present, rows_of, string_columns
-from .ranks import column_quantiles, median_deviation, quantiles
+from .frames import attach, has, known, long_form, numeric_columns, over, present, rows_of
+from .ranks import median_deviation, quantiles
 
 
 def missing_columns(spark: SparkSession, tables: dict[str, DataFrame], level: str = "full") -> DataFrame:

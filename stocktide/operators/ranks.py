@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocktide.session import materialize
+
 from .frames import attach, known, long_form, over
 
 # Logarithmic grid: about 0.05 % of the value per bucket, finer near zero.
@@ -21,9 +23,13 @@ _UNIT, _STEPS = 1000.0, 2048.0
 
 
 def bucket_of(value: str) -> Column:
-    """A non-decreasing function of the value."""
+    """A non-decreasing function of the value, never null.
+
+    A nullable key would draw a null filter into one of the two plans that read
+    the counts, and Spark would then scan twice instead of reusing the shuffle.
+    """
     v = F.col(value).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * _UNIT) * _STEPS)
+    return F.coalesce(F.floor(F.signum(v) * F.log1p(F.abs(v) * _UNIT) * _STEPS), F.lit(0))
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = (), samples: dict[str, Column] | None = None):
@@ -104,6 +110,22 @@ def order_statistics(df: DataFrame, value: str, limits: tuple[float, float], key
     return ranked.groupBy(*keys).agg(pick(low_at).alias("low"), pick(high_at).alias("high"))
 
 
+def ordered_codes(labels: DataFrame, label: str, name: str) -> DataFrame:
+    """Position of each distinct label in sorted order, from 0.
+
+    Labels are range-partitioned and numbered slice by slice; the sliced table is
+    written once, so the slice sizes and the positions agree on any rerun.
+    """
+    sliced = labels.repartitionByRange(label).select(label, F.spark_partition_id().alias("_slice"))
+    sliced = materialize(sliced, "labels")
+    inside = F.row_number().over(over(["_slice"], label))
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    below = over([], "_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
+    placed = sliced.withColumn("_i", inside).join(offsets, "_slice")
+    return placed.select(label, (F.col("_i") - 1 + F.col("_off")).alias(name))
+
+
 def median_deviation(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Median and median absolute deviation per key."""
     center = quantiles(df, value, {"median": 0.5}, keys)

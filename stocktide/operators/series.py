@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 
 from .frames import attach, known, over, ratio
 
-ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _so_far(keys, date):
+    return over(keys, date).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _from_here(keys, date):
+    """The rest of the series, read backwards so that a running frame suffices."""
+    return over(keys, F.desc(date)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], date: str, order: Sequence[str]) -> DataFrame:
@@ -41,12 +48,11 @@ def on_calendar(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
 
 def fill(df: DataFrame, keys, date: str, columns: Sequence[str], forward=True, backward=True) -> DataFrame:
     """Carry the last known value forward, then the first known one backward."""
-    w = over(keys, date)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _so_far(keys, date), _from_here(keys, date)
     filled = {}
     for c in columns:
         v = F.last(c, ignorenulls=True).over(before) if forward else F.col(c)
-        filled[c] = F.coalesce(v, F.first(c, ignorenulls=True).over(after)) if backward else v
+        filled[c] = F.coalesce(v, F.last(c, ignorenulls=True).over(after)) if backward else v
     return df.withColumns(filled)
 
 
@@ -56,12 +62,12 @@ def interpolate(df: DataFrame, keys, date: str, column: str, by: str = "position
     by="position" counts rows, by="time" counts days. Leading gaps stay missing.
     """
     w = over(keys, date)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _so_far(keys, date), _from_here(keys, date)
     at = F.row_number().over(w) if by == "position" else F.datediff(date, F.lit("1970-01-01").cast("date"))
     df = df.withColumn("_at", at.cast("double"))
     seen = F.when(F.col(column).isNotNull(), F.struct(F.col("_at").alias("x"), F.col(column).cast("double").alias("y")))
     df = df.withColumn("_p", F.last(seen, ignorenulls=True).over(before)).withColumn(
-        "_n", F.first(seen, ignorenulls=True).over(after))
+        "_n", F.last(seen, ignorenulls=True).over(after))
     share = ratio(F.col("_at") - F.col("_p.x"), F.col("_n.x") - F.col("_p.x"), 0.0)
     line = F.col("_p.y") + (F.col("_n.y") - F.col("_p.y")) * share
     return df.withColumn(column, F.coalesce(F.col(column), line, F.col("_p.y"))).drop("_at", "_p", "_n")

@@ -175,7 +175,7 @@ def _(spark, sf):
 
 
 @query("ag14_partner_volumes", "Partner:s total_quantity:d shipment_count:l avg_shipment:d rank:l",
-       """SELECT *, row_number() OVER (ORDER BY total_quantity DESC, Partner) AS rank FROM (
+       """SELECT *, rank() OVER (ORDER BY total_quantity DESC) AS rank FROM (
  SELECT Partner, sum(Quantity) AS total_quantity, count(*) AS shipment_count, avg(Quantity) AS avg_shipment FROM outflows GROUP BY 1)""")
 def _(spark, sf):
     return A.partner_volumes(T.outflows(spark, sf, ["Partner", "Quantity"]))

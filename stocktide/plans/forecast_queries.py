@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from stocktide.models import simple as M
 from stocktide.operators import aggregates as A
-from stocktide.operators import evaluate as E
 from stocktide.operators import series as S
 from stocktide.sources import tables as T
 

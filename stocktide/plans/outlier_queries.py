@@ -61,14 +61,15 @@ df AS (SELECT ds.*, v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) AS i, abs(v -
 dr AS (SELECT dataset, "column", row, Date, v AS value, CASE WHEN i AND z THEN 'IQR,Z-Score' WHEN i THEN 'IQR' ELSE 'Z-Score' END AS methods FROM df WHERE i OR z)"""
 
 
-def everything(spark, sf):
-    flows = T.flow_datasets(spark, sf, ["period", "Row_Id", "Date", "Quantity", "Total_GIK", "Category", "Brand", "Warehouse"])
-    return O.detect(T.inventory(spark, sf), flows)
+def measured(spark, sf):
+    """Levels, and flows with everything the detection run reads."""
+    columns = ["period", "Row_Id", "Date", "Quantity", "Total_GIK", "Category", "Brand", "Warehouse"]
+    return T.inventory(spark, sf), T.flow_datasets(spark, sf, columns)
 
 
 @query("od06_flagged_rows", "dataset:s column:s row:s Date:s value:d methods:s", f"WITH {_DS}\nFINAL SELECT * FROM dr")
 def _(spark, sf):
-    return everything(spark, sf)["outliers"].withColumn("methods", F.concat_ws(",", "detection_methods"))
+    return O.flagged_datasets(*measured(spark, sf)).withColumn("methods", F.concat_ws(",", "detection_methods"))
 
 
 _AN = f"""{_P}, un AS (SELECT Series, Date, Inventory_Level, z AS score, 1 AS p, 'Statistical_Outlier' AS kind FROM fl WHERE z > 3
@@ -109,7 +110,7 @@ sr AS (SELECT greatest(abs(1 - avg(v) FILTER (period = 'tune') / avg(v) FILTER (
 FINAL SELECT (SELECT count(*) FROM dr) AS total_outliers, (SELECT CASE WHEN max(js) > 0.5 THEN 'High' WHEN max(js) > 0.2 THEN 'Medium' ELSE 'Low' END FROM js) AS drift_severity,
  (SELECT CASE WHEN max(r) > 0.5 THEN 'High' WHEN max(r) > 0.2 THEN 'Medium' ELSE 'Low' END FROM sr) AS scale_severity""")
 def _(spark, sf):
-    return everything(spark, sf)["summary"]
+    return O.detect(*measured(spark, sf))["summary"]
 
 
 # Trees are random by design; these run without an oracle.

@@ -2,15 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from stocktide.operators import aggregates as A
 from stocktide.operators import alerts as L
 from stocktide.operators import evaluate as E
+from stocktide.operators import outliers as O
 from stocktide.operators import policy as P
 from stocktide.operators.frames import rows_of
 from stocktide.sources import tables as T
 
 from .forecast_queries import FORECAST_SQL, K, simple_forecasts, tune_levels
-from .outlier_queries import _DS, everything
+from .outlier_queries import _DS, measured
 from .registry import query
 from .statistics_queries import _BINS, _LONG3
 
@@ -139,7 +139,7 @@ FINAL SELECT 'EXTREME_VALUES' AS type, 'high' AS severity, n AS value, 1e6 AS re
 UNION ALL SELECT 'DATA_DRIFT', s, 0, 0 FROM ds2 WHERE s IS NOT NULL UNION ALL SELECT 'INVENTORY_VOLATILITY', 'medium', cv, 0.3 FROM cv WHERE cv > 0.3
 UNION ALL SELECT 'CAPACITY', 'medium', g * 100, 50 FROM gw WHERE g > 0.5 UNION ALL SELECT 'FORECAST_UNCERTAINTY', 'medium', m, 30 FROM (SELECT max(mape) AS m FROM mt) WHERE m > 30""")
 def _(spark, sf):
-    found = everything(spark, sf)
+    found = O.detect(*measured(spark, sf))
     return L.operational_risks(found["outliers"], found["summary"], T.inventory(spark, sf).where("period = 'tune'"), scored(spark, sf))
 
 
@@ -150,9 +150,9 @@ UNION ALL SELECT 'Adapt Inventory Management for Scale Changes', 'High', 'High'
 UNION ALL SELECT 'Diversify Product Category Portfolio', 'Medium', 'Medium' FROM (SELECT max(n) * 100.0 / sum(n) AS s FROM (SELECT count(*) AS n FROM inflows WHERE period = 'tune' GROUP BY Category)) WHERE s > 60
 UNION ALL SELECT 'Implement Seasonal Inventory Planning', 'Medium', 'High'""")
 def _(spark, sf):
-    found = everything(spark, sf)
+    stock, flows = measured(spark, sf)
     models = simple_forecasts(spark, sf).select("model").distinct()
-    return L.recommendations(found["outliers"], found["shifts"], models, T.inflows(spark, sf, ["Category", "period"]).where("period = 'tune'"))
+    return L.recommendations(O.flagged_datasets(stock, flows), O.period_shifts(stock, flows), models, T.inflows(spark, sf, ["Category", "period"]).where("period = 'tune'"))
 
 
 def _run_sql(flows, outflows, inflows, tail=""):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from stocktide.operators import aggregates as A
 from stocktide.operators import combine as J
 from stocktide.operators import series as S
 from stocktide.operators.paging import dataset_page, page

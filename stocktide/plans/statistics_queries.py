@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from stocktide.functions import pvalues as P
-from stocktide.operators import aggregates as A
 from stocktide.operators import drift as R
 from stocktide.operators import series as S
 from stocktide.operators.frames import attach, long_form
@@ -90,8 +89,8 @@ _DRIFT = """dr AS (SELECT dimension, sum(CASE WHEN n1 > 0 THEN (n2 - p * seen) *
        f"WITH {_share_sql(['Partner', 'Brand', 'Warehouse'], 'outflows')}, {_DRIFT}\nFINAL SELECT * FROM dr", places=6)
 def _(spark, sf):
     shares = R.label_shares(labels(spark, sf, ["Partner", "Brand", "Warehouse"], "outflows"), "label", *PAIR, keys=["dimension"])
-    props = R.label_drift(shares, "label", ["dimension"], on="shares").select("dimension", F.col("chi2").alias("chi2_shares"))
-    return R.label_drift(shares, "label", ["dimension"]).join(props, "dimension")
+    props = R.label_drift(shares, ["dimension"], on="shares").select("dimension", F.col("chi2").alias("chi2_shares"))
+    return R.label_drift(shares, ["dimension"]).join(props, "dimension")
 
 
 @query("st07_label_comparison", "dimension:s chi2:d df:l first_top:s second_top:s", f"""WITH {_share_sql(_DIMS)}, {_DRIFT},
@@ -258,7 +257,7 @@ def _(spark, sf):
 @query("st_label_test_pvalues", "dimension:s chi2:d p_value:d drift:b", places=8)
 def _(spark, sf):
     shares = R.label_shares(labels(spark, sf, _DIMS), "label", *PAIR, keys=["dimension"])
-    out = R.label_drift(shares, "label", ["dimension"])
+    out = R.label_drift(shares, ["dimension"])
     out = out.withColumn("p_value", P.chi2_p("chi2", F.col("df").cast("double")))
     return out.withColumn("drift", F.col("p_value") < 0.05)
 
