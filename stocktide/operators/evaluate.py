@@ -127,7 +127,8 @@ def confidence(forecasts: DataFrame, metrics: DataFrame, train: DataFrame, keys:
     """
     base = train.groupBy(*keys).agg(F.avg("y").alias("_mean"), F.stddev("y").alias("_sd"), F.max("ds").alias("_end"))
     rows = attach(forecasts, base, keys).join(metrics.select(*keys, "model", "mae"), [*keys, "model"], "left")
-    floor0 = lambda c: F.greatest(F.lit(0.0), c)
+    # `greatest` skips nulls, so a missing share must be kept missing here.
+    floor0 = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
     width = ratio(F.col("yhat_upper") - F.col("yhat_lower"), F.abs("yhat"))
     interval = F.coalesce(floor0(1 - width / 2), F.lit(0.5))
     days = F.datediff("ds", "_end")
