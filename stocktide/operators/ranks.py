@@ -9,14 +9,18 @@ on the data, so a task that reruns after an executor loss produces the same rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktide.session import materialize
 
-from .frames import attach, known, long_form, over
+from .frames import ENUMERATED, attach, known, long_form, over
+
+Spot = Callable[[Column], Column]
 
 # Logarithmic grid: about 0.05 % of the value per bucket, finer near zero.
 _UNIT, _STEPS = 1000.0, 2048.0
@@ -71,22 +75,50 @@ def cumulative(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequenc
     return joined.select(*out)
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles, one row per key, one column per name."""
+def at_positions(df: DataFrame, value: str, spots: dict[str, Spot], keys: Sequence[str] = ()) -> DataFrame:
+    """Values at 0-based positions of the sorted column, one row per key, and `all_n`.
+
+    A spot maps the row count to a position. Without keys, or with keys the
+    library enumerates, two narrow passes suffice: a histogram over the buckets
+    names the few buckets that hold a wanted position (at most one per spot and
+    key, so broadcast), and only rows of those buckets are counted by value.
+    Other keys rank all distinct values.
+    """
     keys = list(keys)
-    ranked = cumulative(value_counts(df, value, keys), value, ["n"], keys)
+    n = F.col("all_n")
+    if set(keys) <= ENUMERATED:
+        cells = known(df.select(*keys, value), [*keys, value]).withColumn("_bucket", bucket_of(value))
+        sizes = cells.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+        below = over(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select(
+            *keys, "_bucket", "_size", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_off"),
+            F.sum("_size").over(over(keys)).alias("all_n"))
+        holds = [(at(n) >= F.col("_off")) & (at(n) < F.col("_off") + F.col("_size")) for at in spots.values()]
+        wanted = sizes.where(reduce(or_, holds)).select(*keys, "_bucket", "_off", "all_n")
+        counts = cells.join(F.broadcast(wanted), [*keys, "_bucket"]).groupBy(*keys, "_bucket", value).agg(
+            F.count(F.lit(1)).alias("n"), F.max("_off").alias("_off"), F.max("all_n").alias("all_n"))
+        running = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("cum_n", F.sum("n").over(running) + F.col("_off"))
+    else:
+        ranked = cumulative(value_counts(df, value, keys), value, ["n"], keys)
     v = F.col(value).cast("double")
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    aggs, picks = [], []
+    picks = [F.max(F.when((first <= at(n)) & (at(n) <= last), v)).alias(name) for name, at in spots.items()]
+    return ranked.groupBy(*keys).agg(*picks, F.max("all_n").alias("all_n"))
+
+
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles, one row per key, one column per name."""
+    place = lambda p: lambda n: F.lit(float(p)) * (n - 1)
+    spots: dict[str, Spot] = {}
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("all_n") - 1)
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            aggs.append(F.max(F.when((first <= at) & (at <= last), v)).alias(f"{name}_{side}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"{name}_w"))
-        lo, hi, w = F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_w")
-        picks.append((lo + (hi - lo) * w).alias(name))
-    picked = ranked.groupBy(*keys) if keys else ranked.groupBy()
-    return picked.agg(*aggs).select(*keys, *picks)
+        spots[f"{name}_lo"] = lambda n, p=p: F.floor(place(p)(n))
+        spots[f"{name}_hi"] = lambda n, p=p: F.ceil(place(p)(n))
+    found = at_positions(df, value, spots, keys)
+    share = lambda p: place(p)(F.col("all_n")) - F.floor(place(p)(F.col("all_n")))
+    picks = [
+        (F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * share(p)).alias(name) for name, p in probs.items()]
+    return found.select(*keys, *picks)
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -100,14 +132,11 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
 
 def order_statistics(df: DataFrame, value: str, limits: tuple[float, float], keys: Sequence[str] = ()) -> DataFrame:
     """Values left at each end once floor(limit * n) rows are cut off."""
-    keys = list(keys)
-    ranked = cumulative(value_counts(df, value, keys), value, ["n"], keys)
-    v = F.col(value).cast("double")
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    low_at = F.floor(F.lit(limits[0]) * F.col("all_n"))
-    high_at = F.col("all_n") - 1 - F.floor(F.lit(limits[1]) * F.col("all_n"))
-    pick = lambda at: F.max(F.when((first <= at) & (at <= last), v))
-    return ranked.groupBy(*keys).agg(pick(low_at).alias("low"), pick(high_at).alias("high"))
+    spots = {
+        "low": lambda n: F.floor(F.lit(limits[0]) * n),
+        "high": lambda n: n - 1 - F.floor(F.lit(limits[1]) * n),
+    }
+    return at_positions(df, value, spots, keys).select(*keys, "low", "high")
 
 
 def ordered_codes(labels: DataFrame, label: str, name: str) -> DataFrame:
