@@ -155,11 +155,17 @@ def flow_patterns(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 # Turnover bands, strictly above the bound.
-TURNOVER_BANDS = [(12, "Very high"), (6, "High"), (3, "Moderate"), (1, "Low")]
+TURNOVER_BANDS = [
+    (12, "Very high turnover - inventory moves quickly"),
+    (6, "High turnover - efficient inventory management"),
+    (3, "Moderate turnover - reasonable efficiency"),
+    (1, "Low turnover - inventory may be excessive"),
+]
+TURNOVER_REST = "Very low turnover - significant inventory accumulation"
 
 
 def turnover_label(turnover: Column) -> Column:
-    label = F.lit("Very low")
+    label = F.lit(TURNOVER_REST)
     for bound, text in reversed(TURNOVER_BANDS):
         label = F.when(turnover > bound, text).otherwise(label)
     return label

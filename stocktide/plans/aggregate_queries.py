@@ -142,8 +142,10 @@ def _(spark, sf):
     return A.flow_patterns(T.flow_datasets(spark, sf, ["Date", "Quantity", "period"]), ["flow", "period"])
 
 
-_LABEL_SQL = """CASE WHEN turnover > 12 THEN 'Very high' WHEN turnover > 6 THEN 'High' WHEN turnover > 3 THEN 'Moderate'
- WHEN turnover > 1 THEN 'Low' ELSE 'Very low' END AS label"""
+def label_sql(rate):
+    """The turnover bands as a SQL expression."""
+    cases = " ".join(f"WHEN {rate} > {bound} THEN '{text}'" for bound, text in A.TURNOVER_BANDS)
+    return f"CASE {cases} ELSE '{A.TURNOVER_REST}' END"
 
 
 @query("ag12_turnover", "basis:s avg_inventory:d total_outflows:d turnover:d days_of_stock:d label:s", f"""
@@ -152,7 +154,7 @@ o AS (SELECT sum(Quantity) AS q FROM outflows WHERE period = 'tune'),
 t AS (SELECT basis, a AS avg_inventory, q AS total_outflows, span,
  q * (CASE basis WHEN 'raw' THEN 1.0 WHEN 'rows' THEN 365.0 / n ELSE 365.0 / span END) / a AS turnover
  FROM s, o, unnest(['raw', 'rows', 'span']) AS u(basis))
-FINAL SELECT *, (CASE basis WHEN 'raw' THEN span ELSE 365.0 END) / turnover AS days_of_stock, {_LABEL_SQL} FROM t""", places=8)
+FINAL SELECT *, (CASE basis WHEN 'raw' THEN span ELSE 365.0 END) / turnover AS days_of_stock, {label_sql('turnover')} AS label FROM t""", places=8)
 def _(spark, sf):
     stock = T.inventory(spark, sf).where("period = 'tune'")
     out = T.outflows(spark, sf, ["Quantity", "period"]).where("period = 'tune'")

@@ -9,6 +9,7 @@ from stocktide.operators import policy as P
 from stocktide.operators.frames import rows_of
 from stocktide.sources import tables as T
 
+from .aggregate_queries import label_sql
 from .forecast_queries import FORECAST_SQL, K, simple_forecasts, tune_levels
 from .outlier_queries import _DS, measured
 from .registry import query
@@ -63,7 +64,7 @@ def _(spark, sf):
 tn AS (SELECT (SELECT sum(Quantity) FROM outflows WHERE period = 'tune') * 365.0 / count(*) / avg(Inventory_Level) AS t FROM inventory WHERE period = 'tune')
 FINAL SELECT 'reorder_point' AS section, Category AS subject, round_even(7 * m + 1.5 * s, 0) AS value FROM in1
 UNION ALL SELECT 'safety_stock', Series || '|' || model || '|' || service_level, safety_stock FROM ss
-UNION ALL SELECT 'turnover', CASE WHEN t > 12 THEN 'Very high' WHEN t > 6 THEN 'High' WHEN t > 3 THEN 'Moderate' WHEN t > 1 THEN 'Low' ELSE 'Very low' END, t FROM tn""", places=6)
+UNION ALL SELECT 'turnover', {label_sql('t')}, t FROM tn""", places=6)
 def _(spark, sf):
     tune = "period = 'tune'"
     return P.optimisation(T.outflows(spark, sf, _COLS).where(tune), T.inventory(spark, sf).where(tune), scored(spark, sf), K)

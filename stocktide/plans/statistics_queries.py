@@ -6,6 +6,7 @@ from stocktide.functions import pvalues as P
 from stocktide.operators import drift as R
 from stocktide.operators import series as S
 from stocktide.operators.frames import attach, long_form
+from stocktide.operators.profile import analyze, as_rows
 from stocktide.sources import tables as T
 
 from .registry import query
@@ -247,6 +248,41 @@ def _(spark, sf):
     return S.level_trends(T.inventory(spark, sf, by_priority=True), ["Series"])
 
 
+def _metrics(section, subject, source, *metrics):
+    """Select each metric of a source as (section, subject, metric, value) rows."""
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {subject} AS subject, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM {source}" for m, e in metrics)
+
+
+@query("st20_full_profile", "section:s subject:s metric:s value:d", f"""
+WITH {_T}, x AS (SELECT *, row_number() OVER (ORDER BY Date) - 1 AS i, Inventory_Level / lag(Inventory_Level) OVER (ORDER BY Date) - 1 AS ch FROM inventory),
+tr AS (SELECT avg(Inventory_Level) AS m, stddev(Inventory_Level) AS s, min(Inventory_Level) AS lo, max(Inventory_Level) AS hi, quantile_cont(Inventory_Level, 0.5) AS md, regr_slope(Inventory_Level, i) AS sl,
+ regr_intercept(Inventory_Level, i) AS ic, regr_r2(Inventory_Level, i) AS r2, count(*) AS n, stddev(ch) AS dv, max(abs(ch)) AS mx, avg(ch) AS ac, CAST(max(Date) - min(Date) AS DOUBLE) AS span,
+ (SELECT stddev(v) / avg(v) FROM (SELECT avg(Inventory_Level) AS v FROM inventory GROUP BY month(Date))) AS cv FROM x),
+fl AS (SELECT sum(Quantity) FILTER (flow = 'inflows') AS qi, sum(Quantity) FILTER (flow = 'outflows') AS qo FROM flows),
+tn AS (SELECT m, qo, qo * 365.0 / span / m AS t FROM tr, fl),
+lb AS (SELECT flow, d, l, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY flow, d) AS sh FROM (SELECT flow, unnest(['Category', 'Brand', 'Warehouse', 'Grade']) AS d, unnest([Category, Brand, Warehouse, Grade]) AS l FROM flows) GROUP BY 1, 2, 3),
+va AS (SELECT Category, avg(Total_GIK) AS m, quantile_cont(Total_GIK, 0.5) AS md, sum(Total_GIK) AS t, count(*) AS n FROM flows GROUP BY 1),
+pa AS (SELECT 'month|' || month(Date) AS b, avg(Inventory_Level) AS v FROM inventory GROUP BY 1 UNION ALL SELECT 'quarter|' || quarter(Date), avg(Inventory_Level) FROM inventory GROUP BY 1
+ UNION ALL SELECT 'weekday|' || dayname(Date), avg(Inventory_Level) FROM inventory GROUP BY 1 UNION ALL SELECT 'year|' || year(Date), avg(Inventory_Level) FROM inventory GROUP BY 1),
+pf AS (SELECT dim, lab, coalesce(sum(Quantity) FILTER (flow = 'inflows'), 0) AS a, avg(Quantity) FILTER (flow = 'inflows') AS b, count(*) FILTER (flow = 'inflows') AS c, coalesce(sum(Total_GIK) FILTER (flow = 'inflows'), 0) AS d,
+ coalesce(sum(Quantity) FILTER (flow = 'outflows'), 0) AS e, avg(Quantity) FILTER (flow = 'outflows') AS f, count(*) FILTER (flow = 'outflows') AS g, coalesce(sum(Total_GIK) FILTER (flow = 'outflows'), 0) AS h
+ FROM (SELECT *, unnest(['categories', 'warehouses']) AS dim, unnest([Category, Warehouse]) AS lab FROM flows) GROUP BY 1, 2)
+FINAL {_metrics('trends', "'all'", 'tr', ('mean_level', 'm'), ('std_level', 's'), ('min_level', 'lo'), ('max_level', 'hi'), ('median_level', 'md'), ('slope', 'sl'), ('intercept', 'ic'), ('r2', 'r2'), ('n', 'n'),
+ ('daily_volatility', 'dv'), ('max_daily_change', 'mx'), ('avg_daily_change', 'ac'), ('month_pattern_cv', 'cv'))}
+UNION ALL {_metrics('turnover', "'all'", 'tn', ('avg_inventory', 'm'), ('total_outflows', 'qo'), ('turnover', 't'), ('days_of_stock', '365.0 / t'))}
+UNION ALL {_metrics('balance', "'all'", 'fl', ('total_inflows', 'qi'), ('total_outflows', 'qo'), ('net_change', 'qi - qo'), ('flow_ratio', 'qi / qo'))}
+UNION ALL {_metrics('labels', "flow || '|' || d || '|' || l", 'lb', ('n', 'n'), ('share', 'sh'))}
+UNION ALL {_metrics('values', 'Category', 'va', ('mean', 'm'), ('median', 'md'), ('total', 't'), ('n', 'n'))}
+UNION ALL {_metrics('patterns', 'b', 'pa', ('mean_level', 'v'))}
+UNION ALL {_metrics('', 'lab', 'pf', ('in_sum', 'a'), ('in_mean', 'b'), ('in_count', 'c'), ('in_value', 'd'), ('out_sum', 'e'), ('out_mean', 'f'), ('out_count', 'g'), ('out_value', 'h'), ('net_flow', 'a - e')).replace("'' AS section", 'dim AS section')}
+UNION ALL {_metrics('change', "'all'", 'ts', ('first_avg', 'm1'), ('second_avg', 'm2'), ('first_std', 'sqrt(v1)'), ('second_std', 'sqrt(v2)'), ('percentage_change', '(m2 - m1) / m1 * 100'), ('t', 't'), ('df', 'df'))}
+UNION ALL {_metrics('key_metrics', "'all'", 'tr, tn', ('avg_inventory', 'tr.m'), ('peak_inventory', 'hi'), ('min_inventory', 'lo'), ('inventory_volatility', 'dv'), ('turnover_rate', 't'), ('days_of_stock', '365.0 / t'))}""")
+def _(spark, sf):
+    flows = T.flow_datasets(spark, sf, ["Category", "Brand", "Warehouse", "Grade", "Quantity", "Total_GIK"])
+    return as_rows(analyze(level(spark, sf), flows))
+
+
 # Tail probabilities are not SQL; these run without an oracle.
 @query("st_rank_test_pvalues", "column:s ks:d ks_p:d u1:d mw_p:d drift:b", places=8)
 def _(spark, sf):
