@@ -120,10 +120,9 @@ WITH {FORECAST_SQL}
 FINAL SELECT Series, model, ds AS Date, round_even(y, 2) AS Actual, round_even(yhat, 2) AS Predicted, round_even(y - yhat, 2) AS Error,
  round_even(abs(y - yhat), 2) AS Absolute_Error, round_even((y - yhat) / CASE WHEN y <> 0 THEN y ELSE 1 END * 100, 2) AS Percentage_Error FROM fc JOIN tune_y USING (Series, ds)""", places=2)
 def _(spark, sf):
-    rows = E.compare(tune_levels(spark, sf), simple_forecasts(spark, sf), ["Series"]).withColumnRenamed("ds", "Date")
+    rows = E.compare(tune_levels(spark, sf), simple_forecasts(spark, sf), ["Series"])
     path = work_path(spark, "comparison")
-    names = ["Actual", "Predicted", "Error", "Absolute_Error", "Percentage_Error"]
-    files.export_csv(rows.select("Series", "model", F.date_format("Date", "yyyy-MM-dd").alias("Date"), *[F.bround(n, 2).alias(n) for n in names]), path)
+    files.export_csv(files.comparison_rows(rows, ["Series", "model"]), path)
     return files.read_csv(spark, path)
 
 

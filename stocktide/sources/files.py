@@ -170,10 +170,10 @@ def export_metadata(datasets: dict[str, DataFrame]) -> DataFrame:
     return dataset_summary(datasets).select("dataset", body.alias("metadata"))
 
 
-def comparison_rows(compared: DataFrame) -> DataFrame:
+def comparison_rows(compared: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Actual against predicted, measures half-even rounded to two places."""
     names = ["Actual", "Predicted", "Error", "Absolute_Error", "Percentage_Error"]
-    return compared.select(F.date_format("Date", "yyyy-MM-dd").alias("Date"), *[F.bround(n, 2).alias(n) for n in names])
+    return compared.select(*keys, F.date_format("ds", "yyyy-MM-dd").alias("Date"), *[F.bround(n, 2).alias(n) for n in names])
 
 
 def export_bundle(tables: dict[str, DataFrame], root: str, chosen: Sequence[str]) -> DataFrame:
