@@ -34,11 +34,47 @@ def per_process(key, make):
     return state[key]
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a join key: `id` (a missing id counts as the largest) and `th`, a hash of the text.
+
+    Rows that repeat both id and text are one document; each of them gets its result.
+    """
+    rows = identified(docs, id_col, text_col)
+    return rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "doc_id", "text")
+
+
 def slices(batch: pa.RecordBatch, rows: int = 1000):
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
 
+def bounded(raws: list[bytes], limit: int = 2 << 20):
+    """Ranges of consecutive texts of at most `limit` bytes together; a longer text stands alone."""
+    start = size = 0
+    for i, raw in enumerate(raws):
+        if i > start and size + len(raw) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(raw)
+    if start < len(raws):
+        yield start, len(raws)
+
+
+def cut_out(text, starts, ends):
+    """The text without the given ranges, the number of units removed and of maximal removed runs."""
+    kept, at, removed, runs = [], 0, 0, 0
+    last = -1
+    for s, e in sorted(zip(starts, ends)):
+        if s > last:
+            runs += 1
+        if s > at:
+            kept.append(text[at:s])
+        removed += max(0, e - max(s, at))
+        at, last = max(at, e), max(last, e)
+    kept.append(text[at:])
+    return text[:0].join(kept), removed, runs
+
+
 def arrow_schema(text: str) -> pa.Schema:
     """An Arrow schema from `name type, ...` with the type names of Spark used here."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
