@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import encode, sentences, sequences, simhash, token_count
+from . import decontaminate, encode, language, sentences, sequences, simhash, token_count
 
 
 def queries() -> dict:
     return {
         "op1_bpe_encode": encode.op1_bpe_encode,
+        "op2_language_mixture": language.op2_language_mixture,
         "op3_token_sequences": sequences.op3_token_sequences,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op7_token_counts": token_count.op7_token_counts,
+        "op8_benchmark_leaks": decontaminate.op8_benchmark_leaks,
         "op9_sentence_spans": sentences.op9_sentence_spans,
     }
 
