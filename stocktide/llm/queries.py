@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, encode, language, sentences, sequences, simhash, token_count
+from . import decontaminate, encode, imatch, language, sentences, sequences, simhash, token_count
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_mixture": language.op2_language_mixture,
         "op3_token_sequences": sequences.op3_token_sequences,
         "op5_simhash_components": simhash.op5_simhash_components,
+        "op6_imatch_fingerprints": imatch.op6_imatch_fingerprints,
         "op7_token_counts": token_count.op7_token_counts,
         "op8_benchmark_leaks": decontaminate.op8_benchmark_leaks,
         "op9_sentence_spans": sentences.op9_sentence_spans,
