@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, encode, imatch, language, sentences, sequences, simhash, token_count
+from . import decontaminate, dom, encode, imatch, language, repeats, sentences, sequences, simhash, token_count
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_bpe_encode": encode.op1_bpe_encode,
         "op2_language_mixture": language.op2_language_mixture,
         "op3_token_sequences": sequences.op3_token_sequences,
+        "op4_suffix_repeats": repeats.op4_suffix_repeats,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op6_imatch_fingerprints": imatch.op6_imatch_fingerprints,
         "op7_token_counts": token_count.op7_token_counts,
         "op8_benchmark_leaks": decontaminate.op8_benchmark_leaks,
         "op9_sentence_spans": sentences.op9_sentence_spans,
+        "op10_main_text": dom.op10_main_text,
     }
 
 
