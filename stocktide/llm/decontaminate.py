@@ -18,11 +18,12 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, keyed, map_batches, read
+from .common import bounded, keyed, map_batches, read, slices
 from .words import mixed, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,16 +110,9 @@ def overlaps(texts: list[str], items: Items, least_words: int, identity: float):
 def leaks(docs: DataFrame, items: DataFrame, least_words: int = 13, identity: float = 0.8, item_id: str = "item_id", item_text: str = "text",
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, th, doc_id, item_id, matched and length (words), first_word; `docs` as from `keyed`. One row for each leaking pair."""
-    spark = docs.sparkSession
-    bench = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
     schema = "id long, th long, doc_id long, item_id long, matched long, length long, first_word long"
     result = None
-    for block in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # one bounded block
-        shared = spark.sparkContext.broadcast(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part))
-
+    for shared in blocks_of(items, item_id, item_text, block_bytes):
         def make(shared=shared):
             known = Items(shared.value)
 
@@ -140,6 +134,34 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = 13, identity: fl
     return result
 
 
+def blocks_of(items: DataFrame, item_id: str, item_text: str, block_bytes: int):
+    """Broadcasts of the items, each of bounded size; at least one."""
+    bench = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // block_bytes) or 1
+    for block in range(blocks):
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # one bounded block
+        yield items.sparkSession.sparkContext.broadcast(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part))
+
+
+def drop_leaking(docs: DataFrame, items: DataFrame, least_words: int = 13, identity: float = 0.8, text_col: str = "text", item_id: str = "item_id",
+                 item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows, with all their columns, that overlap with no item; narrow, one pass for each block of items."""
+    for shared in blocks_of(items, item_id, item_text, block_bytes):
+        def run(batches, shared=shared):
+            known = Items(shared.value)
+            for batch in batches:
+                for part in slices(batch):
+                    texts = [t or "" for t in part.column(text_col).to_pylist()]
+                    clean = np.ones(len(texts), dtype=bool)
+                    for low, high in bounded(texts):
+                        clean[[low + text for text, *_ in overlaps(texts[low:high], known, least_words, identity)]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(keyed(read(spark, sf_dir), "doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "length", "first_word")

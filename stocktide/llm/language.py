@@ -173,6 +173,40 @@ def infer(mixtures: Mixtures, rounds: int = 10) -> tuple[np.ndarray, np.ndarray,
     return full, final, size
 
 
+def judge(texts: list[str | None], langs: list[str], table: np.ndarray):
+    """Language, its share, the chosen set and the share of the background for each text."""
+    texts = [t or "" for t in texts]
+    n = len(texts)
+    pred, score, sets, none = [UNDETERMINED] * n, [0.0] * n, [""] * n, [1.0] * n
+    able = [i for i, t in enumerate(texts) if langs and _LETTER.search(t)]
+    for owner, bins, counts in counted([texts[i] for i in able]):
+        if not len(owner):
+            continue
+        m = Mixtures(owner, table[bins], counts)
+        full, final, size = infer(m)
+        order = np.argsort(-final, axis=1, kind="stable")
+        for j, text in enumerate(m.texts):
+            i, top = able[text], order[j, 0]
+            pred[i], score[i] = langs[top], float(min(1.0, full[j, top]))
+            sets[i] = " ".join(langs[x] for x in order[j, :size[j]])
+            none[i] = float(min(1.0, full[j, -1]))
+    return pred, score, sets, none
+
+
+def keep_determined(docs: DataFrame, model, text_col: str = "text", most_background: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, in which a learned language leads and the background does not prevail."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        langs, table = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                pred, _, _, none = judge(part.column(text_col).to_pylist(), langs, table)
+                yield part.filter(pa.array([p != UNDETERMINED and b <= most_background for p, b in zip(pred, none)], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, lang_pred, score (share of that language), langs (the chosen set) and background (share of none)."""
     langs, table = model
@@ -183,23 +217,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
         langs, table = shared.value
 
         def step(batch):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            n = len(texts)
-            pred, score, sets, none = [UNDETERMINED] * n, [0.0] * n, [""] * n, [1.0] * n
-            able = [i for i, t in enumerate(texts) if langs and _LETTER.search(t)]
-            for owner, bins, counts in counted([texts[i] for i in able]):
-                if not len(owner):
-                    continue
-                m = Mixtures(owner, table[bins], counts)
-                full, final, size = infer(m)
-                order = np.argsort(-final, axis=1, kind="stable")
-                for j, text in enumerate(m.texts):
-                    i = able[text]
-                    top = order[j, 0]
-                    pred[i], score[i] = langs[top], float(min(1.0, full[j, top]))
-                    sets[i] = " ".join(langs[x] for x in order[j, :size[j]])
-                    none[i] = float(min(1.0, full[j, -1]))
-            return batch.column(0), batch.column(1), pred, score, sets, none
+            return batch.column(0), batch.column(1), *judge(batch.column(2).to_pylist(), langs, table)
 
         return step
 

@@ -17,13 +17,14 @@ import re
 import sys
 import zlib
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktide.session import materialize
 
-from .common import cut_out, keyed, map_batches, read
+from .common import cut_out, keyed, map_batches, read, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -112,6 +113,32 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     return map_batches(joined, make, "doc_id long, th long, text string, n_removed long, n_spans long")
 
 
+def drop_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 12, id_col: str = "doc_id", text_col: str = "text",
+                 length_col: str = "n_chars") -> DataFrame:
+    """All columns of the rows with repeats cut from their text and its length corrected; a text that is nothing but repeats goes."""
+    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    ranges = repeated_spans(keyed(docs, id_col, text_col), least_sentences, least_words).groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
+        F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
+    joined = rows.join(ranges, ["_id", "_th"], "left").select(*docs.columns, "_starts", "_ends")
+    width, text_at = len(docs.columns), docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts, starts, ends = (part.column(i).to_pylist() for i in (text_at, width, width + 1))
+                cut = [cut_out(t, s, e)[0] if s else t for t, s, e in zip(texts, starts, ends)]
+                columns = [part.column(i) for i in range(width)]
+                columns[text_at] = pa.array(cut, type=pa.string())
+                if length_at is not None:
+                    old = columns[length_at]
+                    columns[length_at] = pa.array([len(t) if s else n for t, s, n in zip(cut, starts, old.to_pylist())], type=old.type)
+                whole = pa.RecordBatch.from_arrays(columns, names=part.schema.names[:width])
+                yield whole.filter(pa.array([not s or bool(t.strip()) for t, s in zip(cut, starts)], type=pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(read(spark, sf_dir))
     return kept.select("doc_id", F.length("text").cast("long").alias("n_kept"), "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))

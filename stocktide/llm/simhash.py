@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stocktide.session import materialize
 
-from .common import arrow_schema, identified, map_batches, read
+from .common import arrow_schema, keyed, map_batches, read
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,24 +135,35 @@ def near_links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFr
     return paired.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, id and th (see `keyed`) and fp of every text."""
     def make():
         def step(batch):
-            return batch.column(0), np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            prints = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            return batch.column("doc_id"), batch.column("id"), batch.column("th"), prints
         return step
 
-    return map_batches(identified(docs, id_col, text_col), make, "doc_id long, fp long")
+    return map_batches(keyed(docs, id_col, text_col), make, "doc_id long, id long, th long, fp long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id, the smallest id that links lead to."""
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, id, th, fp and component_id, the smallest id that links lead to."""
+    prints = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "id", "th", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, of the document that names its component; rows that share an id stay or go together."""
+    near = near_duplicates(docs, radius, width, id_col, text_col)
+    gone = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)) == F.col("_gone_id")
+    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_gone_th")
+    return docs.join(gone, key & tag, "left_anti")
 
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
