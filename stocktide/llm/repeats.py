@@ -36,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, ANCHOR = 100, 24
 BUNDLE = 8192  # occurrences in one index
-VARIANTS = 4096  # differing surroundings of an anchor that one index takes
+VARIANTS = 4096  # live occurrences of an anchor that one index takes; at most BUNDLE
 PIECE = 2 << 20
 
 
@@ -171,28 +171,67 @@ def bundle_marks(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], le
     return (np.concatenate(who), np.concatenate(where)) if who else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
 
 
-def _indexed(around: DataFrame, length: int) -> DataFrame:
-    """id, at (start) of the windows of the smaller anchor groups that an earlier occurrence has."""
-    schema = "id long, at long, size int"
+def _live(around: DataFrame, length: int) -> DataFrame:
+    """Occurrences that share a half of some window with another one of their anchor.
+
+    A window reaches at least half of what it can to the left of its anchor, or more than the other
+    half to the right; an occurrence alone in both can match none. `cl`, `cr`: which halves are shared.
+    """
+    half = (length - ANCHOR) // 2
+    near = around.repartition("a")
+    for flag, near_side, width in (("cl", f"substring(left, length(left) - {half - 1}, {half})", half), ("cr", f"substring(right, 1, {half + 1})", half + 1)):
+        side = "left" if flag == "cl" else "right"
+        near = near.withColumn("_h", F.xxhash64(F.expr(near_side)))
+        near = near.withColumn(flag, (F.length(side) >= width) & (F.count("*").over(Window.partitionBy("a", "_h")) > 1)).drop("_h")
+    near = near.where("cl or cr").withColumn("size", F.count("*").over(Window.partitionBy("a")))
+    # Bytes that only windows of the other half would need are left out.
+    sides = near.where("size > 1").withColumns({
+        "left": F.expr(f"if(cl, left, substring(left, greatest(1, length(left) - {half - 2}), {half - 1}))"),
+        "right": F.expr(f"if(cr, right, substring(right, 1, {half}))")})
+    return sides.sortWithinPartitions("a", "id", "at")
+
+
+def _compared(around: DataFrame, length: int, variants: int) -> DataFrame:
+    """id, at (start) and size of ranges of windows that an earlier occurrence of the anchor has.
+
+    Of an anchor with more than `variants` live occurrences, the windows themselves come instead, with a hash `h`.
+    """
+    schema = "id long, at long, size int, h long"
+    reach, half = length - ANCHOR, (length - ANCHOR) // 2
+
+    def indexed(table: pa.Table):
+        who, where = bundle_marks(table.column("a").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), length)
+        if not len(who):
+            return
+        order = np.lexsort((where, who))  # windows that follow each other make one range
+        who, where = who[order], where[order]
+        begin = np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] > where[:-1] + 1)])
+        low = np.nonzero(begin)[0]
+        high = np.append(low[1:], len(who)) - 1
+        ids, at = table.column("id").to_numpy(), table.column("at").to_numpy()
+        yield ids[who[low]], at[who[low]] + where[low], where[high] - where[low] + length, [None] * len(low)
+
+    def windows(table: pa.Table):
+        import xxhash
+
+        out = ([], [], [], [])
+        for a, key, at, left, right, cl, cr in zip(*(table.column(c).to_pylist() for c in ("a", "id", "at", "left", "right", "cl", "cr"))):
+            n = len(left)
+            low, high = max(0 if cr else half, reach - len(right)), min(reach if cl else half - 1, n)
+            for o in range(low, high + 1):
+                h = xxhash.xxh3_64_intdigest(left[n - o:] + b"%d:%d:" % (a, o) + right[:reach - o])
+                for column, value in zip(out, (key, at - o, length, h - (1 << 64) if h >= 1 << 63 else h)):
+                    column.append(value)
+        yield out
 
     def run(batches):
         out, held = arrow_schema(schema), None
 
         def found(table: pa.Table):
-            if table.num_rows < 2:
-                return
-            groups = table.column("a").to_numpy()
-            who, where = bundle_marks(groups, table.column("left").to_pylist(), table.column("right").to_pylist(), length)
-            if len(who):
-                # windows that follow each other make one range
-                order = np.lexsort((where, who))
-                who, where = who[order], where[order]
-                begin = np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] > where[:-1] + 1)])
-                low = np.nonzero(begin)[0]
-                high = np.append(low[1:], len(who)) - 1
-                ids, at = table.column("id").to_numpy(), table.column("at").to_numpy()
-                columns = [ids[who[low]], at[who[low]] + where[low], where[high] - where[low] + length]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
+            large = np.array(table.column("size").to_numpy() > variants)
+            for part, use in ((table.filter(pa.array(~large)), indexed), (table.filter(pa.array(large)), windows)):
+                for columns in use(part) if part.num_rows else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
 
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -200,14 +239,14 @@ def _indexed(around: DataFrame, length: int) -> DataFrame:
                 keys = held.column("a").to_numpy()
                 change = np.nonzero(keys[1:] != keys[:-1])[0] + 1
                 change = change[change <= BUNDLE]
-                if not len(change):
-                    break
-                yield from found(held.slice(0, change[-1]))
-                held = held.slice(change[-1])
+                # a part of a large group may go alone: its windows meet in Spark
+                cut = change[-1] if len(change) else BUNDLE
+                yield from found(held.slice(0, cut))
+                held = held.slice(cut)
         if held is not None:
             yield from found(held)
 
-    return around.repartition("a").sortWithinPartitions("a", "id", "at").mapInArrow(run, schema)
+    return _live(around, length).mapInArrow(run, schema)
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIANTS) -> DataFrame:
@@ -218,7 +257,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIA
     same = Window.partitionBy("a")
     seen = places.repartition("a").withColumn("nth", F.row_number().over(alike)).withColumn(
         "variants", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(same))
-    met = materialize(seen.where("nth > 1 or variants > 1").select("a", "id", "at", (F.col("nth") > 1).alias("whole"), F.col("variants").cast("int").alias("variants")), "anchors")
+    met = materialize(seen.where("nth > 1 or variants > 1").select("a", "id", "at", (F.col("nth") > 1).alias("whole")), "anchors")
 
     # The text limits its surroundings; the end is cut when the text is at hand.
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -228,20 +267,12 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIA
         for p, a in zip(places, keys):
             yield p, a, raw[max(0, p - reach):p], raw[p + ANCHOR:p + length]
 
-    def windows(raw, places, keys):
-        import xxhash
-
-        for s in sorted({s for p in places for s in range(max(0, p - reach), min(p, len(raw) - length) + 1)}):
-            h = xxhash.xxh3_64_intdigest(raw[s:s + length])
-            yield s, h - (1 << 64) if h >= 1 << 63 else h
-
-    rims = met.where("not whole")
-    some = _surroundings(rows, rims.where(F.col("variants") <= variants), length, "id long, at long, a long, left binary, right binary", parts)
-    marked = _indexed(some, length)
-    single = materialize(_surroundings(rows, rims.where(F.col("variants") > variants), length, "id long, at long, h long", windows), "windows")
+    around = _surroundings(rows, met.where("not whole"), length, "id long, at long, a long, left binary, right binary", parts)
+    compared = materialize(_compared(around, length, variants), "compared")
+    marked, single = compared.where("h is null").select("id", "at", "size"), compared.where("h is not null")
     spot = F.struct("id", "at")
     firsts = single.groupBy("h").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first != last").select("h", "first")
-    many = single.join(firsts, "h").where(spot != F.col("first")).select("id", "at", F.lit(length).alias("size"))
+    many = single.join(firsts, "h").where(spot != F.col("first")).select("id", "at", "size")
     start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     return whole.union(marked.union(many).select("id", F.shiftright("at", 32), start, start + F.col("size")))
 

@@ -13,6 +13,7 @@ gives an empty index. A text needs the memory of its own ids in one task.
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 import zlib
@@ -32,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INDEX = "row long, doc_id long, shard long, file string, first long, n_tokens long"
 BATCH = 256  # sequences in a record batch
+# The pre-token pattern of the word-level vocabulary, for lower-case printable ASCII (fixed value).
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordEncoder:
@@ -50,7 +53,13 @@ class WordEncoder:
         model, before, normal = library.model, library.pre_tokenizer, library.normalizer
         pack = lambda ids: np.array(ids, dtype=self.kind).tobytes()
         token = bpe.Memory(lambda p: pack([t.id for t in model.tokenize(p)]))
-        self._known = bpe.Memory(lambda w: b"".join(token[p] for p, _ in before.pre_tokenize_str(normal.normalize_str(w))))
+
+        def of_word(word: str) -> bytes:
+            if word.isascii() and word.isprintable():
+                return b"".join(map(token.__getitem__, _ASCII.findall(word.lower())))
+            return b"".join(token[p] for p, _ in before.pre_tokenize_str(normal.normalize_str(word)))
+
+        self._known = bpe.Memory(of_word)
         self._pack = pack
 
     @classmethod

@@ -58,18 +58,21 @@ class RunIndex:
         self.base[by_symbol] = total
         self.sorted_runs = self.heads[by_symbol] * self.count + by_symbol
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of two suffixes, at least up to the depth of the ranks."""
+    def common(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of two suffixes; exact below `limit`, and no less than it otherwise."""
         n, total = len(self.text), np.zeros(len(a), dtype=np.int64)
         for depth, rank in reversed(self.ranks):
-            inside = np.maximum(a, b) < n
-            same = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a != b)
-            step = np.where(same, depth, 0)
-            total, a, b = total + step, a + step, b + step
-        for _ in range(3):
-            inside = np.maximum(a, b) < n
-            same = inside & (self.text[np.minimum(a, n - 1)] == self.text[np.minimum(b, n - 1)])
-            total, a, b = total + same, a + same, b + same
+            at = np.nonzero(limit >= depth)[0]  # ranks beyond the limit are not needed
+            if not len(at):
+                continue
+            x, y = a[at] + total[at], b[at] + total[at]
+            same = (np.maximum(x, y) < n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]) & (x != y)
+            total[at[same]] += depth
+        for step in range(3):
+            at = np.nonzero(limit > step)[0]
+            x, y = a[at] + total[at], b[at] + total[at]
+            same = (np.maximum(x, y) < n) & (self.text[np.minimum(x, n - 1)] == self.text[np.minimum(y, n - 1)])
+            total[at[same]] += 1
         return total
 
     def matching_statistics(self, patterns: np.ndarray) -> np.ndarray:
@@ -88,8 +91,8 @@ class RunIndex:
                 has_low = (low >= 0) & (self.sorted_runs[np.maximum(low, 0)] // self.count == symbol[off])
                 has_high = (high < self.count) & (self.sorted_runs[np.minimum(high, self.count - 1)] // self.count == symbol[off])
                 above, below = self.sorted_runs[np.maximum(low, 0)] % self.count, self.sorted_runs[np.minimum(high, self.count - 1)] % self.count
-                up = np.where(has_low, self.common(place[off], self.at_end[above]), -1)
-                down = np.where(has_high, self.common(place[off], self.at_start[below]), -1)
+                up = np.where(has_low, self.common(place[off], self.at_end[above], length[off]), -1)
+                down = np.where(has_high, self.common(place[off], self.at_start[below], length[off]), -1)
                 take_up = up >= down
                 none = ~(has_low | has_high)
                 run[off] = np.where(none, run[off], np.where(take_up, above, below))
