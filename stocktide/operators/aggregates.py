@@ -129,8 +129,9 @@ def flow_performance(flows: DataFrame, dim: str) -> DataFrame:
 
 
 def by_grain(df: DataFrame, grains: dict[str, Column], aggs: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
-    """One scan, several calendar grains: GROUPING SETS over the grain columns."""
+    """One scan, several calendar grains: GROUPING SETS over the grain columns; undated rows belong to none."""
     tagged = df.select(*keys, *[c.alias(g) for g, c in grains.items()], *[c for c in df.columns if c not in keys])
+    tagged = known(tagged, grains)
     sets = [[*keys, g] for g in grains]
     out = tagged.groupingSets([[F.col(c) for c in s] for s in sets], *keys, *grains).agg(*aggs)
     # Exactly one grain column is set in every row of its own set.
@@ -214,9 +215,11 @@ def monthly_flows(flows: DataFrame) -> DataFrame:
 def partner_volumes(outflows: DataFrame) -> DataFrame:
     """Shipments per partner with the volume rank; equal volumes share a rank.
 
-    The rank comes from cumulative counts over distinct volumes, so no task
+    The volumes are written once, so that both sides of the join hold the same sums. The rank comes from cumulative counts over distinct volumes, so no task
     sorts all partners.
     """
+    from stocktide.session import materialize
+
     from .ranks import cumulative
 
     per = known(outflows, ["Partner"]).groupBy("Partner").agg(
@@ -224,6 +227,7 @@ def partner_volumes(outflows: DataFrame) -> DataFrame:
         F.count("Quantity").alias("shipment_count"),
         F.avg("Quantity").alias("avg_shipment"),
     )
+    per = materialize(per, "partners")
     above = cumulative(
         per.groupBy((-F.col("total_quantity")).alias("_neg")).agg(F.count(F.lit(1)).alias("n")), "_neg", ["n"]
     )

@@ -30,15 +30,19 @@ def compare(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (), a
         err.alias("Error"), F.abs(err).alias("Absolute_Error"), (err / _zero_safe(F.col("y")) * 100).alias("Percentage_Error"))
 
 
-def accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (), empty: float = 0.0) -> DataFrame:
-    """RMSE, MAE and MAPE per key and model; no common date gives `empty`."""
+def accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (), empty: float | None = None) -> DataFrame:
+    """RMSE, MAE, MAPE and the number of compared days per key and model.
+
+    Without a common date the scores are null, or `empty` where a caller needs a number.
+    """
     group = [*keys, "model"]
     rows = compare(actual, forecasts, keys)
     scored = rows.groupBy(*group).agg(
         F.sqrt(F.avg(F.col("Error") * F.col("Error"))).alias("rmse"), F.avg("Absolute_Error").alias("mae"),
-        F.avg(F.abs("Percentage_Error")).alias("mape"))
+        F.avg(F.abs("Percentage_Error")).alias("mape"), F.count("Error").alias("compared_days"))
     everyone = forecasts.select(*group).distinct()
-    return everyone.join(scored, group, "left").na.fill(float(empty), ["rmse", "mae", "mape"])
+    out = everyone.join(scored, group, "left").na.fill(0, ["compared_days"])
+    return out if empty is None else out.na.fill(float(empty), ["rmse", "mae", "mape"])
 
 
 def extended_accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

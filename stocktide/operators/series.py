@@ -247,7 +247,7 @@ def decompose(df: DataFrame, keys, date: str, value: str, period: int) -> DataFr
 
 
 def trend_change(df: DataFrame, keys, date: str, value: str, period: int = 365, min_rows: int = 24) -> DataFrame:
-    """Slope of the first against the last half of the smoothed trend."""
+    """Slope of the first against the last half of the smoothed trend; a series too short for it gets nulls and a reason."""
     parts = decompose(df, keys, date, value, period).where(F.col("trend").isNotNull())
     at = indexed(parts, keys, date).withColumn("_n", F.count(F.lit(1)).over(over(keys))).withColumn("_h", F.floor(F.col("_n") / 2))
     early = F.col("_i") < F.col("_h")
@@ -257,8 +257,12 @@ def trend_change(df: DataFrame, keys, date: str, value: str, period: int = 365,
         slope(early).alias("early_slope"), slope(late).alias("late_slope"),
         F.stddev("trend").alias("_sd"), F.count(F.lit(1)).alias("_rows"))
     gap = F.abs(F.col("late_slope") - F.col("early_slope"))
-    out = out.where(F.col("_rows") + (period // 2) * 2 >= min_rows)
-    return out.select(*keys, "early_slope", "late_slope", gap.alias("change"), (gap > F.col("_sd") * 0.1).alias("changed"))
+    out = out.where(F.col("_rows") + (period // 2) * 2 >= min_rows).select(
+        *keys, "early_slope", "late_slope", gap.alias("change"), (gap > F.col("_sd") * 0.1).alias("changed"))
+    if not keys:
+        return out.withColumn("reason", F.lit(None).cast("string"))
+    reason = F.when(F.col("early_slope").isNull(), F.lit("insufficient data")).alias("reason")
+    return df.select(*keys).distinct().join(out, list(keys), "left").select("*", reason)
 
 
 def long_gaps(df: DataFrame, keys, date: str, days: int = 30) -> DataFrame:

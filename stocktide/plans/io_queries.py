@@ -49,12 +49,11 @@ def _datasets(spark, sf):
     return {"inventory": T.inventory(spark, sf), "inflows": T.inflows(spark, sf, ["Vendor", *cols]), "outflows": T.outflows(spark, sf, ["Partner", *cols])}
 
 
-@query("io05_save_all", "period:s type:s saved:b", """SELECT p AS period, t AS type, t <> 'outflows' AND
- (CASE t WHEN 'inventory' THEN (SELECT count(*) FROM inventory WHERE period = p) ELSE (SELECT count(*) FROM inflows WHERE period = p) END) > 0 AS saved
+@query("io05_save_all", "period:s type:s saved:b", """SELECT p AS period, t AS type,
+ (CASE t WHEN 'inventory' THEN (SELECT count(*) FROM inventory WHERE period = p) ELSE (SELECT count(*) FROM flows WHERE period = p AND flow = t) END) > 0 AS saved
  FROM unnest(['train', 'tune', 'test']) AS a(p), unnest(['inventory', 'inflows', 'outflows']) AS b(t)""")
 def _(spark, sf):
-    given = {**_datasets(spark, sf), "outflows": None}
-    out = files.save_all(spark, given, work_path(spark, "all"))
+    out = files.save_all(spark, _datasets(spark, sf), work_path(spark, "all"))
     return out.withColumn("saved", F.coalesce("saved", F.lit(False)))
 
 

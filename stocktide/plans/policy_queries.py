@@ -121,15 +121,9 @@ rr AS (SELECT 'LOW_INVENTORY' AS type, 'HIGH' AS severity, cl AS value, al AS re
 rk AS (SELECT * FROM rr WHERE fired)"""
 
 
-@query("in09_level_and_flow_risks", "type:s severity:s value:d reference:d", f"""{_W}, {_risk('flows2').replace('FROM inventory)', 'FROM inventory2)')}
-FINAL SELECT * FROM rk""".replace("WITH ", """WITH cutoff AS (SELECT arg_min(Date, (Inventory_Level, Date)) AS d FROM inventory),
-inventory2 AS (SELECT inventory.* FROM inventory, cutoff WHERE Date <= d), flows2 AS (SELECT flows.* FROM flows, cutoff WHERE Date <= d), """, 1))
-def _(spark, sf):
-    # History up to the day of the lowest level, where alerts are due.
-    stock = T.inventory(spark, sf)
-    day = stock.agg(F.min_by("Date", F.struct("Inventory_Level", "Date")).alias("d")).scalar()
-    flows = T.flow_datasets(spark, sf, ["Date", "Quantity"])
-    return L.level_and_flow_risks(stock.where(F.col("Date") <= day), flows.where(F.col("Date") <= day), simple_forecasts(spark, sf))
+@query("in09_level_and_flow_risks", "type:s severity:s value:d reference:d", f"{_W}, {_risk('flows')}\nFINAL SELECT * FROM rk")
+def _(spark, sf):
+    return L.level_and_flow_risks(T.inventory(spark, sf), T.flow_datasets(spark, sf, ["Date", "Quantity"]), simple_forecasts(spark, sf))
 
 
 @query("in10_operational_risks", "type:s severity:s value:d reference:d", f"""{_W}, {_LONG3}, {_BINS}, {_DS},

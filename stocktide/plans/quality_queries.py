@@ -39,10 +39,9 @@ def _(spark, sf):
 
 
 @query("vq03_required_periods", "type:s period:s present:b", """SELECT v.type, v.period, n > 0 AS present FROM (VALUES ('inventory', 'train'), ('inventory', 'tune')) AS v(type, period),
- LATERAL (SELECT count(*) AS n FROM inventory i WHERE i.period = v.period AND Date >= DATE '1998-01-01')""")
+ LATERAL (SELECT count(*) AS n FROM inventory i WHERE i.period = v.period)""")
 def _(spark, sf):
-    # Levels from 1998 on: the train period is the missing one.
-    stock = T.inventory(spark, sf).where(F.col("Date") >= "1998-01-01").select(F.lit("inventory").alias("type"), "period")
+    stock = T.inventory(spark, sf).select(F.lit("inventory").alias("type"), "period")
     missing = Q.required_periods(stock).withColumn("present", F.lit(False))
     found = stock.distinct().where(F.col("period").isin("train", "tune")).withColumn("present", F.lit(True))
     return missing.unionByName(found)

@@ -67,7 +67,9 @@ def load_dataset(spark: SparkSession, root: str, kind: str, period: str | None =
     schema.add("period", T.StringType())
     try:
         df = spark.read.schema(schema).format(fmt).load(f"{root}/{kind}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if period is not None:
         df = df.where(F.col("period") == period)
@@ -86,7 +88,9 @@ def catalog(spark: SparkSession, root: str, fmt: str = "json") -> DataFrame:
     for kind in schemas.TABLES:
         try:
             files = spark.read.schema("period string").format(fmt).load(f"{root}/{kind}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         per_file = files.groupBy("period", F.col("_metadata.file_path").alias("_path")).agg(
             F.max("_metadata.file_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))

@@ -151,3 +151,43 @@ def test_severity_bands(frame):
     s = O.summary(frame([(1.0,)], "value double"), frame([(0.3,)], "js double"), frame([(1.6,)], "ratio double")).first()
     assert tuple(s) == (1, "Medium", "High")
     assert tuple(O.summary(empty, empty, empty).first()) == (0, "Low", "Low")
+
+
+def test_undated_rows_belong_to_no_grain(frame):
+    from stocktide.operators import aggregates as A
+
+    df = frame([("2020-01-05", 4.0), (None, 9.0)], "Date date, Inventory_Level double")
+    assert {r.grain for r in A.level_patterns(df).collect()} == {"month", "quarter", "weekday", "year"}
+
+
+def test_uncompared_forecasts_have_no_score(frame):
+    from stocktide.operators import evaluate as E
+
+    actual = frame([("a", "2020-01-01", 1.0)], "k string, ds date, y double")
+    fc = frame([("a", "m", "2021-01-01", 1.0, 1.0, 1.0), ("b", "m", "2021-01-01", 1.0, 1.0, 1.0)],
+               "k string, model string, ds date, yhat double, yhat_lower double, yhat_upper double")
+    assert all(r.rmse is None and r.compared_days == 0 for r in E.accuracy(actual, fc, ["k"]).collect())
+    assert all(r.rmse == float("inf") for r in E.accuracy(actual, fc, ["k"], empty=float("inf")).collect())
+
+
+def test_partner_ranks_keep_every_partner(frame):
+    from stocktide.operators import aggregates as A
+
+    rows = [(f"p{i % 50}", 0.1 * i + 1 / 3) for i in range(2000)]
+    out = A.partner_volumes(frame(rows, "Partner string, Quantity double").repartition(7))
+    assert out.count() == 50
+
+
+def test_short_series_report_insufficient_data(frame):
+    from stocktide.operators import series as S
+
+    df = frame([("a", f"2020-01-{d:02d}", float(d)) for d in range(1, 7)] + [("b", "2020-01-01", 1.0)], "k string, ds date, y double")
+    out = S.trend_change(df, ["k"], "ds", "y").collect()
+    assert len(out) == 2 and all(r.reason == "insufficient data" and r.change is None for r in out)
+
+
+def test_period_gate_and_missing_actuals_on_small_frames(frame):
+    from stocktide.operators import quality as Q
+
+    stock = frame([("inventory", "tune")], "type string, period string")
+    assert [(r.type, r.period) for r in Q.required_periods(stock).collect()] == [("inventory", "train")]
