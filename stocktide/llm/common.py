@@ -78,7 +78,8 @@ def cut_out(text, starts, ends):
 def arrow_schema(text: str) -> pa.Schema:
     """An Arrow schema from `name type, ...` with the type names of Spark used here."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
-             "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+             "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()),
+             "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (field.split() for field in text.split(","))])
 
 

@@ -263,8 +263,9 @@ def variants(source: str, seed: int) -> list[str]:
 def training_rows(pages: DataFrame, html_col: str = "html", teachers: int = TEACHERS) -> DataFrame:
     """Features and label of the nodes of a bounded sample of pages that mark their article, with their variants."""
     marked = pages.select(F.col(html_col).cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)[\\s>]"))
-    share = min(1.0, teachers / max(1, marked.count()))
-    sample = marked.where(F.pmod(F.xxhash64("html", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    share = min(1.0, teachers / max(1, marked.select(F.xxhash64("html")).distinct().count()))
+    # A page that repeats teaches once, however many rows it holds.
+    sample = marked.where(F.pmod(F.xxhash64("html", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).distinct()
 
     def make():
         def step(batch):

@@ -6,7 +6,7 @@ its leading languages grow one by one while the likelihood, less half a logarith
 n-grams for each language, rises.
 
 Cases: a null text, and one without a letter, is `und` with score 0; rows without language or text
-teach nothing; repeated rows count each; other columns are ignored; an empty table gives an empty
+teach nothing; repeated texts of a language teach once; other columns are ignored; an empty table gives an empty
 result; if nothing can be learned, all is `und`; a long text is counted in pieces.
 """
 
@@ -84,17 +84,19 @@ def _counted_group(raws: list[bytes], first: int):
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, smoothing: float = 0.1, seed: int = 11):
     """(languages, bin probabilities with the background last) from rows with a language.
 
-    Rows are taken by a hash until each language has `rows` of them in expectation, so the fit is
-    bounded; counts are added in Spark and the result has at most languages x bins rows.
+    Distinct texts are taken by a hash until each language has `rows` of them in expectation, so the fit
+    is bounded however often a text repeats; counts are added in Spark and the result has at most
+    languages x bins rows.
     """
     known = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    marks = known.select("lang", F.xxhash64("text").alias("mark")).distinct()
+    sizes = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BINS, 0))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, rows / sizes[lang]))])
     part = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    chosen = known.where(part < F.element_at(share, F.col("lang")))
+    chosen = known.where(part < F.element_at(share, F.col("lang"))).distinct()
     schema = "lang string, bin int, n long"
 
     def count(batches):

@@ -38,24 +38,37 @@ SEED = 42
 BLOCK = 1000
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Bits set in over half the XXH64 hashes of the word shingles, repeats included."""
+def shingle_hashes(text: str | None, width: int = 4):
+    """Words of the text and pieces of the XXH64 hashes of its word shingles, repeats included."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # ASCII letters and white space only
-    if not words:
-        return 0
     joined, lengths = b" ".join(words), list(map(len, words))
     width = min(width, len(words))
     begins = [0, *accumulate(n + 1 for n in lengths)]
-    counts, total, digest, piece = np.zeros(BITS, dtype=np.int64), len(words) - width + 1, xxhash.xxh64_intdigest, 1 << 16
-    for at in range(0, total, piece):
-        last = min(total, at + piece)
-        hashes = np.array([digest(joined[s:e - 1], SEED) for s, e in zip(begins[at:last], begins[at + width:last + width])], dtype="<u8")
+    total, digest, piece = len(words) - width + 1 if words else 0, xxhash.xxh64_intdigest, 1 << 16
+
+    def pieces():
+        for at in range(0, total, piece):
+            last = min(total, at + piece)
+            yield np.array([digest(joined[s:e - 1], SEED) for s, e in zip(begins[at:last], begins[at + width:last + width])], dtype="<u8")
+
+    return joined, total, pieces()
+
+
+def majority(pieces, total: int) -> int:
+    """Bits set in over half the hashes; zero if there are none."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for hashes in pieces:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    _, total, pieces = shingle_hashes(text, width)
+    return majority(pieces, total)
+
+
 def covering_masks(radius: int) -> list[int]:
     """Bits kept by each table."""
     size = 1 << (radius + 1)
@@ -157,15 +170,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     return prints.join(by_print, "fp").select("doc_id", "id", "th", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 4, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows, with all their columns, of the document that names its component; rows that share an id stay or go together."""
-    near = near_duplicates(docs, radius, width, id_col, text_col)
-    gone = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)) == F.col("_gone_id")
-    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_gone_th")
-    return docs.join(gone, key & tag, "left_anti")
-
-
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
