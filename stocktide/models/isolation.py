@@ -85,7 +85,7 @@ def forest(df: DataFrame, row_id: str, features: Sequence[str], trees: int = TRE
     share = min(1.0, (size + 8 * math.sqrt(size) + 8) / max(n, 1))
     keep = min(1.0, 4 * trees * share)
     unit = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(int(_RANGE))) / _RANGE
-    pool = clean.where(unit("_id", F.lit(seed)) < keep) if keep < 1 else clean
+    pool = clean.where(unit("_id", F.lit(seed)) < keep)  # one rule at every size
     drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     drawn = drawn.withColumn("_h", unit("_id", "tree", F.lit(seed + 1))).where(F.col("_h") < share / keep)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
@@ -123,15 +123,17 @@ def score(df: DataFrame, model, size: int, features: Sequence[str]) -> DataFrame
     return df.mapInPandas(run, schema)
 
 
-def isolation_outliers(df: DataFrame, row_id: str, features: Sequence[str], contamination: float = 0.1, seed: int = 42, min_rows: int = 10) -> DataFrame:
+def isolation_outliers(df: DataFrame, row_id: str, features: Sequence[str], contamination: float = 0.1, seed: int = 42, min_rows: int = 10, trees: int = TREES,
+                       sample: int = SAMPLE) -> DataFrame:
     """Rows whose score exceeds the (1 - contamination) quantile of all scores.
 
-    Rows with a missing feature take no part; too few rows give no outliers.
+    Each of `trees` trees grows from `sample` rows; every row is scored. Rows with a missing feature take
+    no part; `min_rows` or fewer give no outliers.
     """
     rows = df.na.drop(subset=list(features))
     if rows.limit(min_rows + 1).count() <= min_rows:
         return rows.limit(0).withColumn("anomaly_score", F.lit(0.0))
-    model, size = forest(rows, row_id, features, seed=seed)
+    model, size = forest(rows, row_id, features, trees, sample, seed)
     # Scored once, read for the cut and for the rows beyond it.
     scored = materialize(score(rows, model, size, features), "scores")
     cut = quantiles(scored, "anomaly_score", {"q": 1 - contamination}).select("q").scalar()

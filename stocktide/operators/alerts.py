@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktide.session import materialize
+
 from . import aggregates as A
 from . import policy as P
 from . import series as S
@@ -17,13 +19,13 @@ from .clean import selected
 from .frames import attach, ratio
 
 
-def _recent_against_before(flows: DataFrame, days: int = 30) -> DataFrame:
-    """Mean quantity of the last days and of the time before, per flow."""
+def _recent_against_before(flows: DataFrame, shipments, days: int = 30) -> DataFrame:
+    """Mean quantity of a shipment in the last days and in the time before, per flow."""
     end = flows.groupBy("flow").agg(F.date_sub(F.max("Date"), days).alias("_from"))
     rows = attach(flows, end, ["flow"])
     recent = F.col("Date") >= F.col("_from")
-    return rows.groupBy("flow").agg(
-        F.avg(F.when(recent, F.col("Quantity"))).alias("recent"), F.avg(F.when(~recent, F.col("Quantity"))).alias("before"))
+    mean = lambda when: ratio(F.sum(F.when(when, F.col("Quantity"))), F.sum(F.when(when, shipments)))
+    return rows.groupBy("flow").agg(mean(recent).alias("recent"), mean(~recent).alias("before"))
 
 
 def fired(facts: DataFrame, rules: Sequence[tuple]) -> DataFrame:
@@ -36,9 +38,12 @@ def fired(facts: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     return facts.select(F.inline(F.array(*rows))).where(F.col("_on")).drop("_on")
 
 
-def level_and_flow_risks(inventory: DataFrame, flows: DataFrame, forecasts: DataFrame | None = None) -> DataFrame:
-    """Low level, falling inflow, rising outflow and a low forecast."""
-    moved = _recent_against_before(flows)
+def level_and_flow_risks(inventory: DataFrame, flows: DataFrame, forecasts: DataFrame | None = None, shipments=None) -> DataFrame:
+    """Low level, falling inflow, rising outflow and a low forecast.
+
+    `shipments` is the count behind each row when `flows` are daily sums.
+    """
+    moved = _recent_against_before(flows, F.when(F.col("Quantity").isNotNull(), 1) if shipments is None else shipments)
     at = lambda f, c: F.max(F.when(F.col("flow") == f, F.col(c)))
     wide = moved.agg(*[at(f"{t}flows", c).alias(f"{t}_{c}") for t in ("in", "out") for c in ("recent", "before")])
     facts = attach(P.current_level(inventory), wide)
@@ -130,9 +135,13 @@ def alert_advice(counts: DataFrame) -> DataFrame:
 
 
 def insight_run(inventory: DataFrame, flows: DataFrame, forecasts: DataFrame | None = None, metrics: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """All operational insights as rows (section, subject, value)."""
+    """All operational insights as rows (section, subject, value).
+
+    The flows are read once, into a written cube of daily sums that every part is derived from.
+    """
     from stocktide.models.simple import demand_outlook
 
+    flows = materialize(P.daily_cube(flows), "cube")
     outflows, inflows = flows.where(F.col("flow") == "outflows"), flows.where(F.col("flow") == "inflows")
     row = lambda df, section, subject, value: df.select(
         F.lit(section).alias("section"), subject.cast("string").alias("subject"), value.cast("double").alias("value"))
@@ -140,11 +149,11 @@ def insight_run(inventory: DataFrame, flows: DataFrame, forecasts: DataFrame | N
     parts = [
         row(P.reorder_by_cell(outflows, inventory), "reorder_point", cell, F.col("reorder_point")),
         row(P.safety_by_cell(outflows), "safety_stock", cell, F.col("safety_stock")),
-        row(level_and_flow_risks(inventory, flows, forecasts), "risk", F.col("type"), F.col("value")),
-        row(P.category_trends(inflows), "category_trend", F.concat_ws("|", "kind", "Category"), F.col("growth")),
+        row(level_and_flow_risks(inventory, flows, forecasts, F.col("shipments")), "risk", F.col("type"), F.col("value")),
+        row(P.category_trends(inflows, middle=P.middle_day(inflows)), "category_trend", F.concat_ws("|", "kind", "Category"), F.col("growth")),
         row(P.warehouse_efficiency(flows), "warehouse_score", F.col("Warehouse"), F.col("score")),
         row(demand_outlook(outflows), "demand", F.col("Category"), F.col("forecast")),
-        row(P.opportunities(outflows, inventory), "opportunity", F.concat_ws("|", "type", "category"), F.col("value")),
+        row(P.opportunities(None, inventory, P.category_spread(outflows)), "opportunity", F.concat_ws("|", "type", "category"), F.col("value")),
     ]
     if metrics is not None:
         parts.append(row(P.safety_by_model(metrics, keys), "model_safety_stock", F.concat_ws("|", *keys, "model", "service_level"), F.col("safety_stock")))

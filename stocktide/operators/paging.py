@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .clean import between_dates, matching
 from .frames import attach
+from .ranks import numbered
 
 
 def page(df: DataFrame, order: Sequence[str], limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -18,15 +19,13 @@ def page(df: DataFrame, order: Sequence[str], limit: int | None = None, offset:
     limit the page is everything after the offset.
     """
     total = df.agg(F.count(F.lit(1)).alias("total_records"))
-    if limit:
-        rows = df.orderBy(*order).offset(offset).limit(limit)
-    elif offset:
-        # Everything after the last skipped row; a bare offset would drag the
-        # whole table through one task.
-        skipped = df.orderBy(*order).limit(offset).select(F.struct(*order).alias("k"))
-        rows = df.where(F.struct(*order) > skipped.agg(F.max("k")).scalar()).orderBy(*order)
+    if offset:
+        # A bare offset would drag all skipped rows through one task.
+        at = F.col("_at") > offset
+        placed = numbered(df, order, "_at").where(at & (F.col("_at") <= offset + limit) if limit else at)
+        rows = placed.orderBy(*order).drop("_at")
     else:
-        rows = df.orderBy(*order)
+        rows = df.orderBy(*order).limit(limit) if limit else df.orderBy(*order)
     return attach(rows, total).withColumn("Date", F.date_format("Date", "yyyy-MM-dd"))
 
 

@@ -81,10 +81,31 @@ def optimisation(outflows: DataFrame, inventory: DataFrame, metrics: DataFrame,
     return a.unionByName(b).unionByName(c)
 
 
-def category_trends(inflows: DataFrame, limit: float = 20.0, k: int = 5) -> DataFrame:
-    """Categories whose volume after the median date grew or fell beyond a limit."""
+def daily_cube(flows: DataFrame) -> DataFrame:
+    """Quantity, its square and count of shipments by flow, category, warehouse and day."""
+    q = F.col("Quantity")
+    return flows.groupBy("flow", "Category", "Warehouse", "Date").agg(
+        F.sum(q).alias("Quantity"), F.sum(q * q).alias("squares"), F.count(q).alias("shipments"), F.count(F.lit(1)).alias("rows"))
+
+
+def middle_day(cube: DataFrame) -> DataFrame:
+    """Median day number over the rows behind a cube; the window holds one row for each day."""
+    day = F.datediff("Date", F.lit("1970-01-01").cast("date"))
+    days = cube.where(F.col("Date").isNotNull()).groupBy(day.alias("_day")).agg(F.sum("rows").alias("_n"))
+    every = over([])
+    days = days.select("_day", F.sum("_n").over(over([], "_day")).alias("_upto"), F.sum("_n").over(every).alias("_all"))
+    at = lambda half: F.min(F.when(F.col("_upto") > half, F.col("_day")))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    return days.agg(((at(low) + at(high)) / 2).alias("_mid"))
+
+
+def category_trends(inflows: DataFrame, limit: float = 20.0, k: int = 5, middle: DataFrame | None = None) -> DataFrame:
+    """Categories whose volume after the median date grew or fell beyond a limit.
+
+    `middle` brings the median when `inflows` are daily sums.
+    """
     days = inflows.withColumn("_day", F.datediff("Date", F.lit("1970-01-01").cast("date")))
-    days = attach(days, quantiles(days, "_day", {"_mid": 0.5}))
+    days = attach(days, quantiles(days, "_day", {"_mid": 0.5}) if middle is None else middle)
     early = F.col("_day") <= F.col("_mid")
     t = known(days, ["Category"]).groupBy("Category").agg(
         F.sum(F.when(early, F.col("Quantity"))).alias("early"), F.sum(F.when(~early, F.col("Quantity"))).alias("late"))
@@ -107,9 +128,17 @@ def warehouse_efficiency(flows: DataFrame) -> DataFrame:
         F.when(score > 80, "High").when(score > 60, "Medium").otherwise("Low").alias("status"))
 
 
-def opportunities(outflows: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Three slowest and two most variable categories, and an excess level."""
-    per = known(outflows, ["Category"]).groupBy("Category").agg(F.sum("Quantity").alias("_t"), F.stddev("Quantity").alias("_s"))
+def category_spread(cube: DataFrame) -> DataFrame:
+    """Total and deviation of shipments per category, from sums of squares."""
+    n, total, squares = F.sum("shipments"), F.sum("Quantity"), F.sum("squares")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares - F.try_divide(total * total, n), n - 1)))
+    return known(cube, ["Category"]).groupBy("Category").agg(total.alias("_t"), F.when(n > 1, spread).alias("_s"))
+
+
+def opportunities(outflows: DataFrame | None, inventory: DataFrame, per: DataFrame | None = None) -> DataFrame:
+    """Three slowest and two most variable categories, and an excess level; `per` as from `category_spread`."""
+    if per is None:
+        per = known(outflows, ["Category"]).groupBy("Category").agg(F.sum("Quantity").alias("_t"), F.stddev("Quantity").alias("_s"))
     out = lambda df, kind, subject, value, priority: df.select(
         F.lit(kind).alias("type"), subject.alias("category"), value.alias("value"), F.lit(priority).alias("priority"))
     slow = out(top_k(per, "_t", 3, "Category", largest=False), "SLOW_MOVING_INVENTORY", F.col("Category"), F.col("_t"), "Medium")

@@ -139,20 +139,24 @@ def order_statistics(df: DataFrame, value: str, limits: tuple[float, float], key
     return at_positions(df, value, spots, keys).select(*keys, "low", "high")
 
 
-def ordered_codes(labels: DataFrame, label: str, name: str) -> DataFrame:
-    """Position of each distinct label in sorted order, from 0.
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Position of each row in sorted order, from 1; `order` ends in a unique column.
 
-    Labels are range-partitioned and numbered slice by slice; the sliced table is
+    Rows are range-partitioned and numbered slice by slice; the sliced table is
     written once, so the slice sizes and the positions agree on any rerun.
     """
-    sliced = labels.repartitionByRange(label).select(label, F.spark_partition_id().alias("_slice"))
-    sliced = materialize(sliced, "labels")
-    inside = F.row_number().over(over(["_slice"], label))
+    sliced = materialize(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "slices")
+    inside = F.row_number().over(over(["_slice"], *order))
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     below = over([], "_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_off"))
-    placed = sliced.withColumn("_i", inside).join(offsets, "_slice")
-    return placed.select(label, (F.col("_i") - 1 + F.col("_off")).alias(name))
+    placed = sliced.withColumn("_i", inside).join(F.broadcast(offsets), "_slice")  # one row per slice
+    return placed.select(*df.columns, (F.col("_i") + F.col("_off")).alias(name))
+
+
+def ordered_codes(labels: DataFrame, label: str, name: str) -> DataFrame:
+    """Position of each distinct label in sorted order, from 0."""
+    return numbered(labels.select(label), [label], "_at").select(label, (F.col("_at") - 1).alias(name))
 
 
 def median_deviation(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

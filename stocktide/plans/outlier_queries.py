@@ -61,15 +61,15 @@ df AS (SELECT ds.*, v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) AS i, abs(v -
 dr AS (SELECT dataset, "column", row, Date, v AS value, CASE WHEN i AND z THEN 'IQR,Z-Score' WHEN i THEN 'IQR' ELSE 'Z-Score' END AS methods FROM df WHERE i OR z)"""
 
 
-def measured(spark, sf):
-    """Levels, and flows with everything the detection run reads."""
-    columns = ["period", "Row_Id", "Date", "Quantity", "Total_GIK", "Category", "Brand", "Warehouse"]
+def measured(spark, sf, dims=("Category", "Brand", "Warehouse")):
+    """Levels, and flows with everything the detection run reads; `dims` are joined only where label drift needs them."""
+    columns = ["period", "Row_Id", "Date", "Quantity", "Total_GIK", *dims]
     return T.inventory(spark, sf), T.flow_datasets(spark, sf, columns)
 
 
 @query("od06_flagged_rows", "dataset:s column:s row:s Date:s value:d methods:s", f"WITH {_DS}\nFINAL SELECT * FROM dr")
 def _(spark, sf):
-    return O.flagged_datasets(*measured(spark, sf)).withColumn("methods", F.concat_ws(",", "detection_methods"))
+    return O.flagged_datasets(*measured(spark, sf, dims=())).withColumn("methods", F.concat_ws(",", "detection_methods"))
 
 
 _AN = f"""{_P}, un AS (SELECT Series, Date, Inventory_Level, z AS score, 1 AS p, 'Statistical_Outlier' AS kind FROM fl WHERE z > 3

@@ -7,6 +7,7 @@ from stocktide.operators import evaluate as E
 from stocktide.operators import outliers as O
 from stocktide.operators import policy as P
 from stocktide.operators.frames import rows_of
+from stocktide.session import materialize
 from stocktide.sources import tables as T
 
 from .aggregate_queries import label_sql
@@ -145,7 +146,7 @@ UNION ALL SELECT 'Adapt Inventory Management for Scale Changes', 'High', 'High'
 UNION ALL SELECT 'Diversify Product Category Portfolio', 'Medium', 'Medium' FROM (SELECT max(n) * 100.0 / sum(n) AS s FROM (SELECT count(*) AS n FROM inflows WHERE period = 'tune' GROUP BY Category)) WHERE s > 60
 UNION ALL SELECT 'Implement Seasonal Inventory Planning', 'Medium', 'High'""")
 def _(spark, sf):
-    stock, flows = measured(spark, sf)
+    stock, flows = measured(spark, sf, dims=())
     models = simple_forecasts(spark, sf).select("model").distinct()
     return L.recommendations(O.flagged_datasets(stock, flows), O.period_shifts(stock, flows), models, T.inflows(spark, sf, ["Category", "period"]).where("period = 'tune'"))
 
@@ -165,7 +166,9 @@ UNION ALL SELECT 'opportunity', type || '|' || category, value FROM op {tail})""
 FINAL SELECT * FROM run""")
 def _(spark, sf):
     flows = T.flow_datasets(spark, sf, ["Date", "Quantity", "Category", "Warehouse"])
-    return L.insight_run(T.inventory(spark, sf), flows, simple_forecasts(spark, sf), scored(spark, sf), K)
+    forecasts = materialize(simple_forecasts(spark, sf), "forecasts")
+    stock = materialize(T.inventory(spark, sf), "levels")
+    return L.insight_run(stock, flows, forecasts, E.accuracy(tune_levels(spark, sf), forecasts, K), K)
 
 
 @query("in18_filtered_insights", "section:s subject:s value:d", f"""{_W}, fflows AS (SELECT * FROM flows WHERE Warehouse IN ('NATION_1', 'NATION_3', 'NATION_7') AND Category IN ('PROMO', 'SMALL', 'LARGE')),
@@ -173,7 +176,7 @@ fout AS (SELECT * FROM fflows WHERE flow = 'outflows'), fin AS (SELECT * FROM ff
 FINAL SELECT * FROM run""")
 def _(spark, sf):
     flows = T.flow_datasets(spark, sf, ["Date", "Quantity", "Category", "Warehouse"])
-    return L.filtered_insights(T.inventory(spark, sf), flows, ["NATION_1", "NATION_3", "NATION_7"], ["PROMO", "SMALL", "LARGE"], forecasts=simple_forecasts(spark, sf))
+    return L.filtered_insights(materialize(T.inventory(spark, sf), "levels"), flows, ["NATION_1", "NATION_3", "NATION_7"], ["PROMO", "SMALL", "LARGE"], forecasts=simple_forecasts(spark, sf))
 
 
 # Narrow bands, so that the flat forecasts of these tables raise alerts.
