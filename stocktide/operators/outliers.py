@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktide.session import materialize
+
 from . import series as S
 from .frames import attach, known, over, ratio
 from .ranks import median_deviation, quantiles
@@ -156,8 +158,22 @@ def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", s
     """Full run: flagged rows, drift report, scale shifts and their summary."""
     from .drift import drift_report
 
-    outliers = flagged_datasets(stock, flows, sample, first, second)
-    drift = drift_report(stock, flows.where(F.col("flow") == "inflows"), sample, first, second)
+    # Both are read by the summary and by the caller.
+    outliers = materialize(flagged_datasets(stock, flows, sample, first, second), "flagged")
+    drift = materialize(drift_report(stock, flows.where(F.col("flow") == "inflows"), sample, first, second), "drift")
     shifts = period_shifts(stock, flows, sample, first, second)
     return {"outliers": outliers, "drift": drift, "shifts": shifts,
             "summary": summary(outliers, drift.where(F.col("js").isNotNull()), shifts)}
+
+
+def detection_rows(found: dict[str, DataFrame]) -> DataFrame:
+    """A full run as rows (section, subject, value): flagged rows by dataset, column and methods, drift, shifts, total."""
+    row = lambda df, section, subject, value: df.select(
+        F.lit(section).alias("section"), subject.alias("subject"), value.cast("double").alias("value"))
+    methods = found["outliers"].groupBy("dataset", "column", F.concat_ws(",", "detection_methods").alias("methods")).agg(F.count(F.lit(1)).alias("n"))
+    drift = found["drift"]
+    return row(methods, "outliers", F.concat_ws("|", "dataset", "column", "methods"), F.col("n")).unionByName(
+        row(drift.where(F.col("js").isNotNull()), "drift", F.col("subject"), F.col("js"))).unionByName(
+        row(drift.where(F.col("js").isNull()), "label_drift", F.col("subject"), F.col("total_variation"))).unionByName(
+        row(found["shifts"], "shift", F.col("measure"), F.col("ratio"))).unionByName(
+        row(found["summary"], "summary", F.lit("total_outliers"), F.col("total_outliers")))

@@ -102,7 +102,7 @@ def _(spark, sf):
     return O.score_bands(O.series_anomalies(stock(spark, sf), K))
 
 
-from .statistics_queries import _BINS, _LONG3  # noqa: E402
+from .statistics_queries import _BINS, _DIMS, _DRIFT, _LONG3, _share_sql  # noqa: E402
 
 
 @query("od09_summary", "total_outliers:l drift_severity:s scale_severity:s", f"""WITH {_DS}, {_LONG3}, {_BINS},
@@ -113,6 +113,16 @@ def _(spark, sf):
     return O.detect(*measured(spark, sf))["summary"]
 
 
+@query("od11_detection_run", "section:s subject:s value:d", f"""WITH {_DS.replace("dr AS (", "fr AS (")}, {_LONG3}, {_BINS}, {_share_sql(_DIMS)}, {_DRIFT}
+FINAL SELECT 'outliers' AS section, dataset || '|' || "column" || '|' || methods AS subject, CAST(count(*) AS DOUBLE) AS value FROM fr GROUP BY 2
+UNION ALL SELECT 'drift', "column", js FROM js UNION ALL SELECT 'label_drift', lower(dimension), total_variation FROM dr
+UNION ALL SELECT 'shift', CASE "column" WHEN 'inventory' THEN 'inventory_mean' ELSE 'inflow_quantity' END, avg(v) FILTER (period = 'tune') / avg(v) FILTER (period = 'train') FROM lg WHERE "column" <> 'gik' GROUP BY 2
+UNION ALL SELECT 'shift', 'inventory_std', stddev(v) FILTER (period = 'tune') / stddev(v) FILTER (period = 'train') FROM lg WHERE "column" = 'inventory'
+UNION ALL SELECT 'summary', 'total_outliers', count(*) FROM fr""")
+def _(spark, sf):
+    return O.detection_rows(O.detect(*measured(spark, sf)))
+
+
 # Trees are random by design; these run without an oracle.
 @query("od05_isolation_forest", "Row_Id:s Total_GIK:d anomaly_score:d", places=8)
 def _(spark, sf):
