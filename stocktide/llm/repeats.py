@@ -147,15 +147,17 @@ def bundle_marks(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], le
         block = index >> level
         later = (block & 1) == 1
         earlier = ~later & ((block + 1) << level < size)
-        _, family = np.unique(np.column_stack([np.repeat(first, sizes), block >> 1])[later | earlier], axis=0, return_inverse=True)
-        families = np.zeros(n, dtype=np.int64)
-        families[later | earlier] = 256 + family.reshape(-1)
+        pair = np.concatenate([[False], (np.diff(np.repeat(first, sizes)) != 0) | (np.diff(block >> 1) != 0)])
+        families = 256 + np.cumsum(pair)  # blocks that meet have one anchor symbol
         close = 256 + int(families.max())
         parts = []
         for i in np.nonzero(earlier)[0]:
             parts += [np.frombuffer(lefts[i], dtype=np.uint8), [families[i]], np.frombuffer(rights[i], dtype=np.uint8), [close + len(parts)]]
-        symbols, text = np.unique(np.concatenate(parts).astype(np.int64), return_inverse=True)
-        made = RunIndex(text.reshape(-1))
+        text = np.concatenate(parts).astype(np.int64)
+        used = np.zeros(close + len(parts), dtype=bool)
+        used[text] = True
+        number = np.append(np.where(used, np.cumsum(used) - 1, -1), -1)  # symbols without gaps; the last entry is for "none"
+        made = RunIndex(number[text])
         for at in np.array_split(np.nonzero(later)[0], max(1, int(later.sum()) // 4096)):
             table = np.full((len(at), 2 * reach + 1), -1, dtype=np.int64)
             for row, i in enumerate(at):
@@ -163,9 +165,7 @@ def bundle_marks(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], le
                 table[row, reach - len(left):reach] = np.frombuffer(left, dtype=np.uint8)
                 table[row, reach] = families[i]
                 table[row, reach + 1:reach + 1 + len(right)] = np.frombuffer(right, dtype=np.uint8)
-            place = np.minimum(np.searchsorted(symbols, table), len(symbols) - 1)
-            table = np.where(symbols[place] == table, place, -1)
-            row, column = np.nonzero(made.matching_statistics(table)[:, :reach + 1] >= need)
+            row, column = np.nonzero(made.matching_statistics(number[table], reach) >= need)
             who.append(at[row])
             where.append(column - reach)
     return (np.concatenate(who), np.concatenate(where)) if who else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))

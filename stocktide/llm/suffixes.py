@@ -17,15 +17,6 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys and their ranks, equal keys alike."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    rank = np.empty(len(keys), dtype=np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-    return order, rank
-
-
 class RunIndex:
     def __init__(self, text: np.ndarray):
         n = len(text)
@@ -37,14 +28,21 @@ class RunIndex:
         keys = padded[:n]
         for i in range(1, 4):
             keys = keys << width | padded[i:i + n]
-        order, rank = _dense(keys)
-        self.ranks, depth = [(4, rank)], 4
-        while rank[order[-1]] < n - 1:
-            ahead = np.zeros(n, dtype=np.int64)
-            ahead[:max(0, n - depth)] = rank[depth:] + 1
-            order, rank = _dense(rank * (n + 1) + ahead)
+        # Prefix doubling: a rank is the first slot of its group, and only slots of groups not yet single are sorted again.
+        slots, items, depth = np.arange(n), np.arange(n), 4
+        order, rank, self.ranks = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64), []
+        while True:
+            by_key = np.argsort(keys)
+            items, keys = items[by_key], keys[by_key]
+            alike = np.concatenate([[False], keys[1:] == keys[:-1]])
+            order[slots], rank[items] = items, slots[np.maximum.accumulate(np.where(alike, 0, np.arange(len(slots))))]
+            shared = alike | np.append(alike[1:], False)
+            slots, items = slots[shared], items[shared]
+            if not len(slots):
+                break
+            self.ranks.append((depth, rank.astype(np.int32)))
+            keys = rank[items] * (n + 1) + np.where(items + depth < n, rank[np.minimum(items + depth, n - 1)] + 1, 0)
             depth *= 2
-            self.ranks.append((depth, rank))
         before = self.text[order - 1]  # the first position wraps to the last symbol
         starts = np.nonzero(np.concatenate([[True], before[1:] != before[:-1]]))[0]
         ends = np.append(starts[1:], n) - 1
@@ -52,6 +50,7 @@ class RunIndex:
         self.at_start, self.at_end = order[starts], order[ends]
         self.ends = ends
         lengths = ends - starts + 1
+        self.run_of = np.repeat(np.arange(self.count), lengths)
         by_symbol = np.argsort(self.heads, kind="stable")  # runs of a symbol in order, symbols in order
         total = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         self.base = np.empty(self.count, dtype=np.int64)  # rank that the first row of the run maps to
@@ -75,33 +74,48 @@ class RunIndex:
             total[at[same]] += 1
         return total
 
-    def matching_statistics(self, patterns: np.ndarray) -> np.ndarray:
-        """For rows of symbols (negative: none), the longest match that begins at each place."""
+    def matching_statistics(self, patterns: np.ndarray, reach: int | None = None) -> np.ndarray:
+        """For rows of symbols (negative: none), the longest match that begins at each place.
+
+        With `reach`, only matches that cover this place are wanted: places after it are left out, and a row
+        whose match no longer covers it is given up, and zero from there.
+        """
         rows, width = patterns.shape
-        out = np.zeros((rows, width), dtype=np.int64)
+        out = np.zeros((rows, width if reach is None else reach + 1), dtype=np.int64)
+        who = np.arange(rows)
         at, place, length = np.zeros(rows, dtype=np.int64), np.full(rows, self.at_start[0], dtype=np.int64), np.zeros(rows, dtype=np.int64)
         for j in range(width - 1, -1, -1):
-            symbol = patterns[:, j]
-            run = np.searchsorted(self.starts, at, side="right") - 1
+            symbol = patterns[who, j]
+            run = self.run_of[at]
             off = np.nonzero(self.heads[run] != symbol)[0]
             if len(off):
-                key = symbol[off] * self.count + run[off]
-                i = np.searchsorted(self.sorted_runs, key)
-                low, high = i - 1, i
-                has_low = (low >= 0) & (self.sorted_runs[np.maximum(low, 0)] // self.count == symbol[off])
-                has_high = (high < self.count) & (self.sorted_runs[np.minimum(high, self.count - 1)] // self.count == symbol[off])
-                above, below = self.sorted_runs[np.maximum(low, 0)] % self.count, self.sorted_runs[np.minimum(high, self.count - 1)] % self.count
-                up = np.where(has_low, self.common(place[off], self.at_end[above], length[off]), -1)
-                down = np.where(has_high, self.common(place[off], self.at_start[below], length[off]), -1)
-                take_up = up >= down
-                none = ~(has_low | has_high)
+                wanted = symbol[off]
+                high = np.searchsorted(self.sorted_runs, wanted * self.count + run[off])
+                up, down = self.sorted_runs[np.maximum(high - 1, 0)], self.sorted_runs[np.minimum(high, self.count - 1)]
+                has_up = (high > 0) & (up // self.count == wanted)
+                has_down = (high < self.count) & (down // self.count == wanted)
+                above, below = up % self.count, down % self.count
+                pick = np.concatenate([np.nonzero(has_up)[0], np.nonzero(has_down)[0]])
+                ends = np.concatenate([self.at_end[above[has_up]], self.at_start[below[has_down]]])
+                shares = self.common(place[off[pick]], ends, length[off[pick]])
+                best_up, best_down = np.full(len(off), -1, dtype=np.int64), np.full(len(off), -1, dtype=np.int64)
+                best_up[has_up], best_down[has_down] = shares[:int(has_up.sum())], shares[int(has_up.sum()):]
+                take_up, none = best_up >= best_down, ~(has_up | has_down)
                 run[off] = np.where(none, run[off], np.where(take_up, above, below))
                 at[off] = np.where(none, at[off], np.where(take_up, self.ends[above], self.starts[below]))
                 place[off] = np.where(none, place[off], np.where(take_up, self.at_end[above], self.at_start[below]))
-                length[off] = np.where(none, -1, np.minimum(length[off], np.maximum(up, down)))
+                length[off] = np.where(none, -1, np.minimum(length[off], np.maximum(best_up, best_down)))
             moved = length >= 0
             at = np.where(moved, self.base[run] + at - self.starts[run], at)
             place = np.where(moved, (place - 1) % len(self.text), place)
             length += 1
-            out[:, j] = length
+            if reach is None:
+                out[:, j] = length
+            elif j <= reach:
+                alive = length + j > reach
+                if not alive.all():
+                    who, at, place, length = who[alive], at[alive], place[alive], length[alive]
+                    if not len(who):
+                        break
+                out[who, j] = length
         return out
