@@ -9,7 +9,9 @@ together, a run-compressed Burrows-Wheeler index with sampled run ends of the ea
 streams the later ones over it; a matching statistic of a whole window marks it. "Earlier" is settled by
 halving: occurrences in odd blocks of 1, 2, 4, ... stream over the block before them. The anchor is one
 symbol of its own, so no match leaves its anchor. An anchor with more differing surroundings than a task
-should hold goes on as its single windows, whose first places are aggregated by hash.
+should hold is split by the place of the windows: those that begin 0-9, 10-19, ... bytes before the anchor
+share more bytes than the anchor, so each range groups by these and is handled as an anchor of its own.
+What is too large even then goes on as single windows, whose first places are aggregated by hash.
 
 Cases: a null text is empty; a text shorter than `length` is kept; rows that repeat id and text are one
 document and each gets its result; a missing id counts as the largest; other columns are ignored; an
@@ -37,6 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, ANCHOR = 100, 24
 BUNDLE = 8192  # occurrences in one index
 VARIANTS = 4096  # live occurrences of an anchor that one index takes; at most BUNDLE
+RANGE = 10  # window starts that stay together when a large anchor is split
 PIECE = 2 << 20
 
 
@@ -191,12 +194,13 @@ def _live(around: DataFrame, length: int) -> DataFrame:
     return sides.sortWithinPartitions("a", "id", "at")
 
 
-def _compared(around: DataFrame, length: int, variants: int) -> DataFrame:
+def _compared(live: DataFrame, length: int, variants: int, last: bool) -> DataFrame:
     """id, at (start) and size of ranges of windows that an earlier occurrence of the anchor has.
 
-    Of an anchor with more than `variants` live occurrences, the windows themselves come instead, with a hash `h`.
+    Of an anchor with more than `variants` live occurrences, the occurrences come instead with `a`, `left` and
+    `right`; when `last`, their windows with a hash `h`.
     """
-    schema = "id long, at long, size int, h long"
+    schema = "id long, at long, size int, h long, a long, left binary, right binary"
     reach, half = length - ANCHOR, (length - ANCHOR) // 2
 
     def indexed(table: pa.Table):
@@ -209,7 +213,7 @@ def _compared(around: DataFrame, length: int, variants: int) -> DataFrame:
         low = np.nonzero(begin)[0]
         high = np.append(low[1:], len(who)) - 1
         ids, at = table.column("id").to_numpy(), table.column("at").to_numpy()
-        yield ids[who[low]], at[who[low]] + where[low], where[high] - where[low] + length, [None] * len(low)
+        yield ids[who[low]], at[who[low]] + where[low], where[high] - where[low] + length, *[[None] * len(low)] * 4
 
     def windows(table: pa.Table):
         import xxhash
@@ -222,14 +226,18 @@ def _compared(around: DataFrame, length: int, variants: int) -> DataFrame:
                 h = xxhash.xxh3_64_intdigest(left[n - o:] + b"%d:%d:" % (a, o) + right[:reach - o])
                 for column, value in zip(out, (key, at - o, length, h - (1 << 64) if h >= 1 << 63 else h)):
                     column.append(value)
-        yield out
+        yield *out, *[[None] * len(out[0])] * 3
+
+    def onward(table: pa.Table):
+        empty = [None] * table.num_rows
+        yield *(table.column(c).combine_chunks() for c in ("id", "at")), empty, empty, *(table.column(c).combine_chunks() for c in ("a", "left", "right"))
 
     def run(batches):
         out, held = arrow_schema(schema), None
 
         def found(table: pa.Table):
             large = np.array(table.column("size").to_numpy() > variants)
-            for part, use in ((table.filter(pa.array(~large)), indexed), (table.filter(pa.array(large)), windows)):
+            for part, use in ((table.filter(pa.array(~large)), indexed), (table.filter(pa.array(large)), windows if last else onward)):
                 for columns in use(part) if part.num_rows else ():
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out)], schema=out)
 
@@ -246,7 +254,26 @@ def _compared(around: DataFrame, length: int, variants: int) -> DataFrame:
         if held is not None:
             yield from found(held)
 
-    return _live(around, length).mapInArrow(run, schema)
+    return live.mapInArrow(run, schema)
+
+
+def _split(large: DataFrame, length: int) -> DataFrame:
+    """Occurrences of large anchors once for each range of window starts, grouped by what all windows of the range hold.
+
+    `whole` says that an earlier occurrence has the same bytes around; of the others come those that have company.
+    """
+    reach = length - ANCHOR
+    low = F.explode(F.sequence(F.lit(0), F.lit(reach), F.lit(RANGE)))
+    cut = large.select("id", "at", "a", "left", "right", low.alias("low")).withColumn("high", F.least(F.col("low") + RANGE - 1, F.lit(reach)))
+    cut = cut.where((F.length("left") >= F.col("low")) & (F.length("right") >= reach - F.col("high"))).withColumns({
+        "a": F.xxhash64("a", "low", F.expr("substring(left, length(left) - low + 1, low)"), F.expr(f"substring(right, 1, {reach} - high)")),
+        "left": F.expr("substring(left, greatest(1, length(left) - high + 1), high)"),
+        "right": F.expr(f"substring(right, 1, {reach} - low)")})
+    cut = cut.where(F.length("left") + F.length("right") >= reach).withColumn("s", F.xxhash64("left", "right", F.length("left")))
+    nth = F.row_number().over(Window.partitionBy("a", "s").orderBy("id", "at"))
+    size = F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("a")).cast("long")
+    met = cut.repartition("a").withColumn("nth", nth).withColumn("size", size).where("nth > 1 or size > 1")
+    return met.select("id", "at", "a", "left", "right", F.lit(True).alias("cl"), F.lit(True).alias("cr"), "size", (F.col("nth") > 1).alias("whole"))
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIANTS) -> DataFrame:
@@ -268,8 +295,13 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIA
             yield p, a, raw[max(0, p - reach):p], raw[p + ANCHOR:p + length]
 
     around = _surroundings(rows, met.where("not whole"), length, "id long, at long, a long, left binary, right binary", parts)
-    compared = materialize(_compared(around, length, variants), "compared")
-    marked, single = compared.where("h is null").select("id", "at", "size"), compared.where("h is not null")
+    compared = materialize(_compared(_live(around, length), length, variants, False), "compared")
+    ranges = materialize(_split(compared.where("a is not null"), length), "ranges")
+    covered = ranges.where("whole").select("id", (F.col("at") - F.length("left")).alias("at"), (F.length("left") + ANCHOR + F.length("right")).alias("size"))
+    rest = ranges.where("not whole").drop("whole").repartition("a").sortWithinPartitions("a", "id", "at")
+    finer = materialize(_compared(rest, length, variants, True), "finer")
+    marked = compared.where("a is null").select("id", "at", "size").union(covered).union(finer.where("h is null").select("id", "at", "size"))
+    single = finer.where("h is not null")
     spot = F.struct("id", "at")
     firsts = single.groupBy("h").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first != last").select("h", "first")
     many = single.join(firsts, "h").where(spot != F.col("first")).select("id", "at", "size")
