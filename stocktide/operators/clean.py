@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stocktide import schemas
 from stocktide.functions.scalars import parse_date, to_number
+from stocktide.session import materialize
 
 from . import series
 from .frames import attach, has, known, present, ratio, string_columns
@@ -18,9 +19,15 @@ from .ranks import column_quantiles, median_deviation, order_statistics, ordered
 # ---------------------------------------------------------------- extreme values
 
 
+def bounded(df: DataFrame, bounds: DataFrame, keys=()) -> DataFrame:
+    """Add bounds to rows. Those per key are written first: Spark then knows their size, and only
+    beyond its broadcast threshold shuffles the rows, with skewed keys split by adaptive execution."""
+    return attach(df, materialize(bounds, "bounds") if keys else bounds, keys)
+
+
 def clip(df: DataFrame, value: str, bounds: DataFrame, keys=()) -> DataFrame:
     """Pull values into [low, high]; missing values and bounds leave them as is."""
-    out = attach(df, bounds, keys)
+    out = bounded(df, bounds, keys)
     v = F.col(value)
     capped = F.when(v < F.col("low"), F.col("low")).when(v > F.col("high"), F.col("high")).otherwise(v)
     return out.withColumn(value, capped).select(*df.columns)
@@ -34,7 +41,7 @@ def winsorize_columns(df: DataFrame, columns: Sequence[str], keys=(), lower=0.01
     """Winsorize several columns from one pass over the data."""
     if not columns:
         return df
-    out = attach(df, column_quantiles(df, columns, {"low": lower, "high": upper}, keys), keys)
+    out = bounded(df, column_quantiles(df, columns, {"low": lower, "high": upper}, keys), keys)
     capped = {
         c: F.when(F.col(c) < F.col(f"{c}_low"), F.col(f"{c}_low"))
         .when(F.col(c) > F.col(f"{c}_high"), F.col(f"{c}_high")).otherwise(F.col(c))
@@ -49,7 +56,7 @@ def clip_to_fence(df: DataFrame, value: str, keys=(), k: float = 1.5) -> DataFra
 
 def cap_extremes(df: DataFrame, factors: dict[str, float], keys=()) -> DataFrame:
     """Values beyond `factor` times the column's 99th percentile become that percentile."""
-    out = attach(df, column_quantiles(df, list(factors), {"p99": 0.99}, keys), keys)
+    out = bounded(df, column_quantiles(df, list(factors), {"p99": 0.99}, keys), keys)
     capped = {
         c: F.when(F.col(c) > F.col(f"{c}_p99") * k, F.col(f"{c}_p99")).otherwise(F.col(c)) for c, k in factors.items()
     }
