@@ -2,7 +2,9 @@
 
 A mask keeps some words of a short window and ignores the others. Windows of the benchmark and of the
 documents are hashed under each mask and matched; around a hit the two texts are compared word by word
-on the same alignment, and the best stretch counts where enough of it agrees.
+on the same alignment, and any stretch that is long enough and agrees enough counts, whatever surrounds it.
+The masks meet every stretch of 13 words or more of which 4 in 5 agree, and the short masks (for items below
+13 words, or for all if shorter overlaps are asked for) every one of five words or more; tested on all patterns.
 
 The benchmark is the stated query set. Its hashes are sent to the tasks in blocks of bounded size, and
 every block is held against all documents, so a larger benchmark takes more passes and not more memory.
@@ -16,6 +18,7 @@ the memory of its word hashes in one task.
 from __future__ import annotations
 
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from .words import mixed, word_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MASKS = ("11111", "1101101", "1110011", "110010011")
+SHORT_MASKS = ("1111", "11101", "11011", "10111")
+COVERED = 13  # words; MASKS alone meet every overlap from here on
 BLOCK_BYTES = 8 << 20  # of benchmark text in one pass
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,15 +53,20 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """Seeds of one block of benchmark items, with the place each comes from."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least_words: int = COVERED):
         self.ids = [i for i, _ in items]
         self.words, self.begins = word_hashes([t for _, t in items])
         owner = np.repeat(np.arange(len(items)), np.diff(self.begins))
         self.owner = owner
+        short = (np.diff(self.begins) < COVERED) | (least_words < COVERED)
         self.tables = []
-        for mask in MASKS:
+        for mask in (*MASKS, *SHORT_MASKS):
             hashes = seeds(self.words, mask)
             at = np.nonzero(owner[:len(hashes)] == owner[len(mask) - 1:])[0] if len(hashes) else np.zeros(0, dtype=int)
+            if mask in SHORT_MASKS:
+                at = at[short[owner[at]]]
+                if not len(at):
+                    continue
             hashes = hashes[at]
             order = np.argsort(hashes, kind="stable")
             hashes, at = hashes[order], at[order]
@@ -77,13 +87,23 @@ class Items:
             yield np.repeat(here, count), at[begin + np.arange(count.sum())]
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, agreeing words) of the stretch where agreements exceed twice the differences most."""
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.argmin(score[:end + 1]))
-    return start, end, int(same[start:end].sum())
+def best_stretch(same: np.ndarray, identity: float, least: int) -> tuple[int, int, int] | None:
+    """(start, end, agreeing words) of the longest stretch of `least` words or more of which a share of `identity` agrees.
+
+    Differing words at its ends are left off as long as `least` words remain.
+    """
+    share = Fraction(identity).limit_denominator(1000)  # whole numbers: a share of exactly `identity` counts
+    score = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score, side="left")  # the first place no higher than each end
+    lengths = np.arange(len(score)) - starts
+    end = int(np.argmax(lengths))
+    start = int(starts[end])
+    if end - start < max(1, least):
+        return None
+    agreeing = start + np.nonzero(same[start:end])[0]
+    if len(agreeing) and agreeing[-1] + 1 - agreeing[0] >= least:
+        start, end = int(agreeing[0]), int(agreeing[-1]) + 1
+    return start, end, len(agreeing)
 
 
 def overlaps(texts: list[str], items: Items, least_words: int, identity: float):
@@ -98,10 +118,10 @@ def overlaps(texts: list[str], items: Items, least_words: int, identity: float):
         mine = words[begins[text]:begins[text + 1]]
         other = items.words[items.begins[item]:items.begins[item + 1]]
         low, high = max(0, -shift), min(len(other), len(mine) - shift)
-        start, end, same = best_stretch(mine[low + shift:high + shift] == other[low:high])
-        length = end - start
-        if length and same >= identity * length and length >= min(least_words, len(other)):
-            found = (same, length, -(low + shift + start))
+        stretch = best_stretch(mine[low + shift:high + shift] == other[low:high], identity, min(least_words, len(other)))
+        if stretch:
+            start, end, same = stretch
+            found = (same, end - start, -(low + shift + start))
             best[text, item] = max(best.get((text, item), found), found)
     for (text, item), (same, length, at) in sorted(best.items()):
         yield text, item, same, length, -at
@@ -114,7 +134,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = 13, identity: fl
     result = None
     for shared in blocks_of(items, item_id, item_text, block_bytes):
         def make(shared=shared):
-            known = Items(shared.value)
+            known = Items(shared.value, least_words)
 
             def step(batch):
                 keys, ths, ids = (batch.column(c).to_pylist() for c in ("id", "th", "doc_id"))
@@ -149,7 +169,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, least_words: int = 13, ident
     """Rows, with all their columns, that overlap with no item; narrow, one pass for each block of items."""
     for shared in blocks_of(items, item_id, item_text, block_bytes):
         def run(batches, shared=shared):
-            known = Items(shared.value)
+            known = Items(shared.value, least_words)
             for batch in batches:
                 for part in slices(batch):
                     texts = [t or "" for t in part.column(text_col).to_pylist()]

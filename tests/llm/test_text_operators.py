@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -180,6 +181,54 @@ def test_leaks_tolerate_substitutions(spark, docs, odd):
     assert planted <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(keyed(docs, "doc_id", "text"), bench).collect()}
 
 
+def leaking(text, item, **more):
+    """(agreeing words, length, first word) of the overlap of two lists of words, or None."""
+    found = list(decontaminate.overlaps([" ".join(text)], decontaminate.Items([(7, " ".join(item))], more.get("least_words", 13)), more.get("least_words", 13), 0.8))
+    return found[0][2:] if found else None
+
+
+def altered(item, changed, around=6):
+    foreign = [f"f{i}" for i in range(around)]
+    return [*foreign, *(f"x{i}" if i in changed else w for i, w in enumerate(item)), *foreign[::-1]]
+
+
+@pytest.mark.parametrize("words", range(5, 19))
+def test_leaks_of_whole_items_under_all_substitutions(words):
+    item = [f"w{i}" for i in range(words)]
+    for n in range(words // 5 + 1):
+        for changed in itertools.combinations(range(words), n):
+            same, length, _ = leaking(altered(item, changed), item)
+            assert same * 5 >= length * 4 and length >= min(words, 13)
+    if words < 13:  # one change too many; a longer item may hold a shorter good stretch
+        assert all(leaking(altered(item, c), item) is None for c in itertools.combinations(range(words), words // 5 + 1))
+
+
+def test_leaks_of_passages_inside_altered_items():
+    for runs in ([20, 9, 20, 9, 20], [30, 14, 30, 14, 30]):
+        item = [f"w{i}" for i in range(sum(runs))]
+        starts = np.cumsum([0, *runs])
+        changed = {i for k in (1, 3) for i in range(starts[k], starts[k + 1])}
+        assert leaking(altered(item, changed), item)[0] >= runs[0]
+    item = [f"w{i}" for i in range(100)]
+    assert leaking(altered(item, {i for i in range(100) if not 40 <= i < 60 and i % 4 == 0}), item)[0] >= 20
+    assert leaking(altered(item, {i for i in range(100) if i % 3 == 0}), item) is None
+    assert leaking(altered(item, {i for i in range(100) if not 40 <= i < 48}), item) is None
+    assert leaking(altered(item, {i for i in range(100) if not 40 <= i < 48}), item, least_words=8) is not None
+
+
+def test_longest_stretch_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        same = rng.random(int(rng.integers(1, 60))) < rng.choice([0.6, 0.75, 0.9])
+        for least in (5, 13):
+            want = max((e - s for s in range(len(same)) for e in range(s + least, len(same) + 1) if 5 * same[s:e].sum() >= 4 * (e - s)), default=0)
+            got = decontaminate.best_stretch(same, 0.8, least)
+            assert (got is None) == (want == 0)
+            if got:
+                start, end, n = got
+                assert n == same[start:end].sum() and least <= end - start <= want and 5 * n >= 4 * (end - start)
+
+
 def test_imatch_edits(docs, odd):
     texts = [(r.doc_id, r.text) for r in docs.orderBy(F.desc("doc_id")).collect()]
     got = {r.doc_id: r for r in imatch.compare_edits(docs, imatch.lexicon(docs)).collect()}
