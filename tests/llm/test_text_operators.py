@@ -153,6 +153,38 @@ def test_matching_statistics():
         assert got[i, j] == size
 
 
+def removed(first, second):
+    """Words of the second text that no span of the first and of it covers, as drop_repeats would leave them."""
+    known = {h for h, _, _ in sentences.spans(first, 2, 12)}
+    cut = [(s, e) for h, s, e in sentences.spans(second, 2, 12) if h in known]
+    return sentences.cut_out(second, [s for s, _ in cut], [e for _, e in cut])[0].split() if cut else None
+
+
+@pytest.mark.parametrize("lengths", [[54], [26, 27], [30, 30], [18, 18, 18], [10, 11, 12, 13, 10]])
+def test_spans_of_passages_inside_sentences(lengths):
+    rng = np.random.default_rng(3)
+    word = lambda: "w%d" % rng.integers(2000)
+    glue = lambda: " ".join(word() for _ in range(rng.integers(1, 21)))
+    for _ in range(200):
+        names = iter(rng.permutation(5000))
+        own = [["p%d" % next(names) for _ in range(n)] for n in lengths]
+        passage = ". ".join(" ".join(s) for s in own)
+        left = removed(f"{glue()} {passage} {glue()}.", f"{glue()} {passage} {glue()}.")
+        assert left is not None
+        stay = [k for k, w in enumerate(w for s in own for w in s) if w in left or w + "." in left]
+        assert all(k < 20 or k >= sum(lengths) - 20 for k in stay)
+
+
+def test_spans_cover_whole_repeated_sentences():
+    rng = np.random.default_rng(4)
+    line = lambda n: " ".join("w%d" % rng.integers(2000) for _ in range(n)) + ". "
+    for _ in range(300):
+        a, b = rng.integers(6, 40, 2)
+        passage = line(a) + line(b)
+        before = line(8)
+        assert removed(line(9) + passage + line(7), before + passage + "End here.") == (before + "End here.").split()
+
+
 def test_sentence_spans(spark, odd):
     passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen more words are here now."
     df = spark.createDataFrame([(1, f"Start of one. {passage} End of one."), (2, f"Another begin! {passage} Another end."), (3, "Clean text stays. All of it stays as it was written here today.")],
