@@ -44,10 +44,10 @@ def modified_zscore_rows(df: DataFrame, value: str, keys: Sequence[str] = (), li
     return out.where(F.col("score") > limit).drop("median", "mad")
 
 
-def flagged(df: DataFrame, value: str, keys: Sequence[str] = (), forest: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
+def flagged(df: DataFrame, value: str, keys: Sequence[str] = (), forest: DataFrame | None = None, row_id: str | Sequence[str] | None = None) -> DataFrame:
     """Rows hit by any method with the list of methods.
 
-    `forest` optionally carries `row_id`s that isolation trees flagged.
+    `forest` optionally carries `row_id`s (one column or several) that isolation trees flagged.
     """
     v = F.col(value)
     zero = F.coalesce(v, F.lit(0.0))
@@ -58,7 +58,8 @@ def flagged(df: DataFrame, value: str, keys: Sequence[str] = (), forest: DataFra
         F.when(F.abs(ratio(zero - F.col("_mean"), F.col("_sd"))) > 3, "Z-Score"),
     ]
     if forest is not None:
-        out = out.join(forest.select(row_id, F.lit(True).alias("_iso")), row_id, "left")
+        ids = [row_id] if isinstance(row_id, str) else list(row_id)
+        out = out.join(forest.select(*ids, F.lit(True).alias("_iso")), ids, "left")
         methods.append(F.when(F.col("_iso"), "Isolation_Forest"))
     out = out.withColumn("detection_methods", F.array_compact(F.array(*methods)))
     return out.where(F.size("detection_methods") > 0).select(*df.columns, "detection_methods")
@@ -122,11 +123,24 @@ def score_bands(anomalies: DataFrame) -> DataFrame:
         F.count_if((s > 3) & (s <= 5)).alias("medium"), F.count_if(s <= 3).alias("low"))
 
 
-def flagged_datasets(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> DataFrame:
-    """Flagged levels, quantities and values of two periods in one job.
+def isolated(rows: DataFrame) -> DataFrame:
+    """dataset, column and row of the tenth that trees of its own isolate most in each dataset and column."""
+    from stocktide.models.isolation import isolation_outliers
+
+    keys = ["dataset", "column"]
+    result = rows.select(*keys, "row").limit(0)
+    for dataset, column in sorted(rows.select(*keys).distinct().collect()):  # names the library writes
+        part = rows.where((F.col("dataset") == dataset) & (F.col("column") == column))
+        result = result.unionByName(isolation_outliers(part, "row", ["value"]).select(*keys, "row"))
+    return result
+
+
+def flagged_datasets(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune", trees: bool = True) -> DataFrame:
+    """Flagged levels, quantities and values of two periods.
 
     `flows` carries flow, sample, Row_Id, Date, Quantity, Total_GIK. The measures
-    become long rows keyed by dataset and column.
+    become long rows keyed by dataset and column. Without `trees` the isolation
+    trees, the third method, are left out.
     """
     name = lambda kind: F.concat_ws("_", F.col(sample), kind)
     level = stock.where(F.col(sample).isin(first, second)).select(
@@ -137,7 +151,11 @@ def flagged_datasets(stock: DataFrame, flows: DataFrame, sample="period", first=
     ).unpivot(["dataset", "row", "Date"], ["Quantity", "Total_GIK"], "column", "value")
     quantity = (F.col("column") == "Quantity") & (F.col("dataset") != f"{first}_outflows")
     worth = (F.col("column") == "Total_GIK") & F.col("dataset").endswith("inflows")
-    return flagged(level.unionByName(moved.where(quantity | worth)), "value", ["dataset", "column"])
+    rows = level.unionByName(moved.where(quantity | worth))
+    if not trees:
+        return flagged(rows, "value", ["dataset", "column"])
+    rows = materialize(rows, "measured")  # read for each dataset and column
+    return flagged(rows, "value", ["dataset", "column"], isolated(rows), ["dataset", "column", "row"])
 
 
 def period_shifts(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> DataFrame:
@@ -154,12 +172,12 @@ def period_shifts(stock: DataFrame, flows: DataFrame, sample="period", first="tr
         ratios(inflows, "Quantity", ("inflow_quantity", F.avg)))
 
 
-def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> dict[str, DataFrame]:
-    """Full run: flagged rows, drift report, scale shifts and their summary."""
+def detect(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune", trees: bool = True) -> dict[str, DataFrame]:
+    """Full run: flagged rows, drift report, scale shifts and their summary; without `trees` rows flagged by two methods of three."""
     from .drift import drift_report
 
     # Both are read by the summary and by the caller.
-    outliers = materialize(flagged_datasets(stock, flows, sample, first, second), "flagged")
+    outliers = materialize(flagged_datasets(stock, flows, sample, first, second, trees), "flagged")
     drift = materialize(drift_report(stock, flows.where(F.col("flow") == "inflows"), sample, first, second), "drift")
     shifts = period_shifts(stock, flows, sample, first, second)
     return {"outliers": outliers, "drift": drift, "shifts": shifts,

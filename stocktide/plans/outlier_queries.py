@@ -67,9 +67,10 @@ def measured(spark, sf, dims=("Category", "Brand", "Warehouse")):
     return T.inventory(spark, sf), T.flow_datasets(spark, sf, columns)
 
 
+# The queries with an oracle take fences and z-scores alone; those named `three_methods`, at the end, run the whole detection.
 @query("od06_flagged_rows", "dataset:s column:s row:s Date:s value:d methods:s", f"WITH {_DS}\nFINAL SELECT * FROM dr")
 def _(spark, sf):
-    return O.flagged_datasets(*measured(spark, sf, dims=())).withColumn("methods", F.concat_ws(",", "detection_methods"))
+    return O.flagged_datasets(*measured(spark, sf, dims=()), trees=False).withColumn("methods", F.concat_ws(",", "detection_methods"))
 
 
 _AN = f"""{_P}, un AS (SELECT Series, Date, Inventory_Level, z AS score, 1 AS p, 'Statistical_Outlier' AS kind FROM fl WHERE z > 3
@@ -110,7 +111,7 @@ sr AS (SELECT greatest(abs(1 - avg(v) FILTER (period = 'tune') / avg(v) FILTER (
 FINAL SELECT (SELECT count(*) FROM dr) AS total_outliers, (SELECT CASE WHEN max(js) > 0.5 THEN 'High' WHEN max(js) > 0.2 THEN 'Medium' ELSE 'Low' END FROM js) AS drift_severity,
  (SELECT CASE WHEN max(r) > 0.5 THEN 'High' WHEN max(r) > 0.2 THEN 'Medium' ELSE 'Low' END FROM sr) AS scale_severity""")
 def _(spark, sf):
-    return O.detect(*measured(spark, sf))["summary"]
+    return O.detect(*measured(spark, sf), trees=False)["summary"]
 
 
 @query("od11_detection_run", "section:s subject:s value:d", f"""WITH {_DS.replace("dr AS (", "fr AS (")}, {_LONG3}, {_BINS}, {_share_sql(_DIMS)}, {_DRIFT}
@@ -120,7 +121,7 @@ UNION ALL SELECT 'shift', CASE "column" WHEN 'inventory' THEN 'inventory_mean' E
 UNION ALL SELECT 'shift', 'inventory_std', stddev(v) FILTER (period = 'tune') / stddev(v) FILTER (period = 'train') FROM lg WHERE "column" = 'inventory'
 UNION ALL SELECT 'summary', 'total_outliers', count(*) FROM fr""")
 def _(spark, sf):
-    return O.detection_rows(O.detect(*measured(spark, sf)))
+    return O.detection_rows(O.detect(*measured(spark, sf), trees=False))
 
 
 # Trees are random by design; these run without an oracle.
@@ -143,3 +144,18 @@ def _(spark, sf):
 @query("od11_full_run", "Series:s Date:s Inventory_Level:d kind:s score:d", places=8)
 def _(spark, sf):
     return O.series_anomalies(stock(spark, sf), K, patterns=pattern_anomalies(spark, sf))
+
+
+@query("od06_flagged_rows_three_methods", "dataset:s column:s row:s Date:s value:d methods:s")
+def _(spark, sf):
+    return O.flagged_datasets(*measured(spark, sf, dims=())).withColumn("methods", F.concat_ws(",", "detection_methods"))
+
+
+@query("od09_summary_three_methods", "total_outliers:l drift_severity:s scale_severity:s")
+def _(spark, sf):
+    return O.detect(*measured(spark, sf))["summary"]
+
+
+@query("od11_detection_run_three_methods", "section:s subject:s value:d")
+def _(spark, sf):
+    return O.detection_rows(O.detect(*measured(spark, sf)))

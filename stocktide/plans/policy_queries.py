@@ -135,10 +135,19 @@ FINAL SELECT 'EXTREME_VALUES' AS type, 'high' AS severity, n AS value, 1e6 AS re
 UNION ALL SELECT 'DATA_DRIFT', s, 0, 0 FROM ds2 WHERE s IS NOT NULL UNION ALL SELECT 'INVENTORY_VOLATILITY', 'medium', cv, 0.3 FROM cv WHERE cv > 0.3
 UNION ALL SELECT 'CAPACITY', 'medium', g * 100, 50 FROM gw WHERE g > 0.5 UNION ALL SELECT 'FORECAST_UNCERTAINTY', 'medium', m, 30 FROM (SELECT max(mape) AS m FROM mt) WHERE m > 30""")
 def _(spark, sf):
-    found = O.detect(*measured(spark, sf))
+    return operational_risks(spark, sf, trees=False)
+
+
+def operational_risks(spark, sf, trees):
+    found = O.detect(*measured(spark, sf), trees=trees)
     return L.operational_risks(found["outliers"], found["summary"], T.inventory(spark, sf).where("period = 'tune'"), scored(spark, sf))
 
 
+@query("in10_operational_risks_three_methods", "type:s severity:s value:d reference:d")
+def _(spark, sf):
+    return operational_risks(spark, sf, trees=True)
+
+
 @query("in11_recommendations", "title:s priority:s impact:s", f"""WITH {_DS}, {_LONG3},
 sr AS (SELECT greatest(abs(1 - avg(v) FILTER (period = 'tune') / avg(v) FILTER (period = 'train')), CASE WHEN "column" = 'inventory' THEN abs(1 - stddev(v) FILTER (period = 'tune') / stddev(v) FILTER (period = 'train')) ELSE 0 END) AS r FROM lg WHERE "column" <> 'gik' GROUP BY "column")
 FINAL SELECT 'Improve Data Quality and Governance' AS title, 'High' AS priority, 'High' AS impact FROM (SELECT count(*) AS n FROM dr) WHERE n > 50
@@ -146,9 +155,18 @@ UNION ALL SELECT 'Adapt Inventory Management for Scale Changes', 'High', 'High'
 UNION ALL SELECT 'Diversify Product Category Portfolio', 'Medium', 'Medium' FROM (SELECT max(n) * 100.0 / sum(n) AS s FROM (SELECT count(*) AS n FROM inflows WHERE period = 'tune' GROUP BY Category)) WHERE s > 60
 UNION ALL SELECT 'Implement Seasonal Inventory Planning', 'Medium', 'High'""")
 def _(spark, sf):
+    return recommendations(spark, sf, trees=False)
+
+
+@query("in11_recommendations_three_methods", "title:s priority:s impact:s")
+def _(spark, sf):
+    return recommendations(spark, sf, trees=True)
+
+
+def recommendations(spark, sf, trees):
     stock, flows = measured(spark, sf, dims=())
     models = simple_forecasts(spark, sf).select("model").distinct()
-    return L.recommendations(O.flagged_datasets(stock, flows), O.period_shifts(stock, flows), models, T.inflows(spark, sf, ["Category", "period"]).where("period = 'tune'"))
+    return L.recommendations(O.flagged_datasets(stock, flows, trees=trees), O.period_shifts(stock, flows), models, T.inflows(spark, sf, ["Category", "period"]).where("period = 'tune'"))
 
 
 def _run_sql(flows, outflows, inflows, tail=""):

@@ -191,3 +191,22 @@ def test_period_gate_and_missing_actuals_on_small_frames(frame):
 
     stock = frame([("inventory", "tune")], "type string, period string")
     assert [(r.type, r.period) for r in Q.required_periods(stock).collect()] == [("inventory", "train")]
+
+
+def test_detection_runs_three_methods(spark):
+    import __spark_entry__ as entry
+    from stocktide.sources import tables
+
+    sf, found = "/root/testdata/sf0.001", entry.queries()
+    rows = found["od06_flagged_rows_three_methods"](spark, sf).collect()
+    two = {(r.dataset, r.column, r.row, r.methods) for r in found["od06_flagged_rows"](spark, sf).collect()}
+    rest = lambda methods: ",".join(m for m in methods.split(",") if m != "Isolation_Forest")
+    assert {(r.dataset, r.column, r.row, rest(r.methods)) for r in rows if rest(r.methods)} == two
+    assert len({(r.dataset, r.column, r.row) for r in rows}) == len(rows)
+    trees = {(r.dataset, r.column) for r in rows if "Isolation_Forest" in r.methods}
+    assert ("train_inventory", "Inventory_Level") in trees and ("tune_inflows", "Total_GIK") in trees and len(trees) == 7
+    levels = sum(r.dataset == "train_inventory" and "Isolation_Forest" in r.methods for r in rows)
+    total = tables.inventory(spark, sf).where("period = 'train'").count()
+    assert 0.08 * total <= levels <= 0.1 * total + 1
+    run = found["od11_detection_run_three_methods"](spark, sf).where("section = 'outliers'").collect()
+    assert sum(r.value for r in run) == len(rows)
