@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dom, encode, imatch, language, repeats, sentences, sequences, simhash, token_count
+from . import decontaminate, dom, encode, imatch, language, packing, repeats, sentences, sequences, simhash, token_count
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_benchmark_leaks": decontaminate.op8_benchmark_leaks,
         "op9_sentence_spans": sentences.op9_sentence_spans,
         "op10_main_text": dom.op10_main_text,
+        "op11_pattern_packing": packing.op11_pattern_packing,
     }
 
 
