@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dom, encode, imatch, language, packing, repeats, sentences, sequences, simhash, token_count
+from . import decontaminate, dom, encode, imatch, language, metric_trees, packing, repeats, sentences, sequences, simhash, token_count
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_sentence_spans": sentences.op9_sentence_spans,
         "op10_main_text": dom.op10_main_text,
         "op11_pattern_packing": packing.op11_pattern_packing,
+        "op12_vector_codes": metric_trees.op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_vector_codes": metric_trees.ORACLE_SQL}
