@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dom, encode, imatch, language, metric_trees, packing, repeats, sentences, sequences, simhash, token_count
+from . import decontaminate, dom, encode, hard_negatives, imatch, language, metric_trees, packing, repeats, sentences, sequences, simhash, token_count
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_main_text": dom.op10_main_text,
         "op11_pattern_packing": packing.op11_pattern_packing,
         "op12_vector_codes": metric_trees.op12_vector_codes,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_vector_codes": metric_trees.ORACLE_SQL}
+    return {"op12_vector_codes": metric_trees.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
