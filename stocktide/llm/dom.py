@@ -19,6 +19,7 @@ their tags alone. A page needs the memory of its own tree in one task.
 
 from __future__ import annotations
 
+import collections
 import html
 import random
 import re
@@ -37,7 +38,8 @@ TEACHERS = 150  # pages in the training sample, in expectation
 TREES, DEPTH = 16, 5
 TAUGHT = "data-taught-main"  # marks the article for the labels, never for the features
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_MARK = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?]")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -70,6 +72,34 @@ NAMES = (
 _GOOD_TAGS, _BAD_TAGS = TAG_GROUPS[0], TAG_GROUPS[3] | TAG_GROUPS[4] | TAG_GROUPS[5] | TAG_GROUPS[6] | TAG_GROUPS[7]
 
 
+_RAW_ENDS = {name: re.compile(f"</{name}\\s*>", re.I) for name in RAW}
+
+
+def tag_end(source: str, m: re.Match) -> int | None:
+    """Where a mark that begins at `m` ends, or None if no mark-up ends behind it.
+
+    A comment without an end takes the rest. A `>` in quotes belongs to the tag; a quotation mark that
+    is never closed counts as an ordinary character. Each character is looked at once.
+    """
+    if m[0] == "<!--":
+        at = source.find("-->", m.end())
+        return at + 3 if at >= 0 else len(source)
+    if m[2] is None:
+        at = source.find(">", m.end())
+        return at + 1 if at >= 0 else None
+    at, single = m.end(), set()
+    while True:
+        at = _PLAIN.match(source, at).end()
+        if at == len(source):
+            return None
+        c = source[at]
+        if c == ">":
+            return at + 1
+        close = source.find(c, at + 1) if c not in single else -1
+        single |= {c} if close < 0 else set()
+        at = close + 1 if close >= 0 else at + 1
+
+
 class Page:
     """Block elements in page order: parent, tag, word groups, and the stretches of text each owns."""
 
@@ -78,7 +108,9 @@ class Page:
         self.texts: list[tuple[int, str]] = []  # (owner, text); a block border lies between two owners
         self.counts = np.zeros((1, 4))
         tags, links, controls = [0], [0], [0]
-        stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the block each belongs to
+        # Open elements: name, the block each belongs to, and the places of the p and the li that a new block would close.
+        stack: list[tuple] = [("#root", 0, None, None)]
+        opened: collections.Counter = collections.Counter()
         open_links, at, n = 0, 0, len(source)
 
         def add(raw: str) -> None:
@@ -89,29 +121,44 @@ class Page:
                 if open_links:
                     links[owner] += len(text)
 
+        def push(name: str, node: int) -> None:
+            _, _, p, li = stack[-1]
+            here, inline = len(stack), name in INLINE
+            stack.append((name, node, here if name == "p" else p if inline else None, here if name == "li" else li if inline or name == "p" else None))
+            opened[name] += 1
+
+        def close(i: int) -> None:
+            nonlocal open_links
+            for gone, *_ in stack[i:]:
+                opened[gone] -= 1
+                open_links -= gone == "a"
+            del stack[i:]
+
         while at < n:
-            m = _TAG.search(source, at)
+            m = _MARK.search(source, at)
             if m is None:
                 add(source[at:])
                 break
+            end = tag_end(source, m)
+            if end is None:  # no mark-up can follow
+                add(source[at:])
+                break
             add(source[at:m.start()])
-            at = m.end()
+            at = end
             name = m[2].lower() if m[2] else None
             if name is None:
                 continue
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        for gone, _ in stack[i:]:
-                            open_links -= gone == "a"
-                        if name not in INLINE:
-                            self.texts.append((stack[i][1], " "))
-                        del stack[i:]
-                        break
+                if opened[name]:
+                    i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name)
+                    if name not in INLINE:
+                        self.texts.append((stack[i][1], " "))
+                    close(i)
                 continue
+            inside = source[m.end():end - 1]
             if name in RAW and name != "head":
-                end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
-                at = at if m[3].rstrip().endswith("/") else end.end() if end else n
+                over = _RAW_ENDS[name].search(source, at) if not inside.rstrip().endswith("/") else None
+                at = at if inside.rstrip().endswith("/") else over.end() if over else n
                 continue
             if name in VOID:
                 tags[stack[-1][1]] += 1
@@ -119,33 +166,26 @@ class Page:
                 if name in ("br", "hr"):
                     self.texts.append((stack[-1][1], " "))
                 continue
-            if name in CLOSES_P or name == "li":
-                closing = "p" if name in CLOSES_P else "li"
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == closing:
-                        for gone, _ in stack[i:]:
-                            open_links -= gone == "a"
-                        self.texts.append((stack[i][1], " "))
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] not in ("p",):
-                        break
+            closing = stack[-1][2] if name in CLOSES_P else stack[-1][3] if name == "li" else None
+            if closing:
+                self.texts.append((stack[closing][1], " "))
+                close(closing)
             owner = stack[-1][1]
             if name in INLINE:
                 tags[owner] += 1
                 open_links += name == "a"
-                stack.append((name, owner))
+                push(name, owner)
                 continue
-            words = {w.lower() for found in _ATTR.findall(m[3]) for w in _TOKEN.findall("".join(found))} if m[3] else set()
+            words = {w.lower() for found in _ATTR.findall(inside) for w in _TOKEN.findall("".join(found))} if inside else set()
             self.texts.append((owner, " "))
             node = len(self.parent)
             self.parent.append(owner)
             self.tag.append(name)
-            self.taught.append(TAUGHT in m[3])
+            self.taught.append(TAUGHT in inside)
             self.groups.append(sum(1 << i for i, g in enumerate(WORD_GROUPS) if words & g))
             for column, value in zip((tags, links, controls), (1, 0, int(name in CONTROLS))):
                 column.append(value)
-            stack.append((name, node))
+            push(name, node)
         own = np.zeros(len(self.parent))
         stops = np.zeros(len(self.parent))
         for owner, text in self.texts:
@@ -347,10 +387,11 @@ def _by_tags(page: Page) -> np.ndarray:
 
 def extract(pages: DataFrame, model: Model | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page; narrow, no shuffle."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: an executor need not know the class.
+    shared = pages.sparkSession.sparkContext.broadcast((model.trees, model.weights) if model else None)
 
     def make():
-        model = shared.value
+        model = Model(*shared.value) if shared.value else None
 
         def step(batch):
             texts = []

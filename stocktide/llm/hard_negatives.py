@@ -74,13 +74,15 @@ class Index:
     """Codebooks, radii and the places of the cells: everything a task needs to know, of fixed size."""
 
     def __init__(self, books, cells, shelf: int):
+        """`cells`: i, j, rows, and the largest squared distances of the halves from their entries."""
+        self.plain = books, cells, shelf  # an executor builds its own from these
         self.books, k = books, [len(b) for b in books]
         self.count = np.zeros(k, dtype=np.int64)
         self.square = [np.zeros(n, dtype=np.int64) for n in k]  # of the radius
-        for c in cells:
-            self.count[c.i, c.j] = c.n
-            self.square[0][c.i] = max(self.square[0][c.i], c.r1)
-            self.square[1][c.j] = max(self.square[1][c.j], c.r2)
+        for i, j, rows, r1, r2 in cells:
+            self.count[i, j] = rows
+            self.square[0][i] = max(self.square[0][i], r1)
+            self.square[1][j] = max(self.square[1][j], r2)
         before = np.cumsum(self.count.ravel()).reshape(k) - self.count
         self.shelf, self.shelves = before // shelf, np.maximum(1, -(-self.count // shelf))
 
@@ -146,8 +148,9 @@ def indexed(vectors: DataFrame, anchor: Column, scale: int = 256, entries: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made, out)], schema=out)
 
     rows = materialize(kept.mapInArrow(assign, schema), "cells")
-    cells = rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).collect()  # at most entries squared
-    total = sum(c.n for c in cells)
+    counted = rows.groupBy("i", "j").agg(F.count(F.lit(1)), F.max("r1"), F.max("r2"))
+    cells = list(map(tuple, counted.collect()))  # at most entries squared
+    total = sum(c[2] for c in cells)
     return rows, Index(books, cells, shelf or max(256, min(SHELF, total // 64))), columns
 
 
@@ -165,7 +168,7 @@ def first_in_windows(rows: DataFrame, index: Index, columns: int, anchors: DataF
     `anchors`: uid, label, vector, lows, highs. Result: uid, window, score, id, other (the row's uid), rank.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index.plain)
     wide = "uid long, label string, vector binary, lows array<long>, highs array<long>"
     state = materialize(anchors.select("uid", "label", "vector", "lows", "highs", F.col("lows").alias("floors"), F.lit(END).alias("seen")), "anchors")
     shelves = shelved(rows, index).select("shelf", "uid", "label", "vector", F.lit(None).cast("array<long>").alias("floors"), F.lit(None).cast("array<long>").alias("highs"),
@@ -177,7 +180,7 @@ def first_in_windows(rows: DataFrame, index: Index, columns: int, anchors: DataF
 
     while not state.isEmpty():
         def walk(batches, met=met):
-            at = shared.value
+            at = Index(*shared.value)
             for batch in batches:
                 for part in slices(batch, 256):
                     q = _matrix(part.column("vector"), columns)
@@ -211,7 +214,7 @@ def _scorer(shared, columns: int, same_label: bool, k: int):
     schema = arrow_schema("uid long, window int, score long, id long, other long")
 
     def run(batches):
-        index, shelf, held, parts = shared.value, None, None, []
+        index, shelf, held, parts = Index(*shared.value), None, None, []
         for batch in batches:
             ids, shelf_of = batch.column("id"), batch.column("shelf").to_numpy()
             is_row = np.asarray(ids.is_valid())

@@ -145,7 +145,8 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius:
     # One row for each class, so groups of exact copies are small here.
     heads = grouped.groupBy("root").agg(F.min("first").alias("head"), F.max("last").alias("tail")).where("head != tail").select("root", "head")
     named = grouped.join(heads, "root").select("cls", "head")
-    gone = rows.select("cls", "id", "th").join(named, "cls").where(spot != F.col("head")).select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)) == F.col("_gone_id")
-    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_gone_th")
-    return docs.join(gone, key & tag, "left_anti")
+    gone = rows.select("cls", "id", "th").join(named, "cls").where(spot != F.col("head")).select("id", "th").distinct()
+    # The columns of the user travel in one of their own, so none of their names can clash.
+    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"),
+                        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return whole.join(gone, ["id", "th"], "left_anti").select("row.*")
