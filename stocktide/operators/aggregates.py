@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import attach, has, known, over, ratio, with_totals
-from .ranks import quantiles, value_counts
+from .ranks import counted, cumulative, moments_of, quantiles, quantiles_of, shape_columns, value_counts
 
 PERCENTILES = {"p5": 0.05, "p10": 0.10, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -58,34 +58,11 @@ def category_features(inflows, outflows=None) -> DataFrame:
     return daily_features(inflows, outflows, "Category", CATEGORY_NAMES)
 
 
-def moments(value: str) -> list[Column]:
-    """count, mean, std, var, min, max, range, bias-corrected shape and cv.
-
-    A derived shape is missing where a sample is too small or has no spread.
-    """
-    v = F.col(value).cast("double")
-    n = F.count(v).cast("double")
-    g1 = F.when(F.var_pop(v) > 0, F.skewness(v))
-    g2 = F.when(F.var_pop(v) > 0, F.kurtosis(v))
-    skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-    kurt = F.when(
-        n > 3,
-        ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6),
-    )
-    return [
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev(v).alias("std"),
-        F.variance(v).alias("var"), F.min(v).alias("min"), F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("range"), skew.alias("skewness"), kurt.alias("kurtosis"),
-        ratio(F.stddev(v), F.avg(v), 0.0).alias("cv"),
-    ]
-
-
 def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Full distribution profile with exact percentiles, one row per key."""
-    df = known(df, [*keys, value])
-    base = df.groupBy(*keys).agg(*moments(value))
-    spread = quantiles(df, value, PERCENTILES, keys)
-    return attach(base, spread, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
+    counts = counted(df, value, keys)
+    base = moments_of(counts, value, keys).select(*keys, *shape_columns())
+    return attach(base, quantiles_of(counts, value, PERCENTILES, keys), keys).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def label_counts(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -220,8 +197,6 @@ def partner_volumes(outflows: DataFrame) -> DataFrame:
     """
     from stocktide.session import materialize
 
-    from .ranks import cumulative
-
     per = known(outflows, ["Partner"]).groupBy("Partner").agg(
         F.sum("Quantity").alias("total_quantity"),
         F.count("Quantity").alias("shipment_count"),
@@ -229,7 +204,7 @@ def partner_volumes(outflows: DataFrame) -> DataFrame:
     )
     per = materialize(per, "partners")
     above = cumulative(
-        per.groupBy((-F.col("total_quantity")).alias("_neg")).agg(F.count(F.lit(1)).alias("n")), "_neg", ["n"]
+        materialize(per.groupBy((-F.col("total_quantity")).alias("_neg")).agg(F.count(F.lit(1)).alias("n")), "volumes"), "_neg", ["n"]
     )
     ranked = per.join(
         above.select((-F.col("_neg")).alias("total_quantity"), (F.col("cum_n") - F.col("n")).alias("_above")),
@@ -299,10 +274,10 @@ def performance(inventory: DataFrame, inflows: DataFrame) -> DataFrame:
 def baseline(inventory: DataFrame) -> DataFrame:
     """Level statistics over all given periods with the population deviation."""
     v = "Inventory_Level"
-    return inventory.agg(
-        F.avg(v).alias("average"), F.percentile(v, 0.5).alias("median"),
-        F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    counts = counted(inventory, v)
+    spread = F.sqrt(F.col("m2") / F.col("count"))
+    found = moments_of(counts, v).select(F.col("mean").alias("average"), spread.alias("std"), "min", "max")
+    return attach(found, quantiles_of(counts, v, {"median": 0.5}))
 
 
 def category_insights(inflows: DataFrame, recent="tune", earlier="train") -> DataFrame:

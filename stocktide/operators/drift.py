@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocktide.functions import pvalues as P
+from stocktide.session import materialize
 
 from . import aggregates as A
 from . import series as S
-from .frames import attach, known, long_form, over, ratio, with_totals
-from .ranks import cumulative, value_counts
+from .frames import attach, attach_written, known, long_form, over, ratio, with_totals
+from .ranks import counted, cumulative, value_counts
 
 EPS = 1e-10
 BINS = 49
@@ -42,8 +43,16 @@ def rank_statistics(df: DataFrame, value: str, sample: str, first, second, keys:
 
     All three come from one table of cumulative counts over distinct values.
     """
-    counts = value_counts(_both(df, sample, first, second), value, keys, samples(sample, first, second))
-    counts = counts.withColumn(value, F.col(value).cast("double"))
+    return rank_statistics_of(sample_counts(df, value, sample, first, second, keys), value, keys)
+
+
+def sample_counts(df: DataFrame, value: str, sample: str, first, second, keys: Sequence[str] = ()) -> DataFrame:
+    """Written counts (n1, n2) of the distinct values in both samples, from which every two-sample statistic is read."""
+    both = _both(df, sample, first, second).withColumn(value, F.col(value).cast("double"))
+    return counted(both, value, keys, samples(sample, first, second))
+
+
+def rank_statistics_of(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     c = cumulative(counts, value, ["n1", "n2"], keys, next_value=True)
     n1, n2 = F.col("all_n1").cast("double"), F.col("all_n2").cast("double")
     gap = F.abs(ratio(F.col("cum_n1"), n1) - ratio(F.col("cum_n2"), n2))
@@ -74,13 +83,15 @@ def with_rank_p(stats: DataFrame) -> DataFrame:
 
 def binned_divergence(df: DataFrame, value: str, sample: str, first, second, keys: Sequence[str] = ()) -> DataFrame:
     """Jensen-Shannon divergence over 49 equal bins of the common range."""
-    rows = known(_both(df, sample, first, second), [*keys, value])
-    edges = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return binned_divergence_of(sample_counts(df, value, sample, first, second, keys), value, keys)
+
+
+def binned_divergence_of(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    edges = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / BINS
     at = F.least(F.floor(ratio(F.col(value) - F.col("_lo"), width, 0.0)), F.lit(BINS - 1))
-    conds = samples(sample, first, second)
-    bins = attach(rows.select(*keys, value, sample), edges, keys).groupBy(*keys, at.alias("_bin")).agg(
-        *[F.count_if(c).cast("double").alias(n) for n, c in conds.items()])
+    conds = ("n1", "n2")
+    bins = attach_written(counts, edges, keys).groupBy(*keys, at.alias("_bin")).agg(*[F.sum(n).cast("double").alias(n) for n in conds])
     # An empty bin adds nothing to the sums but its epsilon counts in the norm.
     norm = 1 + BINS * EPS
     shares = bins.select(*keys, *[((ratio(F.col(n), F.sum(n).over(over(keys)), 0.0) + EPS) / norm).alias(n) for n in conds])
@@ -92,7 +103,10 @@ def binned_divergence(df: DataFrame, value: str, sample: str, first, second, key
 
 def label_shares(df: DataFrame, label: str, sample: str, first, second, keys: Sequence[str] = ()) -> DataFrame:
     """Counts and shares of each label in both samples, absent labels as zero."""
-    counts = value_counts(_both(df, sample, first, second), label, keys, samples(sample, first, second))
+    return label_shares_of(value_counts(_both(df, sample, first, second), label, keys, samples(sample, first, second)), label, keys)
+
+
+def label_shares_of(counts: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     out = with_totals(counts, keys, t1=F.sum("n1"), t2=F.sum("n2"))
     return out.select(*keys, label, "n1", "n2", ratio("n1", "t1", 0.0).alias("p"), ratio("n2", "t2", 0.0).alias("q"))
 
@@ -125,24 +139,32 @@ def label_drift(shares: DataFrame, keys: Sequence[str] = (), on="counts") -> Dat
 
 def numeric_drift(df: DataFrame, value: str, sample: str, first, second, keys=()) -> DataFrame:
     """Divergence, KS distance and Wasserstein distance."""
-    ranks = rank_statistics(df, value, sample, first, second, keys)
-    return attach(ranks, binned_divergence(df, value, sample, first, second, keys), keys)
+    return numeric_drift_of(sample_counts(df, value, sample, first, second, keys), value, keys)
+
+
+def numeric_drift_of(counts: DataFrame, value: str, keys=()) -> DataFrame:
+    return attach(rank_statistics_of(counts, value, keys), binned_divergence_of(counts, value, keys), keys)
 
 
 def drift_report(stock: DataFrame, flows: DataFrame, sample: str, first, second) -> DataFrame:
     """Numeric drift of level, quantity and value; label drift of the dimensions.
 
-    Measures and dimensions become long rows, so each kind is one job.
+    Measures and dimensions become long rows that are counted together in one
+    scan; both kinds of drift are read from the written counts.
     """
-    level = stock.select(sample, F.lit("inventory").alias("subject"), F.col("Inventory_Level").alias("value"))
-    names = F.when(F.col("column") == "Quantity", "quantity").otherwise("gik").alias("subject")
-    moved = long_form(flows, [sample], ["Quantity", "Total_GIK"]).select(sample, names, "value")
-    num = numeric_drift(level.unionByName(moved), "value", sample, first, second, ["subject"])
+    no_label, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
+    measure = lambda name, c: F.struct(F.lit(name).alias("subject"), F.col(c).cast("double").alias("value"), no_label.alias("label"))
+    label = lambda c: F.struct(F.lit(c.lower()).alias("subject"), no_value.alias("value"), F.col(c).alias("label"))
+    moved = [measure("quantity", "Quantity"), measure("gik", "Total_GIK"), *map(label, ("Category", "Brand", "Warehouse"))]
+    rows = stock.select(sample, F.inline(F.array(measure("inventory", "Inventory_Level")))).unionByName(flows.select(sample, F.inline(F.array(*moved))))
+    seen = rows.where(F.col("value").isNotNull() | F.col("label").isNotNull())
+    conds = samples(sample, first, second)
+    counts = materialize(_both(seen, sample, first, second).groupBy("subject", "value", "label").agg(
+        *[F.count_if(c).alias(n) for n, c in conds.items()]), "counts")
+    num = numeric_drift_of(counts.where("label is null").select("subject", "value", *conds), "value", ["subject"])
     num = num.select("subject", "js", "ks", "wasserstein", "u1")
-    dims = ["Category", "Brand", "Warehouse"]
-    labels = flows.select(sample, *dims).unpivot([sample], dims, "subject", "label")
-    cat = label_drift(label_shares(labels, "label", sample, first, second, ["subject"]), ["subject"])
-    cat = cat.select(F.lower("subject").alias("subject"), "chi2", "total_variation", "new_labels", "gone_labels")
+    cat = label_drift(label_shares_of(counts.where("label is not null").select("subject", "label", *conds), "label", ["subject"]), ["subject"])
+    cat = cat.select("subject", "chi2", "total_variation", "new_labels", "gone_labels")
     return num.unionByName(cat, allowMissingColumns=True)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocktide.session import materialize
+
 
 def over(keys: Sequence[str], *order) -> Window:
     """Window over one series; callers hold at most one row per day and key."""
@@ -20,27 +22,25 @@ def known(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.na.drop(how="any", subset=columns) if columns else df
 
 
-# Columns whose values the library itself writes (column names, flow and period
-# tags), so a table keyed by them has a handful of rows whatever the data.
-ENUMERATED = frozenset({"column", "flow", "period", "sample", "dimension", "subject", "dataset", "metric"})
-
-
 def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add parameter columns: one row per key by join, one row overall by subquery.
 
     A keyless `params` is an ungrouped aggregate, so it has exactly one row and
-    the scalar subquery never ships more than that. Keys the library enumerates
-    bound the table, so it is broadcast and the wide side keeps its partitioning;
-    for keys that come from the data Spark decides by measured size.
+    the scalar subquery never ships more than that. With keys Spark decides by
+    size; `params` that meet facts are written first (`attach_written`), so that
+    the size is known and a small table leaves the facts where they are.
     """
     if keys:
-        few = set(keys) <= ENUMERATED
-        return df.join(F.broadcast(params) if few else params, list(keys), "left")
+        return df.join(params, list(keys), "left")
     row = params.select(F.struct("*").alias("p")).scalar()
     with_row = df.withColumn("__row", row)
     return with_row.select(*df.columns, *[F.col(f"__row.{c}").alias(c) for c in params.columns])
 
 
+def attach_written(df: DataFrame, params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return attach(df, materialize(params, "params") if keys else params, keys)
+
+
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
     """Add aggregates over each key, without gathering the key's rows in a task."""
     return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()]), keys)

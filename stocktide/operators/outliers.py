@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from stocktide.session import materialize
 
 from . import series as S
-from .frames import attach, known, over, ratio
-from .ranks import median_deviation, quantiles
+from .frames import attach, attach_written, known, over, ratio
+from .ranks import median_deviation, moments_of, quantiles, quantiles_of
 
 
 def fences(df: DataFrame, value: str, keys: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """Bounds k quartile spreads outside the quartiles, one row per key."""
-    q = quantiles(df, value, {"q1": 0.25, "q3": 0.75}, keys)
+    return _fences(quantiles(df, value, {"q1": 0.25, "q3": 0.75}, keys), keys, k)
+
+
+def _fences(q: DataFrame, keys: Sequence[str], k: float = 1.5) -> DataFrame:
     spread = (F.col("q3") - F.col("q1")) * k
     return q.select(*keys, (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
 
 
 def fence_rows(df: DataFrame, value: str, keys: Sequence[str] = (), k: float = 1.5) -> DataFrame:
-    out = attach(known(df, [*keys, value]), fences(df, value, keys, k), keys)
+    out = attach_written(known(df, [*keys, value]), fences(df, value, keys, k), keys)
     return out.where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
@@ -30,7 +33,7 @@ def zscore_rows(df: DataFrame, value: str, keys: Sequence[str] = (), limit: floa
     """Rows further than `limit` population deviations from the mean."""
     v = F.coalesce(F.col(value), F.lit(0.0)) if nulls_as_zero else F.col(value)
     stats = df.groupBy(*keys).agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_sd"))
-    out = attach(df, stats, keys).withColumn("score", F.abs(ratio(v - F.col("_mean"), F.col("_sd"))))
+    out = attach_written(df, stats, keys).withColumn("score", F.abs(ratio(v - F.col("_mean"), F.col("_sd"))))
     return out.where(F.col("score") > limit).drop("_mean", "_sd")
 
 
@@ -39,7 +42,7 @@ def modified_zscore_rows(df: DataFrame, value: str, keys: Sequence[str] = (), li
 
     Without any deviation there are no outliers.
     """
-    out = attach(known(df, [*keys, value]), median_deviation(df, value, keys), keys)
+    out = attach_written(known(df, [*keys, value]), median_deviation(df, value, keys), keys)
     out = out.withColumn("score", F.abs(ratio(0.6745 * (F.col(value) - F.col("median")), F.col("mad"))))
     return out.where(F.col("score") > limit).drop("median", "mad")
 
@@ -51,8 +54,12 @@ def flagged(df: DataFrame, value: str, keys: Sequence[str] = (), forest: DataFra
     """
     v = F.col(value)
     zero = F.coalesce(v, F.lit(0.0))
-    stats = df.groupBy(*keys).agg(F.avg(zero).alias("_mean"), F.stddev_pop(zero).alias("_sd"))
-    out = attach(attach(df, fences(df, value, keys), keys), stats, keys)
+    # One scan for both methods: the distinct values with their counts, missing ones included.
+    state = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counts")
+    sd = F.when(F.col("max") > F.col("min"), F.sqrt(F.col("m2") / F.col("count"))).otherwise(0.0)
+    stats = moments_of(state.withColumn(value, zero), value, keys).select(*keys, F.col("mean").alias("_mean"), sd.alias("_sd"))
+    q = quantiles_of(known(state, [*keys, value]), value, {"q1": 0.25, "q3": 0.75}, keys)
+    out = attach_written(df, attach(stats, _fences(q, keys), keys), keys)
     methods = [
         F.when((v < F.col("low")) | (v > F.col("high")), "IQR"),
         F.when(F.abs(ratio(zero - F.col("_mean"), F.col("_sd"))) > 3, "Z-Score"),

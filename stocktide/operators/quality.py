@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stocktide import schemas
 
-from .frames import attach, has, known, long_form, numeric_columns, over, present, rows_of
-from .ranks import median_deviation, quantiles
+from .frames import attach, attach_written, has, known, long_form, numeric_columns, over, present, rows_of
+from .ranks import counted, median_deviation_of, moments_of, quantiles, quantiles_of, shape_columns
 
 
 def missing_columns(spark: SparkSession, tables: dict[str, DataFrame], level: str = "full") -> DataFrame:
@@ -89,10 +89,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, keys=()) -> Da
     columns = list(columns or numeric_columns(df))
     ids = [*keys, "column"]
     long = known(long_form(df, keys, columns), ["value"])
-    base = long.groupBy(*ids).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    return attach(base, quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ids), ids)
+    counts = counted(long, "value", ids)
+    base = moments_of(counts, "value", ids).select(*ids, *shape_columns()).select(*ids, "count", "mean", "std", "min", "max")
+    return attach(base, quantiles_of(counts, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ids), ids)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -109,27 +108,35 @@ def outlier_flags(df: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
     """Long rows (keys, column, value) with one flag per detection method."""
     ids = [*keys, "column"]
     long = known(long_form(df, keys, columns), [*ids, "value"])
-    params = long.groupBy(*ids).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
-    params = params.join(quantiles(long, "value", {"_q1": 0.25, "_q3": 0.75}, ids), ids).join(median_deviation(long, "value", ids), ids)
+    return _flagged(long, counted(long, "value", ids), ids)
+
+
+def _flagged(rows: DataFrame, counts: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """`rows` with the flags; every bound is read from the written counts."""
+    params = moments_of(counts, "value", ids).select(*ids, F.col("mean").alias("_mean"), F.when(F.col("max") > F.col("min"), F.sqrt(F.col("m2") / F.col("count"))).otherwise(0.0).alias("_sd"))
+    params = params.join(quantiles_of(counts, "value", {"_q1": 0.25, "_q3": 0.75}, ids), ids).join(median_deviation_of(counts, "value", ids), ids)
     v, iqr = F.col("value"), F.col("_q3") - F.col("_q1")
     low, high = F.col("_q1") - 1.5 * iqr, F.col("_q3") + 1.5 * iqr
     z = F.abs(F.try_divide(v - F.col("_mean"), F.col("_sd")))
     mz = F.abs(F.try_divide(0.6745 * (v - F.col("median")), F.col("mad")))
     no = F.lit(False)
-    return attach(long, params, ids).select(
-        *ids, "value", low.alias("low"), high.alias("high"),
+    return attach_written(rows, params, ids).select(
+        *rows.columns, low.alias("low"), high.alias("high"),
         ((v < low) | (v > high)).alias("iqr"), F.coalesce(z > 3, no).alias("zscore"),
         F.coalesce(mz > 3.5, no).alias("modified_zscore"))
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
     """Per column: bounds, hits per method and in total, share in percent."""
-    flags = outlier_flags(df, columns, keys)
+    ids = [*keys, "column"]
+    counts = counted(known(long_form(df, keys, columns), [*ids, "value"]), "value", ids)
+    flags = _flagged(counts, counts, ids)  # equal values share their flags: the counts stand for the rows
     any_hit = F.col("iqr") | F.col("zscore") | F.col("modified_zscore")
-    return flags.groupBy(*keys, "column").agg(
-        F.max("low").alias("low"), F.max("high").alias("high"), F.count_if("iqr").alias("iqr"),
-        F.count_if("zscore").alias("zscore"), F.count_if("modified_zscore").alias("modified_zscore"),
-        F.count_if(any_hit).alias("total"), (F.count_if(any_hit) * 100.0 / F.count(F.lit(1))).alias("percentage"))
+    hits = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return flags.groupBy(*ids).agg(
+        F.max("low").alias("low"), F.max("high").alias("high"), hits(F.col("iqr")).alias("iqr"),
+        hits(F.col("zscore")).alias("zscore"), hits(F.col("modified_zscore")).alias("modified_zscore"),
+        hits(any_hit).alias("total"), (hits(any_hit) * 100.0 / F.sum("n")).alias("percentage"))
 
 
 def assessment(df: DataFrame, numeric: Sequence[str] | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
 """Exact ranks, cumulative counts and quantiles without one global sort.
 
 Rows collapse to distinct values with counts (combined before the shuffle, so a
-value that repeats a billion times is one row). Values then fall into ordered
-buckets computed from the value alone; a running sum inside each bucket plus the
-totals of the buckets below gives the global position. Every step depends only
-on the data, so a task that reruns after an executor loss produces the same rows.
+value that repeats a billion times is one row), written once: quantiles, moments,
+bins and two-sample statistics are all read from that table and the facts are
+scanned once. Values then fall into ordered buckets; a bucket that holds more
+distinct values than one task should rank is split between its least and its
+largest value, again and again until none does. A running sum inside each bucket
+plus the totals of the buckets below gives the global position. Every step depends
+only on the data, so a task that reruns after an executor loss produces the same rows.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from pyspark.sql import functions as F
 
 from stocktide.session import materialize
 
-from .frames import ENUMERATED, attach, known, long_form, over
+from .frames import attach, known, long_form, over, ratio
 
 Spot = Callable[[Column], Column]
 
 # Logarithmic grid: about 0.05 % of the value per bucket, finer near zero.
 _UNIT, _STEPS = 1000.0, 2048.0
+MOST = 1 << 20  # distinct values that are ranked in one task
 
 
 def bucket_of(value: str) -> Column:
@@ -43,30 +47,60 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = (), samples: d
     return known(df, [*keys, value]).groupBy(*keys, value).agg(*counted)
 
 
+def counted(df: DataFrame, value: str, keys: Sequence[str] = (), samples: dict[str, Column] | None = None) -> DataFrame:
+    """The written value counts: one scan of the data, whatever is asked of them later."""
+    return materialize(value_counts(df, value, keys, samples), "counts")
+
+
+def bucketed(counts: DataFrame, value: str, keys: Sequence[str] = (), most: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Written counts with bucket columns, in whose order the values rise; no bucket holds more than `most` values.
+
+    The first column is a fixed grid. Where a bucket is too full, the next one cuts it into equal
+    widths; crowded values take several rounds. Sizes are measured on the written table.
+    """
+    most = most or MOST
+    cells, names = counts.withColumn("_b0", bucket_of(value)), ["_b0"]
+    if counts.count() <= most:  # from the file footers
+        return cells, names
+    v = F.col(value).cast("double")
+    while True:
+        ids = [*keys, *names]
+        sizes = cells.groupBy(*ids).agg(F.count(F.lit(1)).alias("_held"), F.min(v).alias("_least"), F.max(v).alias("_largest"))
+        full = sizes.where((F.col("_held") > most) & (F.col("_largest") > F.col("_least")))
+        if full.isEmpty():
+            return cells, names
+        full = materialize(full, "full_buckets")
+        parts = F.ceil(F.col("_held") / most) * 4
+        place = F.least(F.floor((v - F.col("_least")) / (F.col("_largest") - F.col("_least")) * parts), parts - 1)
+        held, new = cells.columns, f"_b{len(names)}"
+        cells = cells.join(full, ids, "left").select(*held, F.coalesce(place, F.lit(0)).alias(new))
+        names.append(new)
+
+
 def cumulative(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str] = (), next_value=False):
-    """Add `cum_<s>` (inclusive) and `all_<s>` for every count column.
+    """Add `cum_<s>` (inclusive) and `all_<s>` for every count column of the written `counts`.
 
     With `next_value` also add the following distinct value of the key.
     """
     keys = list(keys)
-    cells = counts.withColumn("_bucket", bucket_of(value))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    cells, names = bucketed(counts, value, keys)
+    inside = Window.partitionBy(*keys, *names).orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = cells.select("*", *[F.sum(s).over(running).alias(f"_run_{s}") for s in sums])
     if next_value:
         run = run.withColumn("_next", F.lead(value).over(inside))
-    # One row per occupied bucket: bounded by the grid, not by the data.
-    totals = cells.groupBy(*keys, "_bucket").agg(
+    # One row per occupied bucket.
+    totals = cells.groupBy(*keys, *names).agg(
         F.min(value).alias("_low"), *[F.sum(s).alias(f"_tot_{s}") for s in sums]
     )
-    below = over(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    below = over(keys, *names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_bucket",
-        F.lead("_low").over(over(keys, "_bucket")).alias("_next_low"),
+        *keys, *names,
+        F.lead("_low").over(over(keys, *names)).alias("_next_low"),
         *[F.coalesce(F.sum(f"_tot_{s}").over(below), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_tot_{s}").over(over(keys)).alias(f"all_{s}") for s in sums],
     )
-    joined = run.join(offsets, [*keys, "_bucket"])
+    joined = run.join(offsets, [*keys, *names])
     out = [*counts.columns]
     out += [(F.col(f"_run_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums]
     out += [f"all_{s}" for s in sums]
@@ -75,52 +109,77 @@ def cumulative(counts: DataFrame, value: str, sums: Sequence[str], keys: Sequenc
     return joined.select(*out)
 
 
-def at_positions(df: DataFrame, value: str, spots: dict[str, Spot], keys: Sequence[str] = ()) -> DataFrame:
-    """Values at 0-based positions of the sorted column, one row per key, and `all_n`.
+def positions(counts: DataFrame, value: str, spots: dict[str, Spot], keys: Sequence[str] = ()) -> DataFrame:
+    """Values at 0-based positions of the sorted column, one row per key, and `all_n`, from written counts.
 
-    A spot maps the row count to a position. Without keys, or with keys the
-    library enumerates, two narrow passes suffice: a histogram over the buckets
-    names the few buckets that hold a wanted position (at most one per spot and
-    key, so broadcast), and only rows of those buckets are counted by value.
-    Other keys rank all distinct values.
+    A spot maps the row count to a position. The totals of the buckets name those that
+    hold a wanted position (at most one per spot and key); only they are ranked.
     """
-    keys = list(keys)
-    n = F.col("all_n")
-    if set(keys) <= ENUMERATED:
-        cells = known(df.select(*keys, value), [*keys, value]).withColumn("_bucket", bucket_of(value))
-        sizes = cells.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-        below = over(keys, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.select(
-            *keys, "_bucket", "_size", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_off"),
-            F.sum("_size").over(over(keys)).alias("all_n"))
-        holds = [(at(n) >= F.col("_off")) & (at(n) < F.col("_off") + F.col("_size")) for at in spots.values()]
-        wanted = sizes.where(reduce(or_, holds)).select(*keys, "_bucket", "_off", "all_n")
-        counts = cells.join(F.broadcast(wanted), [*keys, "_bucket"]).groupBy(*keys, "_bucket", value).agg(
-            F.count(F.lit(1)).alias("n"), F.max("_off").alias("_off"), F.max("all_n").alias("all_n"))
-        running = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("cum_n", F.sum("n").over(running) + F.col("_off"))
-    else:
-        ranked = cumulative(value_counts(df, value, keys), value, ["n"], keys)
+    keys, n = list(keys), F.col("all_n")
+    cells, names = bucketed(counts, value, keys)
+    sizes = cells.groupBy(*keys, *names).agg(F.sum("n").alias("_size"))
+    below = over(keys, *names).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *keys, *names, "_size", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_off"),
+        F.sum("_size").over(over(keys)).alias("all_n"))
+    holds = [(at(n) >= F.col("_off")) & (at(n) < F.col("_off") + F.col("_size")) for at in spots.values()]
+    wanted = sizes.where(reduce(or_, holds)).select(*keys, *names, "_off", "all_n")
+    running = Window.partitionBy(*keys, *names).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.join(wanted, [*keys, *names]).withColumn("cum_n", F.sum("n").over(running) + F.col("_off"))
     v = F.col(value).cast("double")
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     picks = [F.max(F.when((first <= at(n)) & (at(n) <= last), v)).alias(name) for name, at in spots.items()]
     return ranked.groupBy(*keys).agg(*picks, F.max("all_n").alias("all_n"))
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles, one row per key, one column per name."""
+def quantiles_of(counts: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles from written counts, one row per key, one column per name."""
     place = lambda p: lambda n: F.lit(float(p)) * (n - 1)
     spots: dict[str, Spot] = {}
     for name, p in probs.items():
         spots[f"{name}_lo"] = lambda n, p=p: F.floor(place(p)(n))
         spots[f"{name}_hi"] = lambda n, p=p: F.ceil(place(p)(n))
-    found = at_positions(df, value, spots, keys)
+    found = positions(counts, value, spots, keys)
     share = lambda p: place(p)(F.col("all_n")) - F.floor(place(p)(F.col("all_n")))
     picks = [
         (F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * share(p)).alias(name) for name, p in probs.items()]
     return found.select(*keys, *picks)
 
 
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    return quantiles_of(counted(df, value, keys), value, probs, keys)
+
+
+def moments_of(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """count, mean, min, max and the sums of squared, cubed and fourth powers of deviations (m2, m3, m4) from written counts.
+
+    The mean is known before deviations are summed, so large values with a small spread lose no digits.
+    """
+    v, n = F.col(value).cast("double"), F.col("n").cast("double")
+    base = counts.groupBy(*keys).agg(F.sum("n").alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    d = v - F.col("_mean")
+    rows = attach(counts, base.select(*keys, F.col("mean").alias("_mean")), keys)
+    sums = rows.groupBy(*keys).agg(*[F.sum(n * F.pow(d, F.lit(float(k)))).alias(f"m{k}") for k in (2, 3, 4)])
+    return attach(base, sums, keys)
+
+
+def shape_columns() -> list[Column]:
+    """count, mean, std, var, min, max, range, bias-corrected shape and cv of `moments_of`.
+
+    A derived shape is missing where a sample is too small or has no spread.
+    """
+    n, m2, spread = F.col("count").cast("double"), F.col("m2"), F.col("max") > F.col("min")
+    var = F.when(n > 1, F.when(spread, m2 / (n - 1)).otherwise(0.0))
+    g1 = F.when(spread, F.col("m3") / n / F.pow(m2 / n, F.lit(1.5)))
+    g2 = F.when(spread, n * F.col("m4") / (m2 * m2) - 3)
+    skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+    kurt = F.when(n > 3, ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+    return [
+        F.col("count"), F.col("mean"), F.sqrt(var).alias("std"), var.alias("var"), F.col("min"), F.col("max"),
+        (F.col("max") - F.col("min")).alias("range"), skew.alias("skewness"), kurt.alias("kurtosis"),
+        ratio(F.sqrt(var), F.col("mean"), 0.0).alias("cv")]
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Quantiles of several columns in one pass, named `<column>_<name>`."""
     keys = list(keys)
@@ -136,7 +195,7 @@ def order_statistics(df: DataFrame, value: str, limits: tuple[float, float], key
         "low": lambda n: F.floor(F.lit(limits[0]) * n),
         "high": lambda n: n - 1 - F.floor(F.lit(limits[1]) * n),
     }
-    return at_positions(df, value, spots, keys).select(*keys, "low", "high")
+    return positions(counted(df, value, keys), value, spots, keys).select(*keys, "low", "high")
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -159,11 +218,14 @@ def ordered_codes(labels: DataFrame, label: str, name: str) -> DataFrame:
     return numbered(labels.select(label), [label], "_at").select(label, (F.col("_at") - 1).alias(name))
 
 
+def median_deviation_of(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Median and median absolute deviation per key, from written counts."""
+    keys = list(keys)
+    center = materialize(quantiles_of(counts, value, {"median": 0.5}, keys), "medians") if keys else quantiles_of(counts, value, {"median": 0.5})
+    away = attach(counts, center, keys).groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("_dev")).agg(F.sum("n").alias("n"))
+    spread = quantiles_of(materialize(away, "deviations"), "_dev", {"mad": 0.5}, keys)
+    return center.join(spread, keys) if keys else attach(center, spread)
+
+
 def median_deviation(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Median and median absolute deviation per key."""
-    center = quantiles(df, value, {"median": 0.5}, keys)
-    shifted = attach(known(df, [*keys, value]).select(*keys, value), center, keys).withColumn(
-        "_dev", F.abs(F.col(value) - F.col("median"))
-    )
-    spread = quantiles(shifted, "_dev", {"mad": 0.5}, keys)
-    return center.join(spread, list(keys)) if keys else attach(center, spread)
+    return median_deviation_of(counted(df, value, keys), value, keys)
