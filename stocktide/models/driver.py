@@ -18,10 +18,10 @@ from stocktide.operators.drift import scale_shift
 from stocktide.operators.frames import attach, over, present
 from stocktide.session import materialize
 
-from . import additive, arima, trees
+from . import additive, arima, simple, trees
 
 METHODS = {"Prophet": ["Prophet"], "SARIMA": ["SARIMA"], "XGBoost": ["XGBoost"], "Both": ["Prophet", "SARIMA"],
-           "All": ["Prophet", "SARIMA", "XGBoost"]}
+           "All": ["Prophet", "SARIMA", "XGBoost"], "RandomForest": ["RandomForest"], "Hybrid": ["Hybrid"]}
 COLUMNS = ["model", "ds", "yhat", "yhat_lower", "yhat_upper", "is_history"]
 
 
@@ -33,15 +33,20 @@ def _stack(frames):
 
 
 def fit_models(frame: DataFrame, keys: Sequence[str], periods: int, level: float, names: Sequence[str]) -> DataFrame:
-    """Forecast table of the named models on one training frame."""
+    """Forecast table of the named models on one training frame, with in-sample rows of each."""
     done = []
     for n in names:
         if n == "Prophet":
             done.append(additive.forecast(frame, keys, periods, level, present(frame, S.FEATURES)))
         elif n == "SARIMA":
-            done.append(arima.forecast(frame, keys, periods, level))
+            done.append(arima.forecast(frame, keys, periods, level, history=True))
         elif n == "XGBoost":
-            done.append(trees.forecast_boosted(frame.select(*keys, "ds", "y"), keys, periods))
+            done.append(trees.forecast_boosted(frame, keys, periods, history=True))
+        elif n == "RandomForest":
+            done.append(trees.forecast_forest(frame, keys, periods))
+        elif n == "Hybrid":
+            members = materialize(fit_models(frame, keys, periods, level, list(simple.HYBRID_WEIGHTS)), "members")
+            done.append(simple.hybrid(members, [*keys, "is_history"]))
         else:
             raise ValueError(f"unknown model {n}")
     return _stack([d.select(*keys, *COLUMNS) for d in done])
@@ -73,7 +78,7 @@ def run(train: DataFrame, tune: DataFrame, keys: Sequence[str] = (), method: str
 
 def request(train: DataFrame, tune: DataFrame | None, keys=(), model: str = "prophet", periods: int = 90, level: float = 0.95, use_tuning_data: bool = True):
     """Forecast request with checked arguments: returns run() for one model."""
-    known = {m.lower(): m for m in ("Prophet", "SARIMA", "XGBoost")}
+    known = {m.lower(): m for m in ("Prophet", "SARIMA", "XGBoost", "RandomForest", "Hybrid")}
     if model.lower() not in known:
         raise ValueError(f"model must be one of {sorted(known)}")
     if not 1 <= periods <= 730:
@@ -140,7 +145,7 @@ def adaptive(train: DataFrame, tune: DataFrame, keys=(), model: str = "Prophet",
     metrics = before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after")))
     ends = tune.groupBy(*keys).agg(F.max("ds").alias("_b"))
     future = attach(adapted, ends, keys).where((F.col("ds") > F.col("_b")) & (F.col("ds") <= F.date_add("_b", periods))).drop("_b")
-    return {"metrics": metrics, "future": future, "shift": shift, "adapted": adapted}
+    return {"metrics": metrics, "future": future, "shift": shift, "adapted": adapted, "stability": E.stability(tune, adapted, keys)}
 
 
 # ---------------------------------------------------------------- choice by cross-validation
@@ -159,6 +164,26 @@ def cross_validate(frame: DataFrame, keys=(), models=("Prophet", "SARIMA"), spli
     return scored.groupBy(*keys, "model").agg(F.avg("rmse").alias("cv_rmse"))
 
 
+def fold_weights(frame: DataFrame, keys=(), models=("Prophet", "SARIMA", "RandomForest"), splits: int = 3) -> DataFrame:
+    """Weights per series and model that sum to one, by the inverse of the error on days that were not fitted."""
+    keys = list(keys)
+    scores = materialize(cross_validate(frame, keys, models, splits), "cv")
+    known = scores.where(F.col("cv_rmse") < float("inf")).withColumn("_w", 1 / F.greatest(F.col("cv_rmse"), F.lit(1e-12)))
+    return known.select(*keys, "model", "cv_rmse", (F.col("_w") / F.sum("_w").over(over(keys))).alias("weight"))  # a row for each model
+
+
+def fitted_hybrid(frame: DataFrame, keys=(), periods: int = 90, models=("Prophet", "SARIMA", "RandomForest"), splits: int = 3) -> dict[str, DataFrame]:
+    """The members fitted on all days and combined by their out-of-fold weights; bands of ten percent."""
+    keys = list(keys)
+    weights = materialize(fold_weights(frame, keys, models, splits), "weights")
+    members = materialize(fit_models(frame, keys, periods, 0.95, list(models)), "members")
+    joined = members.join(weights.drop("cv_rmse"), [*keys, "model"]).where(F.col("yhat").isNotNull())
+    y = (F.sum(F.col("yhat") * F.col("weight")) / F.sum("weight")).alias("yhat")
+    out = joined.groupBy(*keys, "ds", "is_history").agg(y)
+    out = out.select(*keys, F.lit("Hybrid").alias("model"), "ds", "yhat", (F.col("yhat") * 0.9).alias("yhat_lower"), (F.col("yhat") * 1.1).alias("yhat_upper"), "is_history")
+    return {"forecasts": out, "members": members, "weights": weights}
+
+
 def auto_select(frame: DataFrame, keys=(), periods: int = 90, level: float = 0.95) -> dict[str, DataFrame]:
     """The model with the lowest cross-validated RMSE per series and its forecast.
 

@@ -68,7 +68,7 @@ def hybrid(forecasts: DataFrame, keys: Sequence[str] = (), weights: dict[str, fl
     """Weighted mean over the members present on a date; bands of ten percent."""
     rows = [(m, float(w)) for m, w in (weights or HYBRID_WEIGHTS).items()]
     table = rows_of(forecasts.sparkSession, rows, "model string, weight double")
-    joined = forecasts.join(table, "model")
+    joined = forecasts.join(table, "model").where(F.col("yhat").isNotNull())
     y = ratio(F.sum(F.col("yhat") * F.col("weight")), F.sum("weight"))
     out = joined.groupBy(*keys, "ds").agg(y.alias("yhat"))
     return out.select(*keys, F.lit(name).alias("model"), "ds", "yhat", (F.col("yhat") * 0.9).alias("yhat_lower"), (F.col("yhat") * 1.1).alias("yhat_upper"))

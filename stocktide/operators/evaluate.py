@@ -30,10 +30,10 @@ def compare(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (), a
         err.alias("Error"), F.abs(err).alias("Absolute_Error"), (err / _zero_safe(F.col("y")) * 100).alias("Percentage_Error"))
 
 
-def accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (), empty: float | None = None) -> DataFrame:
+def accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (), empty: float = 0.0) -> DataFrame:
     """RMSE, MAE, MAPE and the number of compared days per key and model.
 
-    Without a common date the scores are null, or `empty` where a caller needs a number.
+    Without a common date the scores are `empty`; `compared_days` is 0 there, so they are not taken for a perfect fit.
     """
     group = [*keys, "model"]
     rows = compare(actual, forecasts, keys)
@@ -42,7 +42,7 @@ def accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = (),
         F.avg(F.abs("Percentage_Error")).alias("mape"), F.count("Error").alias("compared_days"))
     everyone = forecasts.select(*group).distinct()
     out = everyone.join(scored, group, "left").na.fill(0, ["compared_days"])
-    return out if empty is None else out.na.fill(float(empty), ["rmse", "mae", "mape"])
+    return out.na.fill(float(empty), ["rmse", "mae", "mape"])
 
 
 def extended_accuracy(actual: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +130,8 @@ def confidence(forecasts: DataFrame, metrics: DataFrame, train: DataFrame, keys:
     Days ahead count from the last training date.
     """
     base = train.groupBy(*keys).agg(F.avg("y").alias("_mean"), F.stddev("y").alias("_sd"), F.max("ds").alias("_end"))
-    rows = attach(forecasts, base, keys).join(metrics.select(*keys, "model", "mae"), [*keys, "model"], "left")
+    mae = F.when(F.col("compared_days") > 0, F.col("mae")).alias("mae") if "compared_days" in metrics.columns else "mae"
+    rows = attach(forecasts, base, keys).join(metrics.select(*keys, "model", mae), [*keys, "model"], "left")
     # `greatest` skips nulls, so a missing share must be kept missing here.
     floor0 = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
     width = ratio(F.col("yhat_upper") - F.col("yhat_lower"), F.abs("yhat"))

@@ -82,10 +82,23 @@ def optimisation(outflows: DataFrame, inventory: DataFrame, metrics: DataFrame,
 
 
 def daily_cube(flows: DataFrame) -> DataFrame:
-    """Quantity, its square and count of shipments by flow, category, warehouse and day."""
-    q = F.col("Quantity")
+    """Quantity, its squared deviations and count of shipments by flow, category, warehouse and day."""
+    q = F.col("Quantity").cast("double")
     return flows.groupBy("flow", "Category", "Warehouse", "Date").agg(
-        F.sum(q).alias("Quantity"), F.sum(q * q).alias("squares"), F.count(q).alias("shipments"), F.count(F.lit(1)).alias("rows"))
+        F.sum(q).alias("Quantity"), (F.var_pop(q) * F.count(q)).alias("squares"), F.count(q).alias("shipments"), F.count(F.lit(1)).alias("rows"))
+
+
+def merged_moments(cells: DataFrame, keys: Sequence[str], n: str = "shipments", total: str = "Quantity", squares: str = "squares") -> DataFrame:
+    """total, count and squared deviations (m2) per key from cells that hold their own.
+
+    The cells' deviations from the key's mean are added to those inside the cells, so nothing large is
+    subtracted from something large.
+    """
+    held = cells.where(F.col(n) > 0)
+    whole = held.groupBy(*keys).agg(F.sum(total).alias("total"), F.sum(n).alias("count"))
+    rows = attach(held, whole.select(*keys, (F.col("total") / F.col("count")).alias("_mean")), keys)
+    off = F.col(total) / F.col(n) - F.col("_mean")
+    return whole.join(rows.groupBy(*keys).agg(F.sum(F.col(squares) + F.col(n) * off * off).alias("m2")), list(keys))
 
 
 def middle_day(cube: DataFrame) -> DataFrame:
@@ -129,10 +142,9 @@ def warehouse_efficiency(flows: DataFrame) -> DataFrame:
 
 
 def category_spread(cube: DataFrame) -> DataFrame:
-    """Total and deviation of shipments per category, from sums of squares."""
-    n, total, squares = F.sum("shipments"), F.sum("Quantity"), F.sum("squares")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares - F.try_divide(total * total, n), n - 1)))
-    return known(cube, ["Category"]).groupBy("Category").agg(total.alias("_t"), F.when(n > 1, spread).alias("_s"))
+    """Total and deviation of shipments per category, from the deviations of the cube's cells."""
+    m = merged_moments(known(cube, ["Category"]), ["Category"])
+    return m.select("Category", F.col("total").alias("_t"), F.when(F.col("count") > 1, F.sqrt(F.col("m2") / (F.col("count") - 1))).alias("_s"))
 
 
 def opportunities(outflows: DataFrame | None, inventory: DataFrame, per: DataFrame | None = None) -> DataFrame:

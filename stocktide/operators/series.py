@@ -257,12 +257,12 @@ def trend_change(df: DataFrame, keys, date: str, value: str, period: int = 365,
         slope(early).alias("early_slope"), slope(late).alias("late_slope"),
         F.stddev("trend").alias("_sd"), F.count(F.lit(1)).alias("_rows"))
     gap = F.abs(F.col("late_slope") - F.col("early_slope"))
-    out = out.where(F.col("_rows") + (period // 2) * 2 >= min_rows).select(
-        *keys, "early_slope", "late_slope", gap.alias("change"), (gap > F.col("_sd") * 0.1).alias("changed"))
-    if not keys:
-        return out.withColumn("reason", F.lit(None).cast("string"))
+    enough = F.col("_rows") + (period // 2) * 2 >= min_rows
+    found = {"early_slope": F.col("early_slope"), "late_slope": F.col("late_slope"), "change": gap, "changed": gap > F.col("_sd") * 0.1}
+    out = out.select(*keys, *[F.when(enough, c).alias(n) for n, c in found.items()])  # without keys always one row
     reason = F.when(F.col("early_slope").isNull(), F.lit("insufficient data")).alias("reason")
-    return df.select(*keys).distinct().join(out, list(keys), "left").select("*", reason)
+    whole = df.select(*keys).distinct().join(out, list(keys), "left") if keys else out
+    return whole.select("*", reason)
 
 
 def long_gaps(df: DataFrame, keys, date: str, days: int = 30) -> DataFrame:
@@ -279,6 +279,29 @@ def detrend_if_gapped(df: DataFrame, keys, date: str, value: str, days: int = 30
     return out.withColumn("trend", F.when(hit, F.col("trend"))).withColumn("detrended", F.when(hit, F.col("detrended"))).drop("gaps")
 
 
+def detrend_by_decomposition(df: DataFrame, keys, date: str, value: str, period: int = 365) -> DataFrame:
+    """`trend` and `detrended`: the smoothed trend where a series holds two periods, carried to its ends, else a line.
+
+    `method` says which of the two a series got. Both are worked out side by side in one plan.
+    """
+    smooth = fill(decompose(df, keys, date, value, period), keys, date, ["trend"], forward=False)
+    smooth = fill(smooth, keys, date, ["trend"], backward=False).drop("seasonal", "resid")
+    fit = linear_trend(df, keys, date, value).select(*keys, "slope", "intercept", "n")
+    out = attach(indexed(smooth, keys, date), fit, keys)
+    long_enough = F.coalesce(F.col("n"), F.lit(0)) >= 2 * period
+    line = F.col("slope") * F.col("_i") + F.col("intercept")
+    out = out.withColumn("trend", F.when(long_enough, F.col("trend")).otherwise(line)).withColumn("method", F.when(long_enough, "decomposition").otherwise("line"))
+    return out.withColumn("detrended", F.col(value) - F.col("trend")).drop("_i", "slope", "intercept", "n")
+
+
+def detrend_gapped(df: DataFrame, keys, date: str, value: str, days: int = 30, period: int = 365) -> DataFrame:
+    """Detrending, by decomposition where possible, of the series that have a long gap; the others stay untouched."""
+    gaps = long_gaps(df, keys, date, days).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"))
+    out = attach(detrend_by_decomposition(df, keys, date, value, period), gaps, keys)
+    hit = F.coalesce(F.col("gaps"), F.lit(0)) > 0
+    return out.withColumns({c: F.when(hit, F.col(c)) for c in ("trend", "detrended", "method")}).drop("gaps")
+
+
 def seasonality(df: DataFrame, keys, date: str, value: str, min_rows: int = 30) -> DataFrame:
     """Spread of month and weekday means; seasonal above 0.1 or 0.05."""
     def spread(bucket, name):

@@ -158,6 +158,26 @@ def _(spark, sf):
     return trees.predict_forest(period_frame(spark, sf, "tune"), K, model, columns)
 
 
+@query("fc09_fitted_hybrid", _FIT_OUT)
+def _(spark, sf):
+    return driver.fitted_hybrid(period_frame(spark, sf, "train"), K, 90)["forecasts"]
+
+
+@query("fc09_fold_weights", "Series:s model:s cv_rmse:d weight:d", places=6)
+def _(spark, sf):
+    return driver.fold_weights(period_frame(spark, sf, "train"), K)
+
+
+@query("fc10_adaptive_stability", "Series:s model:s part:l rmse:d mae:d mape:d rmse_variance:d")
+def _(spark, sf):
+    return driver.adaptive(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K)["stability"]
+
+
+@query("fc10_adaptive_hybrid", "Series:s model:s stage:s rmse:d mae:d mape:d")
+def _(spark, sf):
+    return driver.adaptive(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K, "Hybrid")["metrics"]
+
+
 @query("fc10_adaptive_accuracy", "Series:s model:s stage:s rmse:d mae:d mape:d")
 def _(spark, sf):
     return driver.adaptive(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K)["metrics"]
@@ -189,6 +209,31 @@ def _(spark, sf):
     return trees.importances(spark, model, columns)
 
 
+@query("fc18_importance_by_model", "model:s feature:s importance:d", places=8)
+def _(spark, sf):
+    train = period_frame(spark, sf, "train")
+    forest, columns = trees.fit_forest(train, K)
+    boosted = trees.gain_importances(trees.fit_boosted(train, K), trees.FEATURES).withColumn("model", F.lit("XGBoost"))
+    return trees.importances(spark, forest, columns).withColumn("model", F.lit("RandomForest")).unionByName(boosted)
+
+
+@query("qa4_forecast_models", _FIT_OUT)
+def _(spark, sf):
+    """The request for every model, with in-sample rows and the days ahead."""
+    train, tune = period_frame(spark, sf, "train"), period_frame(spark, sf, "tune")
+    out = None
+    for name in ("prophet", "sarima", "xgboost", "randomforest"):
+        found = driver.request(train, tune, K, name, 60, 0.9)["forecasts"]
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("qa4_request_accuracy", "Series:s model:s rmse:d mae:d mape:d")
+def _(spark, sf):
+    """In-sample scores of a request without tuning data."""
+    return driver.request(period_frame(spark, sf, "train"), None, K, "sarima", 60, 0.9, False)["metrics"]
+
+
 @query("qa4_forecast_request", _FIT_OUT)
 def _(spark, sf):
     out = driver.request(period_frame(spark, sf, "train"), period_frame(spark, sf, "tune"), K, "sarima", 60, 0.9)

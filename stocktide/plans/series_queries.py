@@ -233,6 +233,18 @@ def _(spark, sf):
     return S.detrend_if_gapped(stock(spark, sf), K, D, V, days=10)
 
 
+@query("ts19_detrend_gapped", "Series:s Date:s method:s trend:d detrended:d", """
+WITH ix AS (SELECT period AS Series, Date, Inventory_Level AS v, CAST(row_number() OVER w - 1 AS DOUBLE) AS i, Date - lag(Date) OVER w AS gap FROM inventory WINDOW w AS (PARTITION BY period ORDER BY Date)),
+fi AS (SELECT Series, regr_slope(v, i) AS slope, regr_intercept(v, i) AS intercept, count(*) AS n, count(*) FILTER (gap > 1) AS gaps FROM ix GROUP BY 1),
+sm AS (SELECT *, CASE WHEN count(v) OVER w = 365 THEN sum(v) OVER w / 365 END AS t FROM ix WINDOW w AS (PARTITION BY Series ORDER BY Date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
+fl AS (SELECT *, coalesce(first_value(t IGNORE NULLS) OVER (PARTITION BY Series ORDER BY Date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+ last_value(t IGNORE NULLS) OVER (PARTITION BY Series ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS f FROM sm),
+bo AS (SELECT Series, Date, v, gaps > 0 AS hit, n >= 730 AS long, CASE WHEN n >= 730 THEN f ELSE slope * i + intercept END AS trend FROM fl JOIN fi USING (Series))
+FINAL SELECT Series, Date, CASE WHEN hit THEN CASE WHEN long THEN 'decomposition' ELSE 'line' END END AS method, CASE WHEN hit THEN trend END AS trend, CASE WHEN hit THEN v - trend END AS detrended FROM bo""", places=3)
+def _(spark, sf):
+    return S.detrend_gapped(T.inventory(spark, sf).withColumnRenamed("period", "Series"), K, D, V, days=1)
+
+
 @query("ts20_seasonality", "Series:s seasonal:b monthly_variation:d weekly_variation:d", """
 WITH m AS (SELECT Series, stddev(v) / avg(v) AS mv FROM (SELECT Series, month(Date) AS b, avg(Inventory_Level) AS v FROM stock GROUP BY 1, 2) GROUP BY 1),
 w AS (SELECT Series, stddev(v) / avg(v) AS wv FROM (SELECT Series, dayofweek(Date) AS b, avg(Inventory_Level) AS v FROM stock GROUP BY 1, 2) GROUP BY 1)
