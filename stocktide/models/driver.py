@@ -139,7 +139,8 @@ def adaptive(train: DataFrame, tune: DataFrame, keys=(), model: str = "Prophet",
     factor = F.when(F.col("requires_adjustment"), F.col("scale")).otherwise(1.0)
     kept = moved.where(~F.coalesce(again, F.lit(False))).select(
         *keys, "model", "ds", *[(F.col(c) * factor).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")], "is_history")
-    adapted = kept.unionByName(fit_models(both_refit, keys, periods, 0.95, [model]).select(*kept.columns))
+    both_refit = materialize(both_refit, "refit")
+    adapted = kept if both_refit.isEmpty() else kept.unionByName(fit_models(both_refit, keys, periods, 0.95, [model]).select(*kept.columns))
     adapted = materialize(adapted, "adapted")
     before, after = E.accuracy(tune, baseline, keys), E.accuracy(tune, adapted, keys)
     metrics = before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after")))

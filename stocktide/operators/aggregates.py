@@ -308,9 +308,9 @@ def category_insights(inflows: DataFrame, recent="tune", earlier="train") -> Dat
     )
 
 
-def dominant_label(df: DataFrame, label: str) -> DataFrame:
-    """The most frequent label and its share in percent."""
-    counts = value_counts(df, label)
+def dominant_label(df: DataFrame, label: str, rows: str | None = None) -> DataFrame:
+    """The most frequent label and its share in percent; `rows` weighs rows that stand for several."""
+    counts = known(df, [label]).groupBy(label).agg(F.sum(rows).alias("n")) if rows else value_counts(df, label)
     return counts.agg(
         F.max_by(label, F.struct("n", label)).alias(label),
         (F.max("n") * 100.0 / F.sum("n")).alias("percentage"),

@@ -16,7 +16,7 @@ from . import aggregates as A
 from . import policy as P
 from . import series as S
 from .clean import selected
-from .frames import attach, ratio
+from .frames import attach, long_form, ratio
 
 
 def _recent_against_before(flows: DataFrame, shipments, days: int = 30) -> DataFrame:
@@ -88,13 +88,13 @@ RECOMMENDATIONS = {
 }
 
 
-def recommendations(outliers: DataFrame, shifts: DataFrame, models: DataFrame, inflows: DataFrame) -> DataFrame:
-    """Recommendations whose rule holds; seasonal planning always does."""
+def recommendations(outliers: DataFrame, shifts: DataFrame, models: DataFrame, inflows: DataFrame, rows: str | None = None) -> DataFrame:
+    """Recommendations whose rule holds; seasonal planning always does. `rows` counts the shipments behind a row of `inflows`."""
     facts = attach(outliers.agg(F.count(F.lit(1)).alias("outliers")),
                    shifts.agg(F.coalesce(F.max(F.abs(1 - F.col("ratio"))), F.lit(0.0)).alias("shift")))
     has_model = lambda m: F.coalesce(F.bool_or(F.col("model") == m), F.lit(False))
     facts = attach(facts, models.agg((has_model("Prophet") & has_model("SARIMA")).alias("both")))
-    facts = attach(facts, A.dominant_label(inflows, "Category").select(F.col("percentage").alias("share")))
+    facts = attach(facts, A.dominant_label(inflows, "Category", rows).select(F.col("percentage").alias("share")))
     holds = {"quality": F.col("outliers") > 50, "scale": F.col("shift") > 0.3, "ensemble": F.col("both"),
              "diversify": F.col("share") > 60, "seasonal": F.lit(True)}
     rows = [F.struct(F.lit(t).alias("title"), F.lit(p).alias("priority"), F.lit(i).alias("impact"),
@@ -163,6 +163,58 @@ def insight_run(inventory: DataFrame, flows: DataFrame, forecasts: DataFrame | N
     return out
 
 
+def live_run(inventory: DataFrame, flows: DataFrame, found: dict[str, DataFrame], models: DataFrame, metrics: DataFrame, keys: Sequence[str] = (),
+             recent: str = "tune", earlier: str = "train", warehouses=None, categories=None) -> DataFrame:
+    """Recommendations, risk alerts, optimisation, category insights and performance as rows (section, subject, value).
+
+    `found` is a detection run, which chosen warehouses and categories leave as it is. The flows are read
+    once into a written cube; the choice applies to its cells and everything from the flows is worked out after it.
+    """
+    cube = selected(materialize(P.dimension_cube(flows), "dimension_cube"), Warehouse=warehouses, Category=categories)
+    inflows, outflows = cube.where("flow = 'inflows'"), cube.where((F.col("flow") == "outflows") & (F.col("period") == recent))
+    level = inventory.where(F.col("period") == recent)
+    at = lambda p, c: F.sum(F.when(F.col("period") == p, F.col(c)))
+    row = lambda df, section, subject, value: df.select(
+        F.lit(section).alias("section"), subject.cast("string").alias("subject"), value.cast("double").alias("value"))
+
+    advice = recommendations(found["outliers"], found["shifts"], models, inflows.where(F.col("period") == recent), "rows")
+    risks = operational_risks(found["outliers"], found["summary"], level, metrics)
+    per = P.merged_moments(outflows.where(F.col("Category").isNotNull()), ["Category"])
+    mean, spread = F.col("total") / F.col("count"), F.when(F.col("count") > 1, F.sqrt(F.col("m2") / (F.col("count") - 1)))
+    stock = P.safety_by_model(metrics, keys)
+    turn = A.turnover(level, outflows, "rows")
+
+    both = inflows.where(F.col("Category").isNotNull() & F.col("period").isin(recent, earlier))
+    named = {f"{p}_{n}": at(p, c) for p in (recent, earlier) for n, c in (("value", "Total_GIK"), ("volume", "valued"))}
+    sums = both.groupBy("Category").agg(*[c.alias(n) for n, c in named.items()])
+    sums = sums.withColumns({f"{p}_avg": ratio(f"{p}_value", f"{p}_volume") for p in (recent, earlier)})
+    change = lambda m: F.when((F.col(f"{recent}_{m}") > 0) & (F.col(f"{earlier}_{m}") > 0), ratio(F.col(f"{recent}_{m}") - F.col(f"{earlier}_{m}"), F.col(f"{earlier}_{m}")) * 100)
+    sums = sums.withColumns({"volume_growth": change("volume"), "value_growth": change("avg")})
+    category = long_form(sums, ["Category"], [c for c in sums.columns if c != "Category"], "metric")
+    brands = inflows.where((F.col("period") == recent) & F.col("Category").isNotNull() & F.col("Brand").isNotNull()).groupBy("Category", "Brand").agg(F.sum("rows").alias("n"))
+    brands = A.top_labels(brands, "Brand", 3, ["Category"])
+
+    gifts = inflows.where(F.col("period") == recent).agg(F.sum("Quantity").alias("total_volume"), ratio(F.sum("Quantity"), F.sum("shipments")).alias("average_size"), F.sum("rows").alias("donations"))
+    v = "Inventory_Level"
+    levels = level.agg(F.avg(v).alias("average_level"), F.max(v).alias("peak_level"), F.min(v).alias("minimum_level"), ratio(F.stddev(v), F.avg(v), 0.0).alias("variation"))
+    shown = attach(levels, gifts)
+
+    parts = [
+        row(advice, "recommendation", F.concat_ws("|", "priority", "title"), F.lit(1.0)),
+        row(risks, "risk_alert", F.concat_ws("|", "severity", "type"), F.col("value")),
+        row(per, "reorder_point", F.col("Category"), F.bround(P.LEAD_DAYS * mean + 1.5 * spread, 0)),
+        row(stock, "safety_stock", F.concat_ws("|", *keys, "model", "service_level"), F.col("safety_stock")),
+        row(turn, "turnover", F.col("label"), F.col("turnover")),
+        row(category, "category", F.concat_ws("|", "Category", "metric"), F.col("value")),
+        row(brands, "category_brand", F.concat_ws("|", "Category", "Brand"), F.col("n")),
+        row(long_form(shown, [], shown.columns, "metric"), "performance", F.col("metric"), F.col("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("value").isNotNull())
+
+
 def filtered_insights(inventory: DataFrame, flows: DataFrame, warehouses=None, categories=None, **more) -> DataFrame:
     """Insights on the flows of chosen warehouses and categories."""
     return insight_run(inventory, selected(flows, Warehouse=warehouses, Category=categories), **more)

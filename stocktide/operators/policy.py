@@ -88,6 +88,14 @@ def daily_cube(flows: DataFrame) -> DataFrame:
         F.sum(q).alias("Quantity"), (F.var_pop(q) * F.count(q)).alias("squares"), F.count(q).alias("shipments"), F.count(F.lit(1)).alias("rows"))
 
 
+def dimension_cube(flows: DataFrame, period: str = "period") -> DataFrame:
+    """What the live insights need of the shipments, by flow, period, category, brand and warehouse."""
+    q = F.col("Quantity").cast("double")
+    return flows.groupBy("flow", F.col(period).alias("period"), "Category", "Brand", "Warehouse").agg(
+        F.sum(q).alias("Quantity"), (F.var_pop(q) * F.count(q)).alias("squares"), F.count(q).alias("shipments"), F.count(F.lit(1)).alias("rows"),
+        F.sum("Total_GIK").alias("Total_GIK"), F.count("Total_GIK").alias("valued"))
+
+
 def merged_moments(cells: DataFrame, keys: Sequence[str], n: str = "shipments", total: str = "Quantity", squares: str = "squares") -> DataFrame:
     """total, count and squared deviations (m2) per key from cells that hold their own.
 

@@ -222,7 +222,7 @@ def _(spark, sf):
     """The request for every model, with in-sample rows and the days ahead."""
     train, tune = period_frame(spark, sf, "train"), period_frame(spark, sf, "tune")
     out = None
-    for name in ("prophet", "sarima", "xgboost", "randomforest"):
+    for name in ("prophet", "sarima", "xgboost"):
         found = driver.request(train, tune, K, name, 60, 0.9)["forecasts"]
         out = found if out is None else out.unionByName(found)
     return out

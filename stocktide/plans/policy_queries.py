@@ -197,6 +197,57 @@ def _(spark, sf):
     return L.filtered_insights(materialize(T.inventory(spark, sf), "levels"), flows, ["NATION_1", "NATION_3", "NATION_7"], ["PROMO", "SMALL", "LARGE"], forecasts=simple_forecasts(spark, sf))
 
 
+def _live_sql(out, inn):
+    cat = "\n ".join(f"UNION ALL SELECT 'category', Category || '|{m}', {m} FROM lg2" for m in (
+        "tune_value", "tune_volume", "train_value", "train_volume", "tune_avg", "train_avg", "volume_growth", "value_growth"))
+    per = "\n ".join(f"UNION ALL SELECT 'performance', '{m}', {m} FROM lpf" for m in (
+        "average_level", "peak_level", "minimum_level", "variation", "total_volume", "average_size", "donations"))
+    return f"""{_W}, {_SS}, {_LONG3}, {_BINS}, {_DS},
+lsr AS (SELECT greatest(abs(1 - avg(v) FILTER (period = 'tune') / avg(v) FILTER (period = 'train')), CASE WHEN "column" = 'inventory' THEN abs(1 - stddev(v) FILTER (period = 'tune') / stddev(v) FILTER (period = 'train')) ELSE 0 END) AS r FROM lg WHERE "column" <> 'gik' GROUP BY "column"),
+lcv AS (SELECT stddev(Inventory_Level) / avg(Inventory_Level) AS cv FROM inventory WHERE period = 'tune'),
+lse AS (SELECT CASE WHEN max(js) > 0.5 THEN 'high' WHEN max(js) > 0.2 THEN 'medium' END AS s FROM js),
+lgw AS (SELECT avg(Inventory_Level) FILTER (d <= 30) / avg(Inventory_Level) FILTER (a <= 30) - 1 AS g FROM (SELECT *, row_number() OVER (ORDER BY Date) AS a, row_number() OVER (ORDER BY Date DESC) AS d FROM inventory WHERE period = 'tune')),
+lro AS (SELECT Category, avg(Quantity) AS m, stddev(Quantity) AS s FROM {out} WHERE period = 'tune' GROUP BY 1),
+ltn AS (SELECT (SELECT sum(Quantity) FROM {out} WHERE period = 'tune') * 365.0 / count(*) / avg(Inventory_Level) AS t FROM inventory WHERE period = 'tune'),
+lct AS (SELECT Category, sum(Total_GIK) FILTER (period = 'tune') AS tune_value, avg(Total_GIK) FILTER (period = 'tune') AS tune_avg, count(*) FILTER (period = 'tune') AS tune_volume,
+ sum(Total_GIK) FILTER (period = 'train') AS train_value, avg(Total_GIK) FILTER (period = 'train') AS train_avg, count(*) FILTER (period = 'train') AS train_volume FROM {inn} WHERE period IN ('tune', 'train') GROUP BY 1),
+lg2 AS (SELECT *, (tune_volume - train_volume) * 100.0 / nullif(train_volume, 0) AS volume_growth, (tune_avg - train_avg) * 100.0 / train_avg AS value_growth FROM lct),
+lbr AS (SELECT Category, Brand, count(*) AS n, row_number() OVER (PARTITION BY Category ORDER BY count(*) DESC, Brand) AS r FROM {inn} WHERE period = 'tune' GROUP BY 1, 2),
+lpf AS (SELECT * FROM (SELECT avg(Inventory_Level) AS average_level, max(Inventory_Level) AS peak_level, min(Inventory_Level) AS minimum_level, stddev(Inventory_Level) / avg(Inventory_Level) AS variation FROM inventory WHERE period = 'tune'),
+ (SELECT sum(Quantity) AS total_volume, avg(Quantity) AS average_size, count(*) AS donations FROM {inn} WHERE period = 'tune')),
+live AS (SELECT 'recommendation' AS section, 'High|Improve Data Quality and Governance' AS subject, CAST(1 AS DOUBLE) AS value FROM (SELECT count(*) AS n FROM dr) WHERE n > 50
+ UNION ALL SELECT 'recommendation', 'High|Adapt Inventory Management for Scale Changes', 1 FROM (SELECT max(r) AS r FROM lsr) WHERE r > 0.3
+ UNION ALL SELECT 'recommendation', 'Medium|Diversify Product Category Portfolio', 1 FROM (SELECT max(n) * 100.0 / sum(n) AS s FROM (SELECT count(*) AS n FROM {inn} WHERE period = 'tune' GROUP BY Category)) WHERE s > 60
+ UNION ALL SELECT 'recommendation', 'Medium|Implement Seasonal Inventory Planning', 1
+ UNION ALL SELECT 'risk_alert', 'high|EXTREME_VALUES', n FROM (SELECT count(*) AS n FROM dr WHERE "column" = 'Total_GIK' AND value > 1e6) WHERE n > 0
+ UNION ALL SELECT 'risk_alert', s || '|DATA_DRIFT', 0 FROM lse WHERE s IS NOT NULL UNION ALL SELECT 'risk_alert', 'medium|INVENTORY_VOLATILITY', cv FROM lcv WHERE cv > 0.3
+ UNION ALL SELECT 'risk_alert', 'medium|CAPACITY', g * 100 FROM lgw WHERE g > 0.5 UNION ALL SELECT 'risk_alert', 'medium|FORECAST_UNCERTAINTY', m FROM (SELECT max(mape) AS m FROM mt) WHERE m > 30
+ UNION ALL SELECT 'reorder_point', Category, round_even(7 * m + 1.5 * s, 0) FROM lro UNION ALL SELECT 'safety_stock', Series || '|' || model || '|' || service_level, safety_stock FROM ss
+ UNION ALL SELECT 'turnover', {label_sql('t')}, t FROM ltn
+ {cat}
+ UNION ALL SELECT 'category_brand', Category || '|' || Brand, n FROM lbr WHERE r <= 3
+ {per})"""
+
+
+def live(spark, sf, **choice):
+    stock, flows = materialize(T.inventory(spark, sf), "levels"), T.flow_datasets(spark, sf, ["period", "Row_Id", "Date", "Quantity", "Total_GIK", "Category", "Brand", "Warehouse"])
+    forecasts = materialize(simple_forecasts(spark, sf), "forecasts")
+    found = O.detect(stock, flows, trees=False)
+    return L.live_run(stock, flows, found, forecasts.select("model").distinct(), E.accuracy(tune_levels(spark, sf), forecasts, K), K, **choice)
+
+
+@query("in12_live_run", "section:s subject:s value:d", f"""{_live_sql('outflows', 'inflows')}
+FINAL SELECT * FROM live WHERE value IS NOT NULL""", places=3)
+def _(spark, sf):
+    return live(spark, sf)
+
+
+@query("in18_filtered_live_run", "section:s subject:s value:d", _live_sql("lfo", "lfi").replace("WITH ", """WITH lff AS (SELECT * FROM flows WHERE Warehouse IN ('NATION_1', 'NATION_3', 'NATION_7') AND Category IN ('PROMO', 'SMALL', 'LARGE')),
+lfo AS (SELECT * FROM lff WHERE flow = 'outflows'), lfi AS (SELECT * FROM lff WHERE flow = 'inflows'), """, 1) + "\nFINAL SELECT * FROM live WHERE value IS NOT NULL", places=3)
+def _(spark, sf):
+    return live(spark, sf, warehouses=["NATION_1", "NATION_3", "NATION_7"], categories=["PROMO", "SMALL", "LARGE"])
+
+
 # Narrow bands, so that the flat forecasts of these tables raise alerts.
 _BANDS = {"low": 1.0, "critical": 0.85, "high": 1.05}
 _ALERT = f"""bl AS (SELECT Series, avg(Inventory_Level) AS av FROM stock WHERE period IN ('train', 'tune') GROUP BY 1),
