@@ -132,14 +132,10 @@ def score_bands(anomalies: DataFrame) -> DataFrame:
 
 def isolated(rows: DataFrame) -> DataFrame:
     """dataset, column and row of the tenth that trees of its own isolate most in each dataset and column."""
-    from stocktide.models.isolation import isolation_outliers
+    from stocktide.models.isolation import isolation_by_key
 
     keys = ["dataset", "column"]
-    result = rows.select(*keys, "row").limit(0)
-    for dataset, column in sorted(rows.select(*keys).distinct().collect()):  # names the library writes
-        part = rows.where((F.col("dataset") == dataset) & (F.col("column") == column))
-        result = result.unionByName(isolation_outliers(part, "row", ["value"]).select(*keys, "row"))
-    return result
+    return isolation_by_key(rows, keys, "row", "value").select(*keys, "row")
 
 
 def flagged_datasets(stock: DataFrame, flows: DataFrame, sample="period", first="train", second="tune", trees: bool = True) -> DataFrame:

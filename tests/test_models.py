@@ -1,6 +1,7 @@
 """Models beside each other: trees in one step a day, fitted hybrids, adaptation of every model, importances."""
 
 import datetime as dt
+import functools
 import math
 
 import numpy as np
@@ -70,7 +71,12 @@ def test_short_series_have_days_without_a_forecast(halves, frame):
     assert [r.yhat for r in got if r.k == "new"] == [None] * 4 and all(r.yhat is not None for r in got if r.k != "new")
 
 
-def test_every_model_has_in_sample_rows_and_scores(halves):
+@pytest.fixture
+def small_trees(monkeypatch):
+    monkeypatch.setattr(trees, "fit_boosted", functools.partial(trees.fit_boosted, trees=6, depth=3))
+
+
+def test_every_model_has_in_sample_rows_and_scores(halves, small_trees):
     train, _ = halves
     for name in ("Prophet", "SARIMA", "XGBoost", "RandomForest", "Hybrid"):
         out = driver.run(train, train, ["k"], name, 5)
@@ -80,7 +86,7 @@ def test_every_model_has_in_sample_rows_and_scores(halves):
 
 
 @pytest.mark.parametrize("model", ["Prophet", "SARIMA", "XGBoost", "RandomForest", "Hybrid"])
-def test_every_model_adapts(halves, model):
+def test_every_model_adapts(halves, model, small_trees):
     train, test = halves
     out = driver.adaptive(train, test.withColumn("y", F.col("y") * F.when(F.col("k") == "s0", 2.0).otherwise(1.3)), ["k"], model, 10)
     scores = {(r.k, r.stage): r for r in out["metrics"].collect()}

@@ -210,3 +210,24 @@ def test_detection_runs_three_methods(spark):
     assert 0.08 * total <= levels <= 0.1 * total + 1
     run = found["od11_detection_run_three_methods"](spark, sf).where("section = 'outliers'").collect()
     assert sum(r.value for r in run) == len(rows)
+
+
+def test_forests_of_many_groups_flag_what_each_flags_alone(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, f"{k}{i}", float(v)) for k in "abc" for i, v in enumerate(np.concatenate([rng.normal(size=600).round(2), [30.0, -25.0]]))]
+    rows += [("few", f"f{i}", float(i)) for i in range(9)] + [("gap", "g", None)]
+    df = spark.createDataFrame(rows, "k string, id string, v double")
+    got = {(r.k, r.id) for r in I.isolation_by_key(df, ["k"], "id", "v", trees=20).collect()}
+    want = {(k, r.id) for k in "abc" for r in I.isolation_outliers(df.where(F.col("k") == k), "id", ["v"], trees=20).collect()}
+    assert {("a", "a600"), ("a", "a601")} <= got and not any(k in ("few", "gap") for k, _ in got)
+    assert len(got ^ want) <= 0.02 * len(want)  # scores that tie with the cut may differ in the last digit
+
+
+def test_steps_of_a_forest_are_its_path_lengths():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 1)).round(1)
+    forest = [I.grow(x[rng.choice(200, 64)], np.random.default_rng(k), 6) for k in range(15)]
+    cuts, lengths = I.steps_of(forest)
+    at = np.concatenate([x[:, 0], cuts, [-99.0, 99.0]])
+    want = np.mean([I.path_lengths(t, at[:, None]) for t in forest], axis=0)
+    assert np.allclose(lengths[np.searchsorted(cuts, at, side="right")], want)
