@@ -29,6 +29,7 @@ from .common import arrow_schema, identified, map_batches, per_process, read
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF = 16_384  # code points of a leaf
+KNOWN = 150_000  # pieces that a worker remembers in each of two generations
 
 
 class Encoder:
@@ -45,7 +46,7 @@ class Encoder:
         library = tiktoken.Encoding("file", pat_str=bpe.PATTERN, mergeable_ranks=plain, special_tokens={})
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
         special = self.vocab.special
-        self._known = bpe.Memory(lambda p: np.array([special[p]] if p in special else library.encode_ordinary(p), dtype="<u4").tobytes())
+        self._known = bpe.Memory(lambda p: np.array([special[p]] if p in special else library.encode_ordinary(p), dtype="<u4").tobytes(), KNOWN)
         self._decimal = [str(i) for i in range(len(self.vocab.bytes))]
 
     @classmethod
