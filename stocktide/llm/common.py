@@ -43,6 +43,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "doc_id", "text")
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, with all their columns, whose key (see `keyed`) is not in `gone` (id, th).
+
+    The columns of the user travel in one of their own, so none of their names can clash.
+    """
+    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"),
+                        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return whole.join(gone, ["id", "th"], "left_anti").select("row.*")
+
+
 def slices(batch: pa.RecordBatch, rows: int = 1000):
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stocktide.session import materialize
 
-from .common import arrow_schema, keyed, map_batches, read
+from .common import arrow_schema, keyed, map_batches, read, without
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -170,6 +170,23 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     return prints.join(by_print, "fp").select("doc_id", "id", "th", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, of the document with the smallest id (then text hash) of each component.
+
+    Rows that share id and text are one document and stay or go together.
+    """
+    prints = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    spot = F.struct("id", "th")
+    ends = prints.groupBy("fp").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
+    roots = components(near_links(ends.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = ends.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # One row for each fingerprint, so groups of exact copies are small here.
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"), F.max("last").alias("tail")).where("head != tail").select("root", "head")
+    named = rooted.join(heads, "root").select("fp", "head")
+    gone = prints.select("fp", "id", "th").join(named, "fp").where(spot != F.col("head")).select("id", "th").distinct()
+    return without(docs, gone, id_col, text_col)
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
