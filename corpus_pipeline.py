@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktide.llm import decontaminate, encode, language, near, sentences
+from stocktide.llm import decontaminate, encode, language, sentences, simhash
 from stocktide.llm.common import read
 from stocktide.session import materialize
 
@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return near.keep_first(docs)
+    """Keeps the document with the smallest id of each SimHash component (four-word shingles, at most 4 differing bits)."""
+    return simhash.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
