@@ -13,7 +13,7 @@ pytest.importorskip("stocktide.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from stocktide.llm import decontaminate, dom, encode, language, near, sentences, sequences  # noqa: E402
+from stocktide.llm import decontaminate, dom, encode, language, sentences, sequences, simhash  # noqa: E402
 from stocktide.llm.common import keyed  # noqa: E402
 from stocktide.session import work_path  # noqa: E402
 
@@ -71,7 +71,7 @@ def test_stages_keep_columns_of_any_name(spark):
         docs = stage(spark, docs, SF)
         first = docs.first()
         assert (first["_id"], first["_th"], first["_starts"], first["_ends"], first["_gone_id"], first["_gone_th"], first["cls"]) == ("a", 1.5, None, [1], "g", True, 6)
-    assert near.keep_first(docs).columns == sentences.drop_repeats(docs).columns == docs.columns
+    assert simhash.keep_first(docs).columns == sentences.drop_repeats(docs).columns == docs.columns
 
 
 def test_language_stage_drops_what_has_no_learned_language(spark):

@@ -14,7 +14,7 @@ pytest.importorskip("stocktide.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from stocktide.llm import bpe, decontaminate, dom, encode, imatch, language, near, repeats, sentences, sequences, simhash, token_count  # noqa: E402
+from stocktide.llm import bpe, decontaminate, dom, encode, imatch, language, repeats, sentences, sequences, simhash, token_count  # noqa: E402
 from stocktide.llm.common import keyed  # noqa: E402
 from stocktide.llm.suffixes import RunIndex  # noqa: E402
 from stocktide.session import work_path  # noqa: E402
@@ -308,36 +308,7 @@ def test_empty_tables(docs, spark):
     assert encode.encode_digest(none).count() == token_count.token_counts(none).count() == 0
     assert simhash.near_duplicates(none).count() == repeats.remove_repeats(none).count() == sentences.remove_repeats(none).count() == 0
     assert imatch.compare_edits(none, imatch.lexicon(none)).count() == 0
-    assert near.keep_first(none).count() == 0 and near.keep_first(none).columns == none.columns
-
-
-def _shingles(text):
-    words = (text or "").lower().split()
-    n = min(5, len(words))
-    return frozenset(tuple(words[i:i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
-
-
-@pytest.mark.parametrize("block", [1000, 3])
-def test_near_groups_keep_one(spark, docs, block, monkeypatch):
-    monkeypatch.setattr(near.similar_links, "__defaults__", (block,))
-    words = [f"w{i}" for i in range(400)]
-    edits = [" ".join(["new"] * k + words[k:]) for k in (0, 10, 20)] + [" ".join(words[:200] + [f"x{i}" for i in range(200)])]
-    planted = spark.createDataFrame([(100000 + i, t) for i, t in enumerate(edits)], "doc_id long, text string")
-    whole = docs.select("doc_id", "text").union(planted)
-    sets = {r.doc_id: _shingles(r.text) for r in whole.collect()}
-    kept = {r.doc_id for r in near.keep_first(whole).collect()}
-    likeness = lambda a, b: len(a & b) / max(1, len(a | b)) if a or b else 1.0
-    best = {i: max(likeness(sets[i], sets[j]) for j in sets if j != i) for i in sets}
-    assert {100000, 100003} <= kept and not {100001, 100002} & kept
-    for i in kept:  # nothing kept twice, save pairs within the error of the estimate
-        assert all(likeness(sets[i], sets[j]) < 0.86 for j in kept if j < i)
-    assert all(best[i] > 0.68 for i in sets if i not in kept)
-
-
-def test_near_groups_of_odd_rows(odd):
-    left = near.keep_first(odd)
-    assert left.columns == odd.columns
-    assert rows(left.select("doc_id", "text")) == collections.Counter([(1, None), *((i, t) for i, t in ODD if i in (3, 4, 5, 6)), (None, "x y z")])
+    assert simhash.keep_first(none).count() == 0 and simhash.keep_first(none).columns == none.columns
 
 
 def test_training_takes_a_text_once(spark):
