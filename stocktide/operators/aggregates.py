@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import attach, has, known, over, ratio, with_totals
-from .ranks import counted, cumulative, moments_of, quantiles, quantiles_of, shape_columns, value_counts
+from .ranks import counted, cumulative, moments_of, quantiles_of, shape_columns, value_counts
 
 PERCENTILES = {"p5": 0.05, "p10": 0.10, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -65,9 +65,10 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     return attach(base, quantiles_of(counts, value, PERCENTILES, keys), keys).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def label_counts(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Occurrences and share of every label."""
-    counts = value_counts(df, label, keys)
+def label_counts(df: DataFrame, label: str, keys: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """Occurrences and share of every label; `rows` weighs rows that stand for several."""
+    group = [*keys, label]
+    counts = known(df, group).groupBy(*group).agg(F.sum(rows).alias("n")) if rows else value_counts(df, label, keys)
     return with_totals(counts, keys, _all=F.sum("n")).withColumn("share", ratio("n", "_all")).drop("_all")
 
 
@@ -81,24 +82,27 @@ def top_labels(counts: DataFrame, label: str, k: int, keys: Sequence[str] = ())
 
 def value_by(df: DataFrame, dim: str, value: str = "Total_GIK") -> DataFrame:
     """Mean, median and total of a value per label."""
-    df = known(df, [dim, value])
-    base = df.groupBy(dim).agg(F.avg(value).alias("mean"), F.sum(value).alias("total"), F.count(value).alias("n"))
-    return attach(base, quantiles(df, value, {"median": 0.5}, [dim]), [dim])
+    counts = counted(df, value, [dim])
+    total, n = F.sum(F.col(value).cast("double") * F.col("n")), F.sum("n")
+    base = counts.groupBy(dim).agg((total / n).alias("mean"), total.alias("total"), n.alias("n"))
+    return attach(base, quantiles_of(counts, value, {"median": 0.5}, [dim]), [dim])
 
 
-def flow_performance(flows: DataFrame, dim: str) -> DataFrame:
+def flow_performance(flows: DataFrame, dim: str, shipments: str | None = None) -> DataFrame:
     """Per label: quantity and value of both flows and the net flow.
 
-    `flows` carries a `flow` tag, so one pass serves both sides.
+    `flows` carries a `flow` tag, so one pass serves both sides; `shipments` is the count behind each row
+    when `flows` are sums.
     """
     cols = []
     for flow, tag in (("inflows", "in"), ("outflows", "out")):
         here = F.col("flow") == flow
         q = F.when(here, F.col("Quantity"))
+        n = F.coalesce(F.sum(F.when(here, F.col(shipments))), F.lit(0)) if shipments else F.count(q)
         cols += [
             F.coalesce(F.sum(q), F.lit(0.0)).alias(f"{tag}_sum"),
-            F.avg(q).alias(f"{tag}_mean"),
-            F.count(q).alias(f"{tag}_count"),
+            (ratio(F.sum(q), n) if shipments else F.avg(q)).alias(f"{tag}_mean"),
+            n.alias(f"{tag}_count"),
         ]
         if has(flows, "Total_GIK"):
             cols.append(F.coalesce(F.sum(F.when(here, F.col("Total_GIK"))), F.lit(0.0)).alias(f"{tag}_value"))

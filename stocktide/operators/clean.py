@@ -175,9 +175,14 @@ def process_periods(inventory: DataFrame, inflows: DataFrame, outflows: DataFram
     if outflows is not None:
         done["outflows"] = cleaned(outflows, "outflows")
     # A day belongs to one period, so features by day are features by period. They
-    # use quantities only, which winsorizing leaves alone, so they skip that step.
-    fin = typed(inflows, "inflows").where(F.col("Date").isNotNull())
-    fout = None if outflows is None else typed(outflows, "outflows").where(F.col("Date").isNotNull())
+    # use quantities only, which winsorizing leaves alone, so they skip that step
+    # and share one written table of daily sums.
+    def daily(df, kind):
+        days = typed(df, kind).where(F.col("Date").isNotNull()).groupBy("Date", *present(df, ["Warehouse", "Category"]))
+        return materialize(days.agg(F.sum("Quantity").alias("Quantity")), "daily")
+
+    fin = daily(inflows, "inflows")
+    fout = None if outflows is None else daily(outflows, "outflows")
     if has(inflows, "Warehouse"):
         done["warehouse_features"] = A.warehouse_features(fin, fout)
     if has(inflows, "Category"):

@@ -177,15 +177,16 @@ def ensemble_weights(metrics: DataFrame, keys: Sequence[str] = (), method: str =
     return out.withColumn("weight", share).drop("_raw", "_n")
 
 
-def ensemble(forecasts: DataFrame, weights: DataFrame, keys: Sequence[str] = (), name="Ensemble") -> DataFrame:
+def ensemble(forecasts: DataFrame, weights: DataFrame, keys: Sequence[str] = (), name="Ensemble", sets: Sequence[str] = ()) -> DataFrame:
     """Weighted sum of the members' forecasts on each date.
 
-    A date some members lack is averaged over the members that have it.
+    A date some members lack is averaged over the members that have it. `sets` are columns of `weights` that
+    tell several sets of weights apart; each gives an ensemble from one pass over the forecasts.
     """
-    rows = forecasts.join(weights.select(*keys, "model", "weight"), [*keys, "model"])
+    rows = forecasts.join(weights.select(*keys, *sets, "model", "weight"), [*keys, "model"])
     total = F.sum("weight")
     mean = lambda c: ratio(F.sum(F.col(c) * F.col("weight")), total).alias(c)
-    out = rows.groupBy(*keys, "ds").agg(mean("yhat"), mean("yhat_lower"), mean("yhat_upper"))
+    out = rows.groupBy(*sets, *keys, "ds").agg(mean("yhat"), mean("yhat_lower"), mean("yhat_upper"))
     return out.withColumn("model", F.lit(name)).where(F.col("yhat").isNotNull())
 
 

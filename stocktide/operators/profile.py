@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktide.session import materialize
+
 from . import aggregates as A
 from . import drift as R
 from . import series as S
@@ -13,20 +15,32 @@ from .frames import long_form
 LABELS = ["Category", "Brand", "Warehouse", "Grade"]
 
 
+def label_cube(flows: DataFrame) -> DataFrame:
+    """Sums and counts of the shipments by flow and every label."""
+    return flows.groupBy("flow", *LABELS).agg(
+        F.sum("Quantity").alias("Quantity"), F.sum("Total_GIK").alias("Total_GIK"),
+        F.count("Quantity").alias("shipments"), F.count(F.lit(1)).alias("rows"))
+
+
 def analyze(inventory: DataFrame, flows: DataFrame, sample="period", first="train", second="tune") -> dict[str, DataFrame]:
-    """One frame per section; `flows` carries flow, the labels, Quantity, Total_GIK."""
-    outflows = flows.where(F.col("flow") == "outflows")
+    """One frame per section; `flows` carries flow, the labels, Quantity, Total_GIK.
+
+    Levels are written once. The flows are read twice: into a written cube of their labels, from which all
+    sums and counts come, and into the value counts behind the medians.
+    """
+    inventory, cube = materialize(inventory, "levels"), materialize(label_cube(flows), "labels")
+    outflows = cube.where(F.col("flow") == "outflows")
     trends, turnover = S.level_trends(inventory), A.turnover(inventory, outflows, "span")
-    labels = flows.select("flow", *LABELS).unpivot(["flow"], LABELS, "dimension", "label")
+    labels = cube.select("flow", "rows", *LABELS).unpivot(["flow", "rows"], LABELS, "dimension", "label")
     return {
         "trends": trends,
         "turnover": turnover,
-        "balance": A.flow_balance(flows),
-        "labels": A.label_counts(labels, "label", ["flow", "dimension"]),
+        "balance": A.flow_balance(cube),
+        "labels": A.label_counts(labels, "label", ["flow", "dimension"], rows="rows"),
         "values": A.value_by(flows, "Category"),
         "patterns": A.level_patterns(inventory),
-        "categories": A.flow_performance(flows, "Category"),
-        "warehouses": A.flow_performance(flows, "Warehouse"),
+        "categories": A.flow_performance(cube, "Category", shipments="shipments"),
+        "warehouses": A.flow_performance(cube, "Warehouse", shipments="shipments"),
         "change": R.period_comparison(inventory, "Inventory_Level", sample, first, second),
         "key_metrics": A.key_metrics(trends, turnover),
     }

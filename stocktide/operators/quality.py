@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,17 +146,17 @@ def assessment(df: DataFrame, numeric: Sequence[str] | None = None) -> DataFrame
     prof = column_profile(df)
     share = F.try_divide(F.col("missing") * 100.0, F.col("rows").cast("double"))
     row = lambda metric, subject, value: [F.lit(metric).alias("metric"), subject.alias("subject"), value.cast("double").alias("value")]
-    parts = [
-        prof.select(*row("missing", F.col("column"), F.col("missing"))),
-        prof.select(*row("missing_pct", F.col("column"), share)),
-        prof.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(*row("columns_of_type", F.col("type"), F.col("n"))),
-    ]
+    several = lambda df, *rows: df.select(F.inline(F.array(*[F.struct(*r) for r in rows])))
+    types = Counter(t for _, t in df.dtypes)
     dup = duplicate_rows(df)
-    parts.append(dup.select(*row("duplicates", F.lit("rows"), F.col("duplicates"))))
-    parts.append(dup.select(*row("duplicates_pct", F.lit("rows"), F.try_divide(F.col("duplicates") * 100.0, F.col("rows").cast("double")))))
     out = outlier_counts(df, numeric or numeric_columns(df))
-    parts.append(out.select(*row("outliers", F.col("column"), F.col("total"))))
-    parts.append(out.select(*row("outliers_pct", F.col("column"), F.col("percentage"))))
+    parts = [
+        several(prof, row("missing", F.col("column"), F.col("missing")), row("missing_pct", F.col("column"), share)),
+        rows_of(spark, [("columns_of_type", t, n) for t, n in types.items()], "metric string, subject string, value double"),
+        several(dup, row("duplicates", F.lit("rows"), F.col("duplicates")),
+                row("duplicates_pct", F.lit("rows"), F.try_divide(F.col("duplicates") * 100.0, F.col("rows").cast("double")))),
+        several(out, row("outliers", F.col("column"), F.col("total")), row("outliers_pct", F.col("column"), F.col("percentage"))),
+    ]
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stocktide.session import materialize
+
 from .frames import attach, known, over, ratio
 
 
@@ -43,7 +45,16 @@ def spine(df: DataFrame, keys: Sequence[str], date: str, step: str = "1 day") ->
 
 
 def on_calendar(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    return spine(df, keys, date).join(df, [*keys, date], "left")
+    """Every day between first and last date of each key, with the row of that day where there is one.
+
+    Each row brings the empty days up to its successor, so the series is read once and joined with nothing.
+    """
+    rest = [c for c in df.columns if c not in keys and c != date]
+    upto = F.greatest(F.col(date), F.date_sub(F.lead(date).over(over(keys, date)), 1))
+    held = known(df, [date]).withColumn("_days", F.sequence(F.col(date), upto, F.expr("interval 1 day")))
+    days = held.select(*df.columns, F.posexplode("_days").alias("_at", "_day"))
+    own = [F.when(F.col("_at") == 0, F.col(c)).alias(c) for c in rest]
+    return days.select(*keys, F.col("_day").alias(date), *own)
 
 
 def fill(df: DataFrame, keys, date: str, columns: Sequence[str], forward=True, backward=True) -> DataFrame:
@@ -85,6 +96,26 @@ def fill_gaps(df: DataFrame, keys, date: str, columns: Sequence[str], method: st
     return fill(full, keys, date, columns, forward=method == "ffill", backward=method == "bfill")
 
 
+def fill_methods(df: DataFrame, keys, date: str, columns: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """`fill_gaps` by several methods on one calendar, told apart by `method`."""
+    full = on_calendar(df, keys, date)
+    before, after = _so_far(keys, date), _from_here(keys, date)
+    carried = {"ffill": before, "bfill": after}
+    line = full
+    if "interpolate" in methods:
+        for c in columns:
+            line = interpolate(line.withColumn(f"_raw_{c}", F.col(c)), keys, date, c).withColumnsRenamed({c: f"_line_{c}", f"_raw_{c}": c})
+
+    def value(method, c):
+        if method in carried:
+            return F.last(c, ignorenulls=True).over(carried[method])
+        return F.coalesce(c, F.lit(0.0)) if method == "zero" else F.col(f"_line_{c}")
+
+    made = {f"_{m}_{c}": value(m, c) for m in methods for c in columns}
+    rows = [F.struct(F.lit(m).alias("method"), *[F.col(f"_{m}_{c}").alias(c) for c in columns]) for m in methods]
+    return line.withColumns(made).select(*keys, date, F.inline(F.array(*rows)))
+
+
 def model_frame(df: DataFrame, keys=(), date="Date", value="Inventory_Level", order=None, backfill=True) -> DataFrame:
     """Columns keys, ds, y on a complete calendar."""
     base = df.select(*keys, F.col(date).alias("ds"), F.col(value).cast("double").alias("y"), *(order or []))
@@ -204,6 +235,27 @@ def resample(df: DataFrame, grain: str, date: str = "Date", columns: dict[str, s
     return full.select(*keys, label.alias(date), *columns)
 
 
+def resample_all(df: DataFrame, grains: Sequence[str] = "DWM", date: str = "Date", columns: dict[str, str] | None = None, keys=()) -> DataFrame:
+    """`resample` to several grains, told apart by `grain`; the rows are read once.
+
+    Days are summed and counted into a written table, and every grain is merged from those sums.
+    """
+    columns = columns or {"Quantity": "sum"}
+    sums = {c: F.sum(c).alias(c) for c in columns}
+    counts = [F.count(c).alias(f"_n_{c}") for c in columns]
+    states = df.groupBy(*keys, F.to_date(date).alias(date)).agg(*sums.values(), *counts)
+    states = materialize(states, "days")
+    out = None
+    for g in grains:
+        means = {c: f"_n_{c}" for c, f in columns.items() if f != "sum"}
+        part = resample(states, g, date, {c: "sum" for c in states.columns if c not in keys and c != date}, keys)
+        # An empty bucket has no mean: its count is zero.
+        part = part.withColumns({c: ratio(c, n) for c, n in means.items()})
+        part = part.select(F.lit(g).alias("grain"), *keys, date, *columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def indexed(df: DataFrame, keys, date: str, name="_i") -> DataFrame:
     return df.withColumn(name, (F.row_number().over(over(keys, date)) - 1).cast("double"))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stocktide.operators import evaluate as E
+from stocktide.session import materialize
 
 from .forecast_queries import FORECAST_SQL, K, period_frame, simple_forecasts, tune_levels
 from .registry import query
@@ -119,9 +120,10 @@ w3 AS (SELECT 'weighted' AS method, Series, model, weight FROM wt UNION ALL SELE
  UNION ALL SELECT 'best', Series, model, CAST(row_number() OVER (PARTITION BY Series ORDER BY weight DESC, model) = 1 AS INTEGER) FROM wt)
 FINAL SELECT method, Series, ds, sum(yhat * weight) AS yhat, sum(yhat_lower * weight) AS yhat_lower, sum(yhat_upper * weight) AS yhat_upper FROM fc JOIN w3 USING (Series, model) GROUP BY 1, 2, 3""", places=3)
 def _(spark, sf):
-    fc, m = simple_forecasts(spark, sf), scored(spark, sf)
-    parts = [E.ensemble(fc, E.ensemble_weights(m, K, how), K).withColumn("method", F.lit(how)) for how in ("weighted", "average", "best")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    fc = materialize(simple_forecasts(spark, sf), "forecasts")
+    m = materialize(E.accuracy(tune_levels(spark, sf), fc, K), "metrics")
+    weights = [E.ensemble_weights(m, K, how).withColumn("method", F.lit(how)) for how in ("weighted", "average", "best")]
+    return E.ensemble(fc, weights[0].unionByName(weights[1]).unionByName(weights[2]), K, sets=["method"])
 
 
 @query("ev11_ensemble_weights", "Series:s model:s weight:d", f"{_W}, {_WT}\nFINAL SELECT * FROM wt", places=8)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stocktide.models import simple as M
 from stocktide.operators import aggregates as A
 from stocktide.operators import series as S
+from stocktide.session import materialize
 from stocktide.sources import tables as T
 
 from .registry import query
@@ -29,8 +30,8 @@ def with_horizon(frame):
 
 
 def simple_forecasts(spark, sf):
-    """Two closed-form models fitted on the train period of each series."""
-    frame = with_horizon(period_frame(spark, sf, "train"))
+    """Two closed-form models fitted on the train period of each series, which is written once."""
+    frame = with_horizon(materialize(period_frame(spark, sf, "train"), "frame"))
     h = F.col("horizon")
     return M.naive_drift(frame, K, h).unionByName(M.mean_trend(frame, K, h))
 

@@ -140,7 +140,8 @@ def _(spark, sf):
 
 def operational_risks(spark, sf, trees):
     found = O.detect(*measured(spark, sf), trees=trees)
-    return L.operational_risks(found["outliers"], found["summary"], T.inventory(spark, sf).where("period = 'tune'"), scored(spark, sf))
+    level = materialize(T.inventory(spark, sf).where("period = 'tune'"), "levels")
+    return L.operational_risks(found["outliers"], found["summary"], level, scored(spark, sf))
 
 
 @query("in10_operational_risks_three_methods", "type:s severity:s value:d reference:d")

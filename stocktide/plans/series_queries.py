@@ -53,8 +53,7 @@ UNION ALL SELECT 'zero', Series, Date, coalesce(Inventory_Level, 0) FROM grid
 UNION ALL SELECT 'interpolate', Series, Date, Inventory_Level FROM line""")
 def _(spark, sf):
     base = stock(spark, sf).select("Series", "Date", V)
-    done = [S.fill_gaps(base, K, D, [V], m).withColumn("method", F.lit(m)) for m in ("ffill", "bfill", "zero", "interpolate")]
-    return done[0].unionByName(done[1]).unionByName(done[2]).unionByName(done[3])
+    return S.fill_methods(base, K, D, [V], ("ffill", "bfill", "zero", "interpolate"))
 
 
 @query("ts04_interpolate_by_time", "Date:s seq:l Inventory_Level:d", f"""
@@ -171,8 +170,7 @@ def _resample_sql(name, bucket, step, label):
 def _(spark, sf):
     out = T.outflows(spark, sf, ["Warehouse", "Date", "Quantity", "Total_GIK"])
     how = {"Quantity": "sum", "Total_GIK": "sum"}
-    parts = [S.resample(out, g, columns=how, keys=["Warehouse"]).withColumn("grain", F.lit(g)) for g in "DWM"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return S.resample_all(out, "DWM", columns=how, keys=["Warehouse"])
 
 
 _IDX = "idx AS (SELECT *, CAST(row_number() OVER (PARTITION BY Series ORDER BY Date) - 1 AS DOUBLE) AS i FROM stock)"

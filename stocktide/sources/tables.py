@@ -17,6 +17,7 @@ _FROM_PART = {
     "Size": "p_size", "GIK_Per_Unit": "p_retailprice", "EI_Per_Unit": "p_retailprice",
 }
 _FROM_CUSTOMER = {"Partner": "c_name", "Program": "c_mktsegment"}
+_FROM_ORDER = {"Date", "period", "Shipment_Type", *_FROM_CUSTOMER}
 INFLOW_COLUMNS = [
     "Row_Id", "Date", "Vendor", "Quantity", "Product_Type", "Category", "Brand",
     "Grade", "Size", "Warehouse", "GIK_Per_Unit", "Total_GIK", "period",
@@ -81,7 +82,7 @@ def _flows(spark, sf_dir, status, date_col, columns):
         df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     if "Warehouse" in wanted:
         df = df.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    if date_col == "o_orderdate":
+    if date_col == "o_orderdate" and wanted & _FROM_ORDER:
         df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if wanted & set(_FROM_CUSTOMER):
         df = df.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
