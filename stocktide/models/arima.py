@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocktide.operators.frames import attach
+
 from .additive import normal_quantile
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,6 +134,28 @@ def predict(y: np.ndarray, order, seasonal, periods: int, level: float):
     return fitted, mid, mid - half, mid + half, float(aic)
 
 
+# A seasonal part needs more days than SEASONS seasons and SPARE_DAYS; any order needs its own terms and LEAST_DAYS.
+SEASONS, SPARE_DAYS, LEAST_DAYS = 4, 10, 5
+
+
+def used_orders(frame: DataFrame, keys: Sequence[str], order=ORDER, seasonal=SEASONAL, orders: DataFrame | None = None) -> DataFrame:
+    """The order that `forecast` fits for each key, with the reason where it is less than the one asked for.
+
+    Columns keys, days, p, d, q, sp, sd, sq, season, reason: `too short for the season`, `too short for the order`
+    (then neither is fitted) or missing. A key without a known level has zero days.
+    """
+    days = frame.groupBy(*keys).agg(F.count("y").alias("days"))
+    wanted = list(zip(("p", "d", "q"), order))
+    days = attach(days, orders.select(*keys, "p", "d", "q"), keys) if orders is not None else days.withColumns({c: F.lit(v) for c, v in wanted})
+    short = F.col("days") < F.col("p") + F.col("d") + F.col("q") + LEAST_DAYS
+    brief = (F.col("days") <= SEASONS * max(seasonal[3], 1) + SPARE_DAYS) & F.lit(any(seasonal))
+    reason = F.when(short, "too short for the order").when(brief, "too short for the season")
+    part = lambda c, off: F.when(off, 0).otherwise(c)
+    return days.select(
+        *keys, "days", *[part(F.col(c), short).cast("int").alias(c) for c in ("p", "d", "q")],
+        *[part(F.lit(v), brief).cast("int").alias(c) for c, v in zip(("sp", "sd", "sq", "season"), seasonal)], reason.alias("reason"))
+
+
 def _task(key_names, periods, level, name, seasonal, mode):
     """The per-series function: `mode` is forecast, score or history."""
 
@@ -141,8 +165,8 @@ def _task(key_names, periods, level, name, seasonal, mode):
         y, ds = pdf.loc[keep, "y"].to_numpy(dtype=float), pd.to_datetime(pdf.loc[keep, "ds"])
         keys = {k: pdf[k].iloc[0] for k in key_names}
         order = tuple(int(pdf[c].iloc[0]) for c in ("p", "d", "q"))
-        season = seasonal if len(y) > 4 * max(seasonal[3], 1) + 10 else (0, 0, 0, 0)
-        if len(y) < sum(order) + 5:
+        season = seasonal if len(y) > SEASONS * max(seasonal[3], 1) + SPARE_DAYS else (0, 0, 0, 0)
+        if len(y) < sum(order) + LEAST_DAYS:
             order = (0, 0, 0)
         size = float(np.std(y)) or 1.0
         fitted, mid, low, high, aic = predict(y / size, order, season, periods, level)

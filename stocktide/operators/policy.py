@@ -205,6 +205,52 @@ def project(forecasts: DataFrame, scenarios: DataFrame, keys: Sequence[str] = ()
     return folded.select(*ids, F.inline("_r"))
 
 
+def stock_cover(forecasts: DataFrame, scenarios: DataFrame, keys: Sequence[str] = (), demand_share: float = 0.01) -> DataFrame:
+    """When the stock runs out under each scenario, and whether one order in time prevents it.
+
+    Demand is added up along each series by a window and held against the scenario's levels, so no day
+    depends on a decision of the day before. reorder_date, safety_date and stock_out_date are the first days
+    whose level is at the reorder point, below the safety stock, at zero; missing where that never happens.
+    arrival_date is lead_time_days after reorder_date; what depends on it is missing where it lies beyond the
+    last forecast day. `late` tells that the stock runs out before the order arrives. Days without a
+    forecast take no demand; repeated days add up.
+    """
+    ids = [*keys, "scenario"]
+    known_days = known(forecasts, [*keys, "ds", "yhat"])
+    daily = known_days.groupBy(*keys, "ds").agg(F.sum(F.abs("yhat") * demand_share).alias("_d"), F.max("yhat").alias("_y"))
+    so_far = over(keys, "ds")
+    daily = daily.withColumn("_used", F.sum("_d").over(so_far)).withColumn("_first", F.first("_y").over(so_far))
+    policies = scenarios.agg(F.collect_list(F.struct(*scenarios.columns)).alias("_s"))
+    rows = attach(daily, policies).select(*keys, "ds", "_d", "_used", "_first", F.inline("_s"))
+    start = F.coalesce("initial_inventory", "_first")
+    rows = rows.withColumn("_start", start).withColumn("_level", start - F.col("_used"))
+    reorder = F.min(F.when(F.col("_level") <= F.col("reorder_point"), F.col("ds"))).over(over(ids))
+    rows = rows.withColumn("_reorder", reorder).withColumn("_arrival", F.date_add("_reorder", F.col("lead_time_days")))
+    first = lambda cond: F.min(F.when(cond, F.col("ds")))
+    until = F.col("ds") <= F.col("_arrival")
+    out = rows.groupBy(*ids).agg(
+        F.max("_start").alias("start_level"), F.min("_reorder").alias("reorder_date"),
+        first(F.col("_level") < F.col("safety_stock")).alias("safety_date"), first(F.col("_level") <= 0).alias("stock_out_date"),
+        F.min("_arrival").alias("arrival_date"), F.max("ds").alias("_end"), F.min("ds").alias("_begin"), F.max("safety_stock").alias("_safe"),
+        F.sum(F.when(until & (F.col("ds") > F.col("_reorder")), F.col("_d"))).alias("_lead"),
+        F.min(F.when(until, F.col("_level"))).alias("_left"))
+    inside = F.col("arrival_date") <= F.col("_end")
+    return out.select(
+        *ids, "start_level", "reorder_date", "safety_date", "stock_out_date", "arrival_date",
+        F.datediff("stock_out_date", "_begin").alias("cover_days"),
+        F.when(inside, F.col("_lead")).alias("lead_demand"), F.when(inside, F.col("_left")).alias("level_before_arrival"),
+        F.when(inside, F.greatest(F.lit(0.0), F.col("_safe") - F.col("_left"))).alias("short_of_safety"),
+        F.coalesce(F.col("stock_out_date") <= F.col("arrival_date"), F.lit(False)).alias("late"))
+
+
+def compare_cover(cover: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Scenarios by safety: those whose order comes in time first, then the latest stock-out (none at all is
+    the latest), then the smallest shortfall."""
+    never = F.col("stock_out_date").isNull().cast("int")
+    order = [F.asc("late"), F.desc(never), F.desc("cover_days"), F.asc_nulls_last("short_of_safety"), "scenario"]
+    return cover.select(*keys, "scenario", "late", "cover_days", "short_of_safety", F.row_number().over(over(keys, *order)).alias("rank"))
+
+
 def scenario_metrics(projection: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Stockout days, level range, pending days, orders placed and service level."""
     ids = [*keys, "scenario"]

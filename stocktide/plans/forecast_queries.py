@@ -143,6 +143,13 @@ def _(spark, sf):
     return arima.forecast(period_frame(spark, sf, "train"), K, 90)
 
 
+@query("fc03_used_orders", "Series:s days:l p:l d:l q:l sp:l sd:l sq:l season:l reason:s", f"""WITH {FORECAST_SQL}, n AS (SELECT Series, count(y) AS n FROM tf GROUP BY 1)
+FINAL SELECT Series, n AS days, CAST(n >= 8 AS INTEGER) AS p, CAST(n >= 8 AS INTEGER) AS d, CAST(n >= 8 AS INTEGER) AS q, CAST(n > 58 AS INTEGER) AS sp, CAST(n > 58 AS INTEGER) AS sd,
+ CAST(n > 58 AS INTEGER) AS sq, CASE WHEN n > 58 THEN 12 ELSE 0 END AS season, CASE WHEN n < 8 THEN 'too short for the order' WHEN n <= 58 THEN 'too short for the season' END AS reason FROM n""")
+def _(spark, sf):
+    return arima.used_orders(period_frame(spark, sf, "train"), K)
+
+
 @query("fc04_order_search", "Series:s p:l d:l q:l aic:d")
 def _(spark, sf):
     return arima.best_orders(arima.search_orders(period_frame(spark, sf, "train"), K), K)

@@ -319,3 +319,28 @@ FINAL SELECT *, CASE WHEN stockout_days > 10 THEN 'High' WHEN stockout_days > 5
  row_number() OVER (PARTITION BY Series ORDER BY service_level * 0.6 + (100 - stockout_days) * 0.4 DESC, scenario) = 1 AS best_overall FROM sm""", places=3)
 def _(spark, sf):
     return P.compare_scenarios(P.scenario_metrics(projection(spark, sf), K), K)
+
+
+_COVER = """cd AS (SELECT Series, ds, 0.01 * abs(yhat) AS d, sum(0.01 * abs(yhat)) OVER w AS c, first_value(yhat) OVER w AS f FROM fc WHERE model = 'Trend' WINDOW w AS (PARTITION BY Series ORDER BY ds)),
+cl AS (SELECT *, coalesce(ini, f) AS s0, coalesce(ini, f) - c AS lv FROM cd, sn),
+cr AS (SELECT *, min(CASE WHEN lv <= rp THEN ds END) OVER (PARTITION BY Series, scenario) AS rd FROM cl),
+ca AS (SELECT Series, scenario, max(s0) AS start_level, min(rd) AS reorder_date, min(ds) FILTER (lv < ss) AS safety_date, min(ds) FILTER (lv <= 0) AS stock_out_date, min(CAST(rd + lt AS DATE)) AS arrival_date,
+ max(ds) AS e, min(ds) AS b, max(ss) AS ss, sum(d) FILTER (ds > rd AND ds <= rd + lt) AS ld, min(lv) FILTER (ds <= rd + lt) AS lf FROM cr GROUP BY 1, 2),
+cv AS (SELECT Series, scenario, start_level, reorder_date, safety_date, stock_out_date, arrival_date, stock_out_date - b AS cover_days, CASE WHEN arrival_date <= e THEN ld END AS lead_demand,
+ CASE WHEN arrival_date <= e THEN lf END AS level_before_arrival, CASE WHEN arrival_date <= e THEN greatest(0, ss - lf) END AS short_of_safety, coalesce(stock_out_date <= arrival_date, false) AS late FROM ca)"""
+
+
+def cover(spark, sf):
+    return P.stock_cover(simple_forecasts(spark, sf).where("model = 'Trend'"), rows_of(spark, _SCENARIOS, P.SCENARIO), K)
+
+
+@query("in15_stock_cover", "Series:s scenario:s start_level:d reorder_date:s safety_date:s stock_out_date:s arrival_date:s cover_days:l lead_demand:d level_before_arrival:d short_of_safety:d late:b",
+       f"{_W}, {_SC}, {_COVER}\nFINAL SELECT * FROM cv", places=3)
+def _(spark, sf):
+    return cover(spark, sf)
+
+
+@query("in17_cover_comparison", "Series:s scenario:s late:b cover_days:l short_of_safety:d rank:l", f"""{_W}, {_SC}, {_COVER}
+FINAL SELECT Series, scenario, late, cover_days, short_of_safety, row_number() OVER (PARTITION BY Series ORDER BY late, stock_out_date IS NULL DESC, cover_days DESC, short_of_safety ASC NULLS LAST, scenario) AS rank FROM cv""", places=3)
+def _(spark, sf):
+    return P.compare_cover(cover(spark, sf), K)

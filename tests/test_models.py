@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stocktide.models import driver, simple, trees
+from stocktide.models import arima, driver, simple, trees
 from stocktide.operators import policy
 from stocktide.operators import evaluate as E
 from stocktide.operators import series as S
@@ -148,3 +148,15 @@ def test_moments_of_a_cube_keep_small_spreads_of_large_values(frame):
     r = policy.category_spread(policy.daily_cube(df)).first()
     values = np.array([x[4] for x in rows])
     assert r._t == pytest.approx(values.sum()) and r._s == pytest.approx((values - 1e9).std(ddof=1), rel=1e-6)
+
+
+def test_used_orders_name_what_a_short_series_lacks(frame):
+    day = lambda i: dt.date(2023, 1, 1) + dt.timedelta(days=i)
+    rows = [(k, day(i), float(i % 7)) for k, n in (("long", 59), ("brief", 58), ("short", 7)) for i in range(n)]
+    df = frame([*rows, ("none", day(0), None)], "k string, ds date, y double")
+    got = {r["k"]: (r["days"], r["p"], r["season"], r["reason"]) for r in arima.used_orders(df, ["k"]).collect()}
+    assert got == {"long": (59, 1, 12, None), "brief": (58, 1, 0, "too short for the season"),
+                   "short": (7, 0, 0, "too short for the order"), "none": (0, 0, 0, "too short for the order")}
+    # Without a season asked for, none is missing.
+    plain = arima.used_orders(df, ["k"], seasonal=(0, 0, 0, 0)).where("k = 'short' or k = 'brief'").orderBy("k").collect()
+    assert [r["reason"] for r in plain] == [None, "too short for the order"]

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from stocktide.operators import aggregates as A
 from stocktide.operators import combine as J
+from stocktide.operators import policy as P
+from stocktide.operators import profile
 from stocktide.operators import series as S
 
 GAPPY = [
@@ -128,3 +130,74 @@ def test_label_alignment(frame):
     shares = J.two_sample_shares(df, "l", "s", "t", "u")
     assert {(r.l, round(r.p, 4), round(r.q, 4)) for r in shares.collect()} == {("a", 0.6667, 0.5), ("b", 0.3333, 0.0), ("c", 0.0, 0.5)}
     assert {(r.l, r.change) for r in J.label_changes(shares, "l").collect()} == {("c", "new"), ("b", "gone")}
+
+
+def rows_of(df, *order):
+    return [tuple(r) for r in df.orderBy(*order).collect()]
+
+
+def test_calendar_equals_a_join_with_its_spine(frame):
+    rows = [*GAPPY, ("a", "2023-01-02", 11.0), (None, "2023-03-01", 1.0), ("c", None, 4.0), ("d", "2023-01-31", 2.0)]
+    df = series(frame, rows)
+    got = S.on_calendar(df, ["k"], "Date").where("k is not null")
+    want = S.spine(df, ["k"], "Date").join(df, ["k", "Date"], "left").where("k is not null")
+    assert rows_of(got, "k", "Date", "v") == rows_of(want, "k", "Date", "v")
+    # A missing key is a series like any other, and a key without a day has no calendar.
+    assert S.on_calendar(df, ["k"], "Date").where("k is null and v = 1").count() == 1
+    assert got.where("k = 'c'").count() == 0
+    assert S.on_calendar(df.where("k = 'b'").drop("k"), [], "Date").count() == 3
+    assert S.on_calendar(df.limit(0), ["k"], "Date").count() == 0
+
+
+def test_methods_on_one_calendar_equal_each_by_itself(frame):
+    df = series(frame).withColumn("method", F.lit(1)).drop("method").withColumn("w", F.col("v") * 2)
+    methods = ("ffill", "bfill", "zero", "interpolate")
+    got = S.fill_methods(df, ["k"], "Date", ["v", "w"], methods)
+    for m in methods:
+        want = S.fill_gaps(df, ["k"], "Date", ["v", "w"], m).select("k", "Date", "v", "w")
+        assert rows_of(got.where(F.col("method") == m).select("k", "Date", "v", "w"), "k", "Date") == rows_of(want, "k", "Date")
+
+
+def test_grains_from_one_table_of_days_equal_each_by_itself(frame):
+    rows = [("a", f"2023-{m:02d}-{d:02d}", float(m * d) if d % 3 else None, float(d)) for m in (1, 2, 4) for d in (1, 1, 6, 17, 28)]
+    df = frame(rows, "k string, Date date, s double, m double")
+    how = {"s": "sum", "m": "mean"}
+    got = S.resample_all(df, "DWM", columns=how, keys=["k"])
+    for g in "DWM":
+        want = S.resample(df, g, columns=how, keys=["k"]).select("Date", "s", "m")
+        assert rows_of(got.where(F.col("grain") == g).select("Date", "s", "m"), "Date") == rows_of(want, "Date")
+
+
+def test_profile_from_a_cube_equals_the_rows(frame):
+    flows = frame(
+        [("inflows", c, b, "w", "g", q, v) for c, b, q, v in (("x", "p", 1.0, 5.0), ("x", "p", None, 7.0), ("y", None, 4.0, None), (None, "p", 2.0, 9.0))]
+        + [("outflows", "x", "r", "w", None, 3.0, 2.0)],
+        "flow string, Category string, Brand string, Warehouse string, Grade string, Quantity double, Total_GIK double")
+    cube = profile.label_cube(flows)
+    for dim in ("Category", "Warehouse"):
+        assert rows_of(A.flow_performance(cube, dim, shipments="shipments"), dim) == rows_of(A.flow_performance(flows, dim), dim)
+    for label in profile.LABELS:
+        assert rows_of(A.label_counts(cube, label, ["flow"], rows="rows"), "flow", label) == rows_of(A.label_counts(flows, label, ["flow"]), "flow", label)
+    assert rows_of(A.value_by(flows, "Category"), "Category") == [("x", 14 / 3, 14.0, 3, 5.0)]
+
+
+def test_stock_cover_by_hand(frame):
+    days = [("s", "m", f"2023-01-{d:02d}", 100.0) for d in range(1, 11)]
+    forecasts = frame([*days, ("s", "m", None, 5.0), ("none", "m", "2023-01-01", None)], "k string, model string, ds date, yhat double")
+    scenarios = frame([("plenty", 1.0, 1.0, 2, 9.0, None), ("late", 1.0, 2.0, 3, 9.0, 4.0), ("timely", 3.0, 2.5, 2, 9.0, 6.0), ("beyond", 2.0, 1.0, 9, 9.0, 8.0)], P.SCENARIO)
+    out = P.stock_cover(forecasts, scenarios, ["k"])
+    day = lambda n: dt.date(2023, 1, n)
+    got = {r["scenario"]: r.asDict() for r in out.collect()}
+    assert set(got) == {"plenty", "late", "timely", "beyond"}
+    # One unit a day: 100 start where no level is given.
+    assert got["plenty"]["start_level"] == 100 and got["plenty"]["reorder_date"] is None and got["plenty"]["cover_days"] is None
+    late = got["late"]
+    assert (late["reorder_date"], late["stock_out_date"], late["arrival_date"], late["late"]) == (day(3), day(4), day(6), True)
+    assert (late["lead_demand"], late["level_before_arrival"], late["short_of_safety"]) == (3, -2, 4)
+    timely = got["timely"]
+    assert (timely["reorder_date"], timely["safety_date"], timely["arrival_date"], timely["late"]) == (day(3), day(4), day(5), False)
+    assert (timely["short_of_safety"], timely["cover_days"]) == (1.5, 5)
+    # What an arrival beyond the horizon would need is not known.
+    assert got["beyond"]["arrival_date"] == day(15) and got["beyond"]["lead_demand"] is None and got["beyond"]["late"]
+    assert [r["scenario"] for r in P.compare_cover(out, ["k"]).orderBy("rank").collect()] == ["plenty", "timely", "beyond", "late"]
+    assert P.stock_cover(forecasts.limit(0), scenarios, ["k"]).count() == 0
