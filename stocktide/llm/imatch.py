@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +120,17 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in descending order of id, cut into `parts` ranges; each range ends with a guest, the row that follows it.
 
     The row after the last is the first. One shuffle; the driver sees one bound and one row for each range.
+    An id that many rows share (no id at all, say) fills several bounds; its rows are cut by their text hash `th`
+    into as many ranges.
     """
     bounds = docs.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [1.0], 10 * parts).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
     spark = docs.sparkSession
-    ranged = docs.withColumn("range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("id"))) if bounds else F.lit(0))
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("id"))) if bounds else F.lit(0)
+    for b, n in Counter(bounds).items():
+        if n > 1:  # the ranges from the first of equal bounds to the last hold this id alone
+            share = F.col("th").cast("double") / 2.0**64 + 0.5
+            at = F.when(F.col("id") == b, at + F.least(F.floor(share * n), F.lit(n - 1)).cast("int")).otherwise(at)
+    ranged = docs.withColumn("range", at)
     tops = sorted((r["range"], r["top"]["id"], r["top"]["th"]) for r in ranged.groupBy("range").agg(F.max(F.struct("id", "th")).alias("top")).collect())
     if not tops:
         return ranged.withColumn("guest", F.lit(False))

@@ -275,6 +275,22 @@ def test_imatch_edits(docs, odd):
     assert imatch.compare_edits(odd, imatch.lexicon(odd)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_imatch_splits_an_id_that_many_rows_share(spark, hot):
+    """All rows in their order by id and text hash, whatever ranges they fall into."""
+    given = [(i, f"text {i} " * 5) for i in range(100) if i != hot] + [(hot, f"other {i} " * 7) for i in range(900)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    sizes = {r["range"]: r["count"] for r in imatch.in_order(keyed(df, "doc_id", "text"), 8).where("not guest").groupBy("range").count().collect()}
+    assert sum(sizes.values()) == len(given) and max(sizes.values()) < 300
+    ordered = [r.text for r in keyed(df, "doc_id", "text").orderBy(F.desc("id"), F.desc("th")).collect()]
+    want = collections.Counter()
+    for t, after in zip(ordered, ordered[1:] + ordered[:1]):
+        half = len(t) // 2
+        want[hashlib.sha256((t[:len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    got = imatch.compare_edits(df, imatch.lexicon(df), parts=8)
+    assert collections.Counter(r.edited_sha256 for r in got.collect()) == want
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     model = dom.fit(pages)
