@@ -4,13 +4,15 @@ Every window of `length` bytes holds an anchor: a short string whose hash is the
 equal windows hold the same anchor at the same place. Occurrences of an anchor meet in one shuffle of
 small rows: the hash of the anchor and of its surroundings (all windows that hold it). An occurrence
 whose surroundings came before is removed as a whole. What remains are anchors with differing surroundings,
-mostly the rims of repeated passages. Their bytes are fetched and each task builds, for many anchors
+mostly the rims of repeated passages. Their bytes are fetched and every anchor grows: a window reaches half
+of what it can to the left of its anchor, or half to the right, so it holds the anchor with that half, and
+the occurrences of an anchor part by these grown anchors. Each task builds, for many grown anchors
 together, a run-compressed Burrows-Wheeler index with sampled run ends of the earlier occurrences and
 streams the later ones over it; a matching statistic of a whole window marks it. "Earlier" is settled by
-halving: occurrences in odd blocks of 1, 2, 4, ... stream over the block before them. The anchor is one
-symbol of its own, so no match leaves its anchor. An anchor with more differing surroundings than a task
-should hold is split by the place of the windows: those that begin 0-9, 10-19, ... bytes before the anchor
-share more bytes than the anchor, so each range groups by these and is handled as an anchor of its own.
+halving: occurrences in odd blocks of 1, 2, 4, ... stream over the block before them. The grown anchor is one
+symbol of its own, so no match leaves its anchor. One with more occurrences than a task should hold is
+split by the place of the windows: those that begin 0-9, 10-19, ... bytes before it share still more
+bytes, so each range groups by these and is handled as an anchor of its own.
 What is too large even then goes on as single windows, whose first places are aggregated by hash.
 
 Cases: a null text is empty; a text shorter than `length` is kept; rows that repeat id and text are one
@@ -38,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, ANCHOR = 100, 24
 BUNDLE = 8192  # occurrences in one index
-VARIANTS = 4096  # live occurrences of an anchor that one index takes; at most BUNDLE
+VARIANTS = 4096  # occurrences of a grown anchor that one index takes; at most BUNDLE
 RANGE = 10  # window starts that stay together when a large anchor is split
 PIECE = 2 << 20
 
@@ -136,79 +138,100 @@ def _surroundings(rows: DataFrame, wanted: DataFrame, length: int, schema: str,
     return map_batches(joined, make, schema)
 
 
-def bundle_marks(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def bundle_marks(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(occurrence, start relative to its anchor) of windows that an earlier occurrence of the same group has.
 
-    Occurrences of a group stand together, in order; `lefts` and `rights` are the bytes around the anchor.
+    Occurrences of a group stand together, in order; `lefts` and `rights` are the bytes around the anchor,
+    of which a window holds `reach`.
     """
-    n, reach, need = len(groups), length - ANCHOR, length - ANCHOR + 1
+    n = len(groups)
     first = np.nonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))[0]
     sizes = np.diff(np.append(first, n))
-    index, size = np.arange(n) - np.repeat(first, sizes), np.repeat(sizes, sizes)
-    who, where = [], []
-    for level in range(int(max(sizes.max() - 1, 0)).bit_length()):
-        block = index >> level
-        later = (block & 1) == 1
-        earlier = ~later & ((block + 1) << level < size)
-        pair = np.concatenate([[False], (np.diff(np.repeat(first, sizes)) != 0) | (np.diff(block >> 1) != 0)])
-        families = 256 + np.cumsum(pair)  # blocks that meet have one anchor symbol
-        close = 256 + int(families.max())
-        parts = []
-        for i in np.nonzero(earlier)[0]:
-            parts += [np.frombuffer(lefts[i], dtype=np.uint8), [families[i]], np.frombuffer(rights[i], dtype=np.uint8), [close + len(parts)]]
-        text = np.concatenate(parts).astype(np.int64)
-        used = np.zeros(close + len(parts), dtype=bool)
+    group, index = np.repeat(first, sizes), np.arange(n) - np.repeat(first, sizes)
+    # A row for each occurrence: bytes to the left, anchor, bytes to the right, closing symbol; negative: none.
+    flat = b"".join([left.rjust(reach, b"\0") + b"\0" + right.ljust(reach + 1, b"\0") for left, right in zip(lefts, rights)])
+    rows = np.frombuffer(flat, dtype=np.uint8).reshape(n, 2 * reach + 2)
+    starts, places = np.arange(reach + 1), np.arange(2 * reach + 2)
+    low, high = reach - np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
+    open_ = (starts >= low[:, None]) & (starts <= high[:, None])  # windows that no earlier occurrence is known to have
+    marked = np.zeros_like(open_)
+    # The windows of a range share bytes: a number for these and the group.
+    ranges = []
+    for begin in range(0, reach + 1, RANGE):
+        end = min(begin + RANGE, reach + 1)
+        shared = np.hstack([group[:, None].astype(np.int32).view(np.uint8), rows[:, end - 1:begin + reach + 1]])
+        ranges.append((slice(begin, end), np.unique(shared.view(f"V{shared.shape[1]}").ravel(), return_inverse=True)[1]))
+    # Large blocks first: a window that is settled is neither indexed nor streamed again, for whoever has it later meets its first occurrence.
+    for level in reversed(range(int(max(sizes.max() - 1, 0)).bit_length())):
+        odd = (index >> level & 1).astype(bool)
+        family = group + (index >> level + 1 << level + 1)
+        wanted = open_.copy()
+        for columns, number in ranges:  # only what both blocks have can match
+            have = np.nonzero(open_[:, columns].any(axis=1))[0]
+            _, which = np.unique(number[have] * n + family[have], return_inverse=True)
+            sides = np.zeros((2, len(have)), dtype=bool)
+            sides[odd[have].astype(int), which] = True
+            wanted[have, columns] &= sides.all(axis=0)[which][:, None]
+        use = np.nonzero(wanted.any(axis=1))[0]
+        if not len(use):
+            continue
+        table, later = rows[use].astype(np.int64), odd[use]
+        left, right = wanted[use].argmax(axis=1), 2 * reach - wanted[use][:, ::-1].argmax(axis=1)
+        table[(places < left[:, None]) | (places > right[:, None])] = -1
+        table[:, reach] = 256 + family[use]  # blocks that meet have one anchor symbol
+        members = table[~later]
+        members[:, -1] = 256 + n + np.arange(len(members))
+        text = members[members >= 0]
+        used = np.zeros(256 + n + len(members), dtype=bool)
         used[text] = True
-        number = np.append(np.where(used, np.cumsum(used) - 1, -1), -1)  # symbols without gaps; the last entry is for "none"
-        made = RunIndex(number[text])
-        for at in np.array_split(np.nonzero(later)[0], max(1, int(later.sum()) // 4096)):
-            table = np.full((len(at), 2 * reach + 1), -1, dtype=np.int64)
-            for row, i in enumerate(at):
-                left, right = lefts[i], rights[i]
-                table[row, reach - len(left):reach] = np.frombuffer(left, dtype=np.uint8)
-                table[row, reach] = families[i]
-                table[row, reach + 1:reach + 1 + len(right)] = np.frombuffer(right, dtype=np.uint8)
-            row, column = np.nonzero(made.matching_statistics(number[table], reach) >= need)
-            who.append(at[row])
-            where.append(column - reach)
-    return (np.concatenate(who), np.concatenate(where)) if who else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
-
-
-def _live(around: DataFrame, length: int) -> DataFrame:
-    """Occurrences that share a half of some window with another one of their anchor.
-
-    A window reaches at least half of what it can to the left of its anchor, or more than the other
-    half to the right; an occurrence alone in both can match none. `cl`, `cr`: which halves are shared.
-    """
+        symbol = np.append(np.where(used, np.cumsum(used) - 1, -2), -1)  # symbols without gaps; -2: not in the index, the last entry is for "none"
+        made = RunIndex(symbol[text])
+        for part in np.array_split(np.nonzero(later)[0], max(1, int(later.sum()) // 4096)):
+            found = made.matching_statistics(symbol[table[part, :-1]], reach) > reach
+            marked[use[part]] |= found
+            open_[use[part]] &= ~found
+    who, where = np.nonzero(marked)
+    return who, where - reach
+
+
+def _halves(length: int) -> tuple[int, int, int]:
+    """Bytes by which an anchor grows, bytes of the grown anchor, and bytes of a window beyond it."""
     half = (length - ANCHOR) // 2
-    near = around.repartition("a")
-    for flag, near_side, width in (("cl", f"substring(left, length(left) - {half - 1}, {half})", half), ("cr", f"substring(right, 1, {half + 1})", half + 1)):
-        side = "left" if flag == "cl" else "right"
-        near = near.withColumn("_h", F.xxhash64(F.expr(near_side)))
-        near = near.withColumn(flag, (F.length(side) >= width) & (F.count("*").over(Window.partitionBy("a", "_h")) > 1)).drop("_h")
-    near = near.where("cl or cr").withColumn("size", F.count("*").over(Window.partitionBy("a")))
-    # Bytes that only windows of the other half would need are left out.
-    sides = near.where("size > 1").withColumns({
-        "left": F.expr(f"if(cl, left, substring(left, greatest(1, length(left) - {half - 2}), {half - 1}))"),
-        "right": F.expr(f"if(cr, right, substring(right, 1, {half}))")})
-    return sides.sortWithinPartitions("a", "id", "at")
+    return half, ANCHOR + half, length - ANCHOR - half
+
+
+def _grown(around: DataFrame, length: int) -> DataFrame:
+    """Occurrences of anchors grown to the left and of those grown to the right, where they have company.
+
+    A window belongs to the left one if it holds the whole left half, otherwise to the right one.
+    """
+    half, _, rest = _halves(length)
+    sides = F.explode(F.array(
+        F.struct((F.length("left") >= half).alias("held"), (F.col("at") - half).alias("at"),
+                 F.xxhash64("a", F.lit("left"), F.expr(f"substring(left, length(left) - {half - 1}, {half})")).alias("a"),
+                 F.expr(f"substring(left, 1, length(left) - {half})").alias("left"), F.expr(f"substring(right, 1, {rest})").alias("right")),
+        F.struct((F.length("right") >= half).alias("held"), F.col("at"),
+                 F.xxhash64("a", F.lit("right"), F.expr(f"substring(right, 1, {half})")).alias("a"),
+                 F.expr(f"substring(left, greatest(1, length(left) - {half - 2}), {half - 1})").alias("left"), F.expr(f"substring(right, {half + 1})").alias("right"))))
+    grown = around.select("id", sides.alias("side")).select("id", "side.*").where(F.col("held") & (F.length("left") + F.length("right") >= rest)).drop("held")
+    group = Window.partitionBy("a").orderBy("id", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return grown.repartition("a").withColumn("size", F.count("*").over(group)).where("size > 1").sortWithinPartitions("a", "id", "at")
 
 
 def _compared(live: DataFrame, length: int, variants: int, last: bool) -> DataFrame:
-    """id, at (start) and size of ranges of windows that an earlier occurrence of the anchor has.
+    """id, at (start) and size of ranges of windows that an earlier occurrence of the grown anchor has.
 
-    Of an anchor with more than `variants` live occurrences, the occurrences come instead with `a`, `left` and
+    Of an anchor with more than `variants` occurrences, the occurrences come instead with `a`, `left` and
     `right`; when `last`, their windows with a hash `h`.
     """
     schema = "id long, at long, size int, h long, a long, left binary, right binary"
-    reach, half = length - ANCHOR, (length - ANCHOR) // 2
+    _, _, reach = _halves(length)
 
     def indexed(table: pa.Table):
-        who, where = bundle_marks(table.column("a").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), length)
+        who, where = bundle_marks(table.column("a").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), reach)
         if not len(who):
             return
-        order = np.lexsort((where, who))  # windows that follow each other make one range
-        who, where = who[order], where[order]
+        # windows that follow each other make one range
         begin = np.concatenate([[True], (who[1:] != who[:-1]) | (where[1:] > where[:-1] + 1)])
         low = np.nonzero(begin)[0]
         high = np.append(low[1:], len(who)) - 1
@@ -219,10 +242,9 @@ def _compared(live: DataFrame, length: int, variants: int, last: bool) -> DataFr
         import xxhash
 
         out = ([], [], [], [])
-        for a, key, at, left, right, cl, cr in zip(*(table.column(c).to_pylist() for c in ("a", "id", "at", "left", "right", "cl", "cr"))):
+        for a, key, at, left, right in zip(*(table.column(c).to_pylist() for c in ("a", "id", "at", "left", "right"))):
             n = len(left)
-            low, high = max(0 if cr else half, reach - len(right)), min(reach if cl else half - 1, n)
-            for o in range(low, high + 1):
+            for o in range(max(0, reach - len(right)), min(reach, n) + 1):
                 h = xxhash.xxh3_64_intdigest(left[n - o:] + b"%d:%d:" % (a, o) + right[:reach - o])
                 for column, value in zip(out, (key, at - o, length, h - (1 << 64) if h >= 1 << 63 else h)):
                     column.append(value)
@@ -258,11 +280,11 @@ def _compared(live: DataFrame, length: int, variants: int, last: bool) -> DataFr
 
 
 def _split(large: DataFrame, length: int) -> DataFrame:
-    """Occurrences of large anchors once for each range of window starts, grouped by what all windows of the range hold.
+    """Occurrences of large grown anchors once for each range of window starts, grouped by what all windows of the range hold.
 
     `whole` says that an earlier occurrence has the same bytes around; of the others come those that have company.
     """
-    reach = length - ANCHOR
+    _, _, reach = _halves(length)
     low = F.explode(F.sequence(F.lit(0), F.lit(reach), F.lit(RANGE)))
     cut = large.select("id", "at", "a", "left", "right", low.alias("low")).withColumn("high", F.least(F.col("low") + RANGE - 1, F.lit(reach)))
     cut = cut.where((F.length("left") >= F.col("low")) & (F.length("right") >= reach - F.col("high"))).withColumns({
@@ -273,7 +295,7 @@ def _split(large: DataFrame, length: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("a", "s").orderBy("id", "at"))
     size = F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("a")).cast("long")
     met = cut.repartition("a").withColumn("nth", nth).withColumn("size", size).where("nth > 1 or size > 1")
-    return met.select("id", "at", "a", "left", "right", F.lit(True).alias("cl"), F.lit(True).alias("cr"), "size", (F.col("nth") > 1).alias("whole"))
+    return met.select("id", "at", "a", "left", "right", "size", (F.col("nth") > 1).alias("whole"))
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIANTS) -> DataFrame:
@@ -295,9 +317,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, variants: int = VARIA
             yield p, a, raw[max(0, p - reach):p], raw[p + ANCHOR:p + length]
 
     around = _surroundings(rows, met.where("not whole"), length, "id long, at long, a long, left binary, right binary", parts)
-    compared = materialize(_compared(_live(around, length), length, variants, False), "compared")
+    compared = materialize(_compared(_grown(around, length), length, variants, False), "compared")
     ranges = materialize(_split(compared.where("a is not null"), length), "ranges")
-    covered = ranges.where("whole").select("id", (F.col("at") - F.length("left")).alias("at"), (F.length("left") + ANCHOR + F.length("right")).alias("size"))
+    covered = ranges.where("whole").select("id", (F.col("at") - F.length("left")).alias("at"), (F.length("left") + _halves(length)[1] + F.length("right")).alias("size"))
     rest = ranges.where("not whole").drop("whole").repartition("a").sortWithinPartitions("a", "id", "at")
     finer = materialize(_compared(rest, length, variants, True), "finer")
     marked = compared.where("a is null").select("id", "at", "size").union(covered).union(finer.where("h is null").select("id", "at", "size"))

@@ -74,48 +74,63 @@ class RunIndex:
             total[at[same]] += 1
         return total
 
+    def _step(self, symbol: np.ndarray, at: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The matches one symbol further to the left."""
+        run = self.run_of[at]
+        off = np.nonzero(self.heads[run] != symbol)[0]
+        if len(off):
+            at, place, length = at.copy(), place.copy(), length.copy()
+            wanted = symbol[off]
+            high = np.searchsorted(self.sorted_runs, wanted * self.count + run[off])
+            up, down = self.sorted_runs[np.maximum(high - 1, 0)], self.sorted_runs[np.minimum(high, self.count - 1)]
+            has_up = (high > 0) & (up // self.count == wanted)
+            has_down = (high < self.count) & (down // self.count == wanted)
+            above, below = up % self.count, down % self.count
+            up_end, down_end = self.at_end[above], self.at_start[below]
+            # The longer common prefix is only looked for where both sides are there or something was matched.
+            best_up, best_down = np.where(has_up, 0, -1), np.where(has_down, 0, -1)
+            held = length[off] > 0
+            ask_up, ask_down = np.nonzero(has_up & held)[0], np.nonzero(has_down & held)[0]
+            pick = off[np.concatenate([ask_up, ask_down])]
+            shares = self.common(place[pick], np.concatenate([up_end[ask_up], down_end[ask_down]]), length[pick])
+            best_up[ask_up], best_down[ask_down] = shares[:len(ask_up)], shares[len(ask_up):]
+            take_up, none = best_up >= best_down, ~(has_up | has_down)
+            run[off] = np.where(none, run[off], np.where(take_up, above, below))
+            at[off] = np.where(none, at[off], np.where(take_up, self.ends[above], self.starts[below]))
+            place[off] = np.where(none, place[off], np.where(take_up, up_end, down_end))
+            length[off] = np.where(none, -1, np.minimum(length[off], np.maximum(best_up, best_down)))
+        moved = length >= 0
+        at = np.where(moved, self.base[run] + at - self.starts[run], at)
+        place = np.where(moved, (place - 1) % len(self.text), place)
+        return at, place, length + 1
+
     def matching_statistics(self, patterns: np.ndarray, reach: int | None = None) -> np.ndarray:
         """For rows of symbols (negative: none), the longest match that begins at each place.
 
-        With `reach`, only matches that cover this place are wanted: places after it are left out, and a row
-        whose match no longer covers it is given up, and zero from there.
+        With `reach`, only matches longer than this that cover the place of this number are wanted: places after it
+        are left out, and a row where none can come any more is given up, and zero from there.
         """
         rows, width = patterns.shape
         out = np.zeros((rows, width if reach is None else reach + 1), dtype=np.int64)
-        who = np.arange(rows)
-        at, place, length = np.zeros(rows, dtype=np.int64), np.full(rows, self.at_start[0], dtype=np.int64), np.zeros(rows, dtype=np.int64)
+        size = width - np.argmax(patterns[:, ::-1] != -1, axis=1)  # a row takes part from its last symbol on
+        least = np.argmax(patterns != -1, axis=1) + (reach or 0)  # where the first match that is wanted ends
+        who = np.argsort(-size, kind="stable")
+        begun = np.searchsorted(-size[who], -np.arange(width), side="left")
+        state = np.zeros(rows, dtype=np.int64), np.full(rows, self.at_start[0], dtype=np.int64), np.zeros(rows, dtype=np.int64)
         for j in range(width - 1, -1, -1):
-            symbol = patterns[who, j]
-            run = self.run_of[at]
-            off = np.nonzero(self.heads[run] != symbol)[0]
-            if len(off):
-                wanted = symbol[off]
-                high = np.searchsorted(self.sorted_runs, wanted * self.count + run[off])
-                up, down = self.sorted_runs[np.maximum(high - 1, 0)], self.sorted_runs[np.minimum(high, self.count - 1)]
-                has_up = (high > 0) & (up // self.count == wanted)
-                has_down = (high < self.count) & (down // self.count == wanted)
-                above, below = up % self.count, down % self.count
-                pick = np.concatenate([np.nonzero(has_up)[0], np.nonzero(has_down)[0]])
-                ends = np.concatenate([self.at_end[above[has_up]], self.at_start[below[has_down]]])
-                shares = self.common(place[off[pick]], ends, length[off[pick]])
-                best_up, best_down = np.full(len(off), -1, dtype=np.int64), np.full(len(off), -1, dtype=np.int64)
-                best_up[has_up], best_down[has_down] = shares[:int(has_up.sum())], shares[int(has_up.sum()):]
-                take_up, none = best_up >= best_down, ~(has_up | has_down)
-                run[off] = np.where(none, run[off], np.where(take_up, above, below))
-                at[off] = np.where(none, at[off], np.where(take_up, self.ends[above], self.starts[below]))
-                place[off] = np.where(none, place[off], np.where(take_up, self.at_end[above], self.at_start[below]))
-                length[off] = np.where(none, -1, np.minimum(length[off], np.maximum(best_up, best_down)))
-            moved = length >= 0
-            at = np.where(moved, self.base[run] + at - self.starts[run], at)
-            place = np.where(moved, (place - 1) % len(self.text), place)
-            length += 1
-            if reach is None:
-                out[:, j] = length
-            elif j <= reach:
-                alive = length + j > reach
-                if not alive.all():
-                    who, at, place, length = who[alive], at[alive], place[alive], length[alive]
-                    if not len(who):
-                        break
-                out[who, j] = length
+            if reach is None or j > reach:
+                m = begun[j]
+                if m:
+                    for old, new in zip(state, self._step(patterns[who[:m], j], *(x[:m] for x in state))):
+                        old[:m] = new
+                if reach is None:
+                    out[who, j] = state[2]
+                continue
+            state = self._step(patterns[who, j], *state)
+            alive = state[2] + j > least[who]
+            if not alive.all():
+                who, state = who[alive], tuple(x[alive] for x in state)
+                if not len(who):
+                    break
+            out[who, j] = state[2]
         return out

@@ -140,6 +140,48 @@ def test_suffix_repeats(spark, docs, variants):
     assert got == want
 
 
+def test_bundles_stream_no_settled_window_again(monkeypatch):
+    """Marks are those of brute force; of a large group whose windows are settled early, little is indexed."""
+    rng, reach = np.random.default_rng(7), 38
+    texts = [bytes(rng.integers(97, 99, 2 * reach).astype(np.uint8)) for _ in range(6)]
+    groups, lefts, rights = [], [], []
+    for g, size in enumerate([64, 1, 2, 33, 7]):
+        for _ in range(size):
+            a, b = texts[rng.integers(6)], texts[rng.integers(6)]
+            groups.append(g)
+            lefts.append(a[:reach][int(rng.integers(0, 3)) * 15:])
+            rights.append(b[:int(rng.integers(0, 4)) * 13])
+    want, seen = set(), set()
+    for i, (g, left, right) in enumerate(zip(groups, lefts, rights)):
+        for o in range(max(0, reach - len(right)), len(left) + 1):
+            window = (g, o, left[len(left) - o:] + right[:reach - o])
+            if window in seen:
+                want.add((i, -o))
+            seen.add(window)
+    indexed, build = [], repeats.RunIndex
+    monkeypatch.setattr(repeats, "RunIndex", lambda text: indexed.append(len(text)) or build(text))
+    who, where = repeats.bundle_marks(np.array(groups), lefts, rights, reach)
+    assert set(zip(who.tolist(), where.tolist())) == want and len(who) == len(want)
+    assert sum(indexed) < sum(len(a) + 2 + len(b) for a, b in zip(lefts, rights))
+
+
+def test_crowded_anchor_without_common_halves_is_not_split(spark, monkeypatch):
+    """Occurrences of an anchor that share its halves in small groups stay in small groups, however many they are."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    many = noise(200000)
+    at = int(repeats.anchor_places(many.encode(), np.array([len(many)]), len(many))[0][0])
+    anchor, cases = many[at:at + repeats.ANCHOR], []  # its hash is so low that windows choose it
+    for i in range(24):
+        left, right = noise(90), noise(90)
+        cases += [(4 * i + j, noise(60) + (left if j < 3 else noise(90)) + anchor + (right if j > 0 else noise(90)) + noise(60)) for j in range(4)]
+    made, split = [], repeats._split
+    monkeypatch.setattr(repeats, "_split", lambda large, length: made.append(large.count()) or split(large, length))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(cases, "doc_id long, text string"), variants=8).collect()}
+    assert got == _brute_repeats(cases)
+    assert made == [0]
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(1)
     text = np.concatenate([np.append(rng.integers(0, 3, 20), 10 + i) for i in range(6)])
