@@ -14,6 +14,7 @@ gives an empty index. A text needs the memory of its own ids in one task.
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import uuid
 import zlib
@@ -33,8 +34,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INDEX = "row long, doc_id long, shard long, file string, first long, n_tokens long"
 BATCH = 256  # sequences in a record batch
-# The pre-token pattern of the word-level vocabulary, for lower-case printable ASCII (fixed value).
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# Words of printable ASCII and letters that no normal form changes and that have one lower-case letter each.
+_LETTERS = "À-ÖØ-öø-ÿŒœ"
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+# The pre-token pattern of the word-level vocabulary, for such words in lower case (fixed value).
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-z0-9ß-öø-ÿœ]+")
 
 
 class WordEncoder:
@@ -51,12 +55,15 @@ class WordEncoder:
         self._library = library
         self._special = [t.content for t in library.get_added_tokens_decoder().values()]
         model, before, normal = library.model, library.pre_tokenizer, library.normalizer
-        pack = lambda ids: np.array(ids, dtype=self.kind).tobytes()
+        code = "I" if self.wide else "H"
+        pack = lambda ids: struct.pack(f"<{len(ids)}{code}", *ids)
+        symbols = {c: before.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180) if re.match(f"[{_LETTERS}]", chr(c))}
         token = bpe.Memory(lambda p: pack([t.id for t in model.tokenize(p)]))
 
         def of_word(word: str) -> bytes:
-            if word.isascii() and word.isprintable():
-                return b"".join(map(token.__getitem__, _ASCII.findall(word.lower())))
+            if _PLAIN.fullmatch(word):
+                found = _PIECES.findall(word.lower())
+                return b"".join(map(token.__getitem__, found if word.isascii() else [p.translate(symbols) for p in found]))
             return b"".join(token[p] for p, _ in before.pre_tokenize_str(normal.normalize_str(word)))
 
         self._known = bpe.Memory(of_word)

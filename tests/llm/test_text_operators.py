@@ -115,6 +115,37 @@ def test_covering_masks(radius):
         assert any(difference & m == 0 for m in masks)
 
 
+def test_latin_words_are_cut_without_the_library(monkeypatch):
+    """Words of ASCII and Latin letters have the ids of the library, without a call of its normalizer for each."""
+    import tokenizers
+
+    text = bpe.read_text(bpe.default_path("word_bpe_49k.json"))
+    library = tokenizers.Tokenizer.from_str(text)
+    calls = []
+
+    class Normal:
+        def normalize_str(self, word):
+            calls.append(word)
+            return library.normalizer.normalize_str(word)
+
+    class Spy:
+        normalizer = Normal()
+        from_str = classmethod(lambda cls, _: cls())
+        __getattr__ = lambda self, name: getattr(library, name)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Spy)
+    encoder, rng = sequences.WordEncoder(text), np.random.default_rng(2)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x100)] if chr(c) not in "×÷"] + ["Œ", "œ", "'s", "'LL"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(5000)] + letters
+    for word in words:
+        assert encoder.ids(word) == np.array(library.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    assert not calls
+    odd = ["e\u0301té", "İı", "ΑΣ", "ﬁn", "a×b÷c", "語é", "\u0149ſŸ", "٣²"]
+    for word in odd:
+        assert encoder.ids(word) == np.array(library.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    assert calls == odd
+
+
 def _brute_repeats(pairs):
     seen, out = set(), {}
     for i, t in pairs:
