@@ -121,7 +121,8 @@ def near_links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFr
     keys = prints.select("fp", F.explode(tables).alias("bucket"))
     busy = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block)
-    members = keys.join(busy, "bucket").select("bucket", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", F.lit(7)), blocks).alias("own"))
+    # Spark counts the keys of a row as one row when it sizes this table, so neither side may be sent whole to the driver on that account.
+    members = keys.hint("merge").join(busy, "bucket").select("bucket", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", F.lit(7)), blocks).alias("own"))
     other = members.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = other.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "fp")
 
@@ -183,7 +184,8 @@ def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "
     # One row for each fingerprint, so groups of exact copies are small here.
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"), F.max("last").alias("tail")).where("head != tail").select("root", "head")
     named = rooted.join(heads, "root").select("fp", "head")
-    gone = prints.select("fp", "id", "th").join(named, "fp").where(spot != F.col("head")).select("id", "th").distinct()
+    # An outer join, in which only `named` may be sent whole: files of repeated rows are far smaller than their rows.
+    gone = prints.select("fp", "id", "th").join(named, "fp", "left").where(spot != F.coalesce("head", spot)).select("id", "th").distinct()
     return without(docs, gone, id_col, text_col)
 
 

@@ -9,7 +9,7 @@ pytest.importorskip("stocktide.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from stocktide.llm import simhash  # noqa: E402
+from stocktide.llm import components, simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +65,41 @@ def test_odd_rows_and_clashing_columns(spark):
     assert {(r.doc_id is None, r.doc_id or 0) for r in got} == set(best.values())
     assert collections.Counter(r.text for r in got)["x y z"] == 2  # equal rows stay together
     assert simhash.keep_first(df.limit(0)).columns == df.columns and {r.fp for r in got} == {1.5}
+
+
+def sent(df):
+    """The parts of the plan below each broadcast: what Spark would gather in the driver on its own sizes."""
+    lines = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i + 1:end])
+
+
+def test_the_keys_of_all_tables_are_not_sent_to_the_driver(spark):
+    prints = spark.range(4000).select(F.xxhash64(F.col("id") % 3000).alias("fp")).distinct()
+    links = simhash.near_links(prints)
+    assert "SortMergeJoin" in links._jdf.queryExecution().executedPlan().toString() and not list(sent(links))
+    assert not links.collect()  # random fingerprints are far apart
+
+
+def test_links_are_not_sent_to_the_driver(spark, monkeypatch):
+    written, kept = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: (written.append((label, df)), kept(df, label))[1])
+    # A chain of links in ids, some twice, and a pair beside it.
+    links = spark.range(0, 40).selectExpr("explode(array(id, id, id + 1)) a", "id + 1 b").union(spark.createDataFrame([(900, 901), (901, 900)], "a long, b long"))
+    roots = {r.node: r.root for r in components.components(links).collect()}
+    assert roots == {i: 0 for i in range(41)} | {900: 900, 901: 900}
+    assert {label for label, _ in written} == {"links", "large", "small"} and not [x for _, df in written for x in sent(df) if "Aggregate" not in x]
+
+
+def repeated_rows(spark):
+    """Pairs of documents with one text, whose rows come ten times in a row and so make short files of fingerprints."""
+    return spark.range(0, 6000, 1, 4).selectExpr("id div 10 doc_id", "concat_ws(' ', transform(sequence(1, 30), x -> hash(x, id div 20))) text")
+
+
+def test_fingerprints_of_repeated_rows_are_not_sent_to_the_driver_by_the_pipeline(spark):
+    left = simhash.keep_first(repeated_rows(spark))
+    assert collections.Counter(r.doc_id for r in left.collect()) == {i: 10 for i in range(0, 600, 2)}
+    assert not [x for x in sent(left) if "Aggregate" not in x and "fingerprints-" in x]
