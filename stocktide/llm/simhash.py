@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     rooted = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "id", "th", "fp", "component_id")
+    # Every fingerprint has a component; an outer join, as in `keep_first`.
+    return prints.join(by_print, "fp", "left").select("doc_id", "id", "th", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,3 +103,9 @@ def test_fingerprints_of_repeated_rows_are_not_sent_to_the_driver_by_the_pipelin
     left = simhash.keep_first(repeated_rows(spark))
     assert collections.Counter(r.doc_id for r in left.collect()) == {i: 10 for i in range(0, 600, 2)}
     assert not [x for x in sent(left) if "Aggregate" not in x and "fingerprints-" in x]
+
+
+def test_fingerprints_of_repeated_rows_are_not_sent_to_the_driver_by_op5(spark):
+    found = simhash.near_duplicates(repeated_rows(spark))
+    assert collections.Counter((r.doc_id, r.component_id) for r in found.collect()) == {(i, i - i % 2): 10 for i in range(600)}
+    assert not [x for x in sent(found) if "Aggregate" not in x and "fingerprints-" in x]
